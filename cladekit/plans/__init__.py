@@ -1,0 +1,14 @@
+"""The registered queries, grouped by subject."""
+
+from importlib import import_module
+
+SUBJECTS = ("relational", "genomes", "statistics", "evaluation")
+
+
+def load():
+    """Import every subject once; returns the queries and their SQL."""
+    for subject in SUBJECTS:
+        import_module(f".{subject}", __name__)
+    from .registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES

@@ -44,21 +44,19 @@ def running_topology_counts(stream: DataFrame, key: str = "sid", tid: str = "tid
     return stream.groupBy(key, tid).agg(F.count(F.lit(1)).alias("n"))
 
 
-def windowed_counts(
-    stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "2 hours",
-) -> DataFrame:
-    """Counts per time window; rows later than the watermark are dropped."""
-    w = F.window(time, width)
-    return stream.withWatermark(time, late).groupBy(w, kind).agg(
-        F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")
-
-
-def store_latest(counts: DataFrame, target: str, checkpoint: str):
-    """Write the running totals of every batch over the former ones."""
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+def store_totals(counts: DataFrame, target: str, checkpoint: str):
+    """Write the totals after every batch to a folder of their own; the newest one is current."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         counts.writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def latest_totals(spark: SparkSession, target: str) -> DataFrame:
+    """The newest stored totals."""
+    df = spark.read.parquet(target)
+    newest = df.agg(F.max("batch")).scalar()
+    return df.where(F.col("batch") == newest).drop("batch")
