@@ -2,7 +2,7 @@
 
 A tree stays one row. Its brackets are read with array functions, so nothing here
 shuffles and no Python runs per tree. ``leaf_paths`` gives, for every leaf, its own
-length and the inner nodes above it; all other measures are set operations on those.
+length and the inner nodes above it; all other measures compare those lists.
 """
 
 from __future__ import annotations
@@ -20,95 +20,98 @@ TOPOLOGIES = {
 }
 
 TOKEN = r"(\(|\)[^(),;]*|[^(),;]+)"
+_STATE = "struct<ids:array<int>,lens:array<double>,at:int,found:array<{leaf}>>"
+_LEAF = "struct<name:string,len:double,ids:array<int>,lens:array<double>>"
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _length(token: Column) -> Column:
-    after = F.regexp_extract(token, r":([^\[\]]*)", 1)
-    return F.coalesce(after.try_cast("double"), F.lit(0.0))
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _zero_path() -> Column:
-    return F.array().cast("array<struct<id:int,len:double>>")
+def _length(token: Column) -> Column:
+    number = F.substring_index(token, ":", -1).try_cast("double")
+    return F.when(F.contains(token, F.lit(":")), F.coalesce(number, F.lit(0.0))).otherwise(0.0)
 
 
 def leaf_paths(newick) -> Column:
-    """array<struct<name, len, path array<struct<id, len>>>>, one entry per leaf."""
-    tokens = F.regexp_extract_all(F.regexp_replace(_c(newick), r"\s", ""), F.lit(TOKEN), F.lit(1))
+    """array<struct<name, len, ids, lens>>: every leaf with the inner nodes above it, root first.
 
-    def climb(i: Column) -> Column:
-        start = F.struct(
-            F.lit(0).alias("depth"), (i + 1).alias("at"), _zero_path().alias("path")
+    The text is read once from its end: a closing bracket enters a node, an opening bracket
+    leaves it, and a leaf takes a copy of the nodes entered so far.
+    """
+    plain = F.regexp_replace(_c(newick), r"\s|\[[^\]]*\]", "")
+    tokens = F.reverse(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(1)))
+    start = F.struct(
+        F.array().alias("ids"), F.array().alias("lens"), F.lit(0).alias("at"),
+        F.array().alias("found"),
+    ).cast(_STATE.format(leaf=_LEAF))
+
+    def step(acc, token):
+        enters, leaves = F.startswith(token, F.lit(")")), token == F.lit("(")
+        depth = F.size(acc["ids"])
+        here = F.struct(
+            F.substring_index(token, ":", 1).alias("name"), _length(token).alias("len"),
+            acc["ids"].alias("ids"), acc["lens"].alias("lens"))
+        return (
+            F.when(enters, F.struct(
+                F.concat(acc["ids"], F.array(acc["at"])).alias("ids"),
+                F.concat(acc["lens"], F.array(_length(token))).alias("lens"),
+                (acc["at"] + 1).alias("at"), acc["found"].alias("found")))
+            .when(leaves, F.struct(
+                F.slice(acc["ids"], F.lit(1), depth - 1).alias("ids"),
+                F.slice(acc["lens"], F.lit(1), depth - 1).alias("lens"),
+                acc["at"].alias("at"), acc["found"].alias("found")))
+            .otherwise(F.struct(
+                acc["ids"].alias("ids"), acc["lens"].alias("lens"), acc["at"].alias("at"),
+                F.concat(acc["found"], F.array(here)).alias("found")))
         )
 
-        def step(acc, token):
-            opens = token == F.lit("(")
-            closes = token.startswith(")")
-            leaves_node = closes & (acc["depth"] == 0)
-            here = F.struct(acc["at"].alias("id"), _length(token).alias("len"))
-            return F.struct(
-                F.when(opens, acc["depth"] + 1)
-                .when(closes & ~leaves_node, acc["depth"] - 1)
-                .otherwise(acc["depth"])
-                .alias("depth"),
-                (acc["at"] + 1).alias("at"),
-                F.when(leaves_node, F.concat(acc["path"], F.array(here)))
-                .otherwise(acc["path"])
-                .alias("path"),
-            )
-
-        rest = F.slice(tokens, i + 2, F.size(tokens))
-        return F.aggregate(rest, start, step, lambda acc: acc["path"])
-
-    entries = F.transform(
-        tokens,
-        lambda token, i: F.when(
-            ~token.startswith("(") & ~token.startswith(")"),
-            F.struct(
-                F.regexp_extract(token, r"^([^:\[]*)", 1).alias("name"),
-                _length(token).alias("len"),
-                climb(i).alias("path"),
-            ),
-        ),
-    )
-    return F.filter(entries, lambda e: e.isNotNull())
+    return F.reverse(F.aggregate(tokens, start, step, lambda acc: acc["found"]))
 
 
 def leaf(leaves: Column, name) -> Column:
     """The entry of one leaf, NULL when the tree lacks it."""
+    leaves = _c(leaves)
     name = F.lit(name) if isinstance(name, str) else name
-    return F.get(F.filter(_c(leaves), lambda e: e["name"] == name), F.lit(0))
+    return F.get(leaves, (F.array_position(leaves["name"], name) - 1).cast("int"))
+
 
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + x)
 
-def _total(path: Column) -> Column:
-    return F.aggregate(path, F.lit(0.0), lambda acc, node: acc + node["len"])
+
+def _shared(a: Column, b: Column) -> Column:
+    """Number of inner nodes above both leaves; they come first in both lists."""
+    return F.size(F.array_intersect(a["ids"], b["ids"]))
+
+
+def _below(x: Column, shared: Column) -> Column:
+    return _total(F.slice(x["lens"], shared + 1, F.size(x["lens"])))
 
 
 def distance(a: Column, b: Column) -> Column:
     """Path length between two leaf entries."""
-    apart = _total(F.array_except(a["path"], b["path"])) + _total(
-        F.array_except(b["path"], a["path"])
-    )
-    return F.when(a.isNotNull() & b.isNotNull(), a["len"] + b["len"] + apart)
+    n = _shared(a, b)
+    both = a["len"] + b["len"] + _below(a, n) + _below(b, n)
+    return F.when(a.isNotNull() & b.isNotNull(), both)
 
 
 def steps(a: Column, b: Column) -> Column:
     """Number of edges between two leaf entries."""
-    apart = F.size(F.array_except(a["path"], b["path"])) + F.size(
-        F.array_except(b["path"], a["path"])
-    )
-    return F.when(a.isNotNull() & b.isNotNull(), apart + 2)
+    apart = F.size(a["ids"]) + F.size(b["ids"]) - 2 * _shared(a, b) + 2
+    return F.when(a.isNotNull() & b.isNotNull(), apart)
 
 
 def covariance(a: Column, b: Column) -> Column:
-    """Length from the root to the common ancestor of two different leaves."""
-    shared = _total(F.array_intersect(a["path"], b["path"]))
-    return F.when(a["name"] == b["name"], shared + a["len"]).when(
-        a.isNotNull() & b.isNotNull(), shared
-    )
+    """Length from the root to the common ancestor of two leaves; to the leaf itself for one."""
+    above = _total(F.slice(a["lens"], F.lit(1), _shared(a, b)))
+    return F.when(a["name"] == b["name"], above + a["len"]).when(
+        a.isNotNull() & b.isNotNull(), above)
 
 
 def with_leaves(df, newick: str = "newick", name: str = "_leaves", taxa=LEAVES, rooted: str = "_l"):
@@ -223,7 +226,7 @@ def subtree_text(leaves, taxa) -> Column:
     entries = {t: leaf(_c(leaves), t) for t in taxa}
 
     def shared(a, b):
-        return F.size(F.array_intersect(entries[a]["path"], entries[b]["path"]))
+        return _shared(entries[a], entries[b])
 
     x, y, z = sorted(taxa)
     options = [(x, y, z), (x, z, y), (y, z, x)]
@@ -245,22 +248,17 @@ def functools_and(conditions: list[Column]) -> Column:
 
 
 def clades(leaves) -> Column:
-    """Sorted leaf-name lists below each inner node except the root, as strings."""
-    leaves = _c(leaves)
-    ids = F.array_distinct(F.flatten(F.transform(leaves, lambda e: e["path"]["id"])))
-    texts = F.transform(
-        ids,
-        lambda i: F.array_join(
-            F.array_sort(
-                F.transform(
-                    F.filter(leaves, lambda e: F.array_contains(e["path"]["id"], i)),
-                    lambda e: e["name"],
-                )
-            ),
-            ",",
-        ),
-    )
-    return F.array_distinct(texts)
+    """Sorted leaf-name lists below each inner node, as strings."""
+    def texts(tree):
+        nodes = F.array_distinct(F.flatten(tree["ids"]))
+
+        def below(i):
+            inside = F.filter(tree, lambda e: F.array_contains(e["ids"], i))
+            return F.array_join(F.array_sort(inside["name"]), ",")
+
+        return F.array_distinct(F.transform(nodes, below))
+
+    return let(_c(leaves), texts)
 
 
 def splits_differ(clades_a, clades_b) -> Column:
@@ -276,21 +274,20 @@ def gene_family(name) -> Column:
 
 def single_copy(leaves) -> Column:
     """True when no gene family has two leaves."""
-    names = F.transform(_c(leaves), lambda e: gene_family(e["name"]))
-    return F.size(F.array_distinct(names)) == F.size(names)
+    names = F.transform(_c(leaves)["name"], gene_family)
+    return F.size(F.array_distinct(names)) == F.size(_c(leaves))
 
 
 def last_copies(leaves) -> Column:
     """One leaf per family (the last one met), renamed to the family."""
-    leaves = _c(leaves)
+    def pick(tree):
+        return F.filter(
+            tree,
+            lambda e, i: ~F.array_contains(
+                F.slice(tree["name"], i + 2, F.size(tree)), e["name"]))
+
     renamed = F.transform(
-        leaves,
+        _c(leaves),
         lambda e: F.struct(gene_family(e["name"]).alias("name"), e["len"].alias("len"),
-                           e["path"].alias("path")),
-    )
-    return F.filter(
-        renamed,
-        lambda e, i: ~F.exists(
-            F.slice(renamed, i + 2, F.size(renamed)), lambda later: later["name"] == e["name"]
-        ),
-    )
+                           e["ids"].alias("ids"), e["lens"].alias("lens")))
+    return let(renamed, pick)

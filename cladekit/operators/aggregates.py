@@ -242,23 +242,53 @@ def bootstrap_means(
 ) -> DataFrame:
     """Bootstrap interval of the group mean.
 
-    Each row gets a Poisson(1) weight per replicate from a hash of its ids. All replicates
-    are summed side by side in one aggregate, so rows are neither copied nor resampled.
+    Every row gets a Poisson(1) weight per replicate, drawn from a hash of its ids. Tasks add
+    the weights of their own rows as arrays and pass on one row per group, so rows are
+    neither copied nor resampled.
     """
-    def weight(r: int) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(r), *[F.col(i) for i in ids]), F.lit(1 << 30))
-        u = u / float(1 << 30)
-        return sum(F.when(u >= p, 1).otherwise(0) for p in POISSON_ONE)
-
-    aggs = [(F.sum(weight(r) * F.col(value)) / F.sum(weight(r))).alias(f"m{r}")
-            for r in range(replicates)]
-    means = df.groupBy(*keys).agg(F.avg(value).alias("mean"), *aggs)
-    ordered = F.array_sort(F.array_compact(F.array(*[f"m{r}" for r in range(replicates)])))
+    import numpy as np
+    import pandas as pd
+
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("_v"),
+        F.xxhash64(F.lit(seed), *ids).alias("_h"))
+    steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    chances = np.array(POISSON_ONE)
+
+    def weigh(batches):
+        for pdf in batches:
+            sums = {}
+            for start in range(0, len(pdf), 4096):
+                part = pdf.iloc[start:start + 4096]
+                x = part["_h"].to_numpy().astype(np.uint64)[:, None] + steps
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x = x ^ (x >> np.uint64(31))
+                u = (x >> np.uint64(11)).astype(float) / float(1 << 53)
+                w = np.searchsorted(chances, u, side="right").astype(float)
+                v = part["_v"].to_numpy()
+                for key, ix in part.groupby(keys, sort=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    a, b = sums.get(key, (0.0, 0.0))
+                    sums[key] = (a + (w[ix] * v[ix, None]).sum(axis=0), b + w[ix].sum(axis=0))
+            yield pd.DataFrame(
+                [(*k, a, b) for k, (a, b) in sums.items()], columns=[*keys, "_a", "_b"])
+
+    schema = ", ".join(
+        [f"`{k}` {t}" for k, t in rows.select(*keys).dtypes] + ["_a array<double>", "_b array<double>"])
+    parts = rows.mapInPandas(weigh, schema)
+    slots = parts.select(*keys, F.posexplode(F.arrays_zip("_a", "_b")).alias("_r", "_s"))
+    means = slots.groupBy(*keys, "_r").agg(
+        (F.sum("_s._a") / F.nullif(F.sum("_s._b"), F.lit(0.0))).alias("_m"))
+    ordered = F.array_sort(F.collect_list("_m"))
 
     def pick(p: float) -> Column:
-        return F.get(ordered, F.floor((F.size(ordered) - 1) * p).cast("int"))
+        return F.get("_ms", F.floor((F.size("_ms") - 1) * p).cast("int"))
 
-    return means.select(*keys, "mean", pick(low).alias("low"), pick(high).alias("high"))
+    spread = means.groupBy(*keys).agg(ordered.alias("_ms")).select(
+        *keys, pick(low).alias("low"), pick(high).alias("high"))
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(spread, keys)
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

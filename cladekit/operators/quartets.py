@@ -132,10 +132,14 @@ def remapped_sites(df: DataFrame, order: str = "order") -> DataFrame:
 def sorted_taxa(df: DataFrame, clades: Sequence[str], taxa: str = "taxa") -> DataFrame:
     """Four columns, one per clade, named after the clades."""
     return df.withColumns({
-        c: F.get(F.filter(taxa, lambda n, c=c: n.startswith(c)), F.lit(0)) for c in clades
+        c: F.get(F.filter(taxa, _starting(c)), F.lit(0)) for c in clades
     }).drop(taxa)
 
 
+def _starting(prefix: str):
+    return lambda n: n.startswith(prefix)
+
+
 def percent_sites(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shares to percent, for files (``keys``) in which every row's shares sum to 1."""
     cols = ("qCF", "qDF1", "qDF2")
@@ -159,7 +163,7 @@ def tree_records(df: DataFrame, newick: str = "newick", species: bool = False) -
 def leaf_table(trees: DataFrame, keys: Sequence[str], newick: str = "newick") -> DataFrame:
     """One row per leaf with the inner nodes above it."""
     return trees.select(*keys, F.explode(N.leaf_paths(newick)).alias("e")).select(
-        *keys, F.col("e.name").alias("name"), F.struct("e.name", "e.len", "e.path").alias("leaf"))
+        *keys, F.col("e.name").alias("name"), F.col("e").alias("leaf"))
 
 
 def quartet_tree_summary(
@@ -181,7 +185,8 @@ def quartet_tree_summary(
 
 def different_share(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Share of tree pairs that do not have the same clades."""
-    rows = pairs.withColumns({"_a": N.clades(N.leaf_paths(a)), "_b": N.clades(N.leaf_paths(b))})
+    rows = pairs.withColumns({"_a": N.leaf_paths(a), "_b": N.leaf_paths(b)})
+    rows = rows.select(N.clades("_a").alias("_a"), N.clades("_b").alias("_b"))
     return rows.agg(F.avg(N.splits_differ("_a", "_b").cast("double")).alias("share"))
 
 

@@ -50,7 +50,10 @@ def without_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
 
 def one_of_each_clade(clades: Column, needed: Sequence[str] = ("1", "2", "3", "4")) -> Column:
     """True when every clade occurs exactly once in the array."""
-    each = [F.size(F.filter(clades, lambda x, k=k: x == k)) == 1 for k in needed]
+    def same(k):
+        return lambda x: x == k
+
+    each = [F.size(F.filter(clades, same(k))) == 1 for k in needed]
     return functools.reduce(lambda a, b: a & b, each)
 
 

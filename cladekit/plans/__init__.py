@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("relational", "genomes", "statistics", "evaluation")
+SUBJECTS = ("relational", "genomes", "statistics", "evaluation", "trees")
 
 
 def load():

@@ -313,8 +313,8 @@ def _cond(i: int) -> str:
 
 @query("compare_conditions", rounded("WITH " + ", ".join(
     f"c{i} AS ({errors_sql(_cond(i))})" for i in range(3)) + " " + " UNION ALL ".join(
-    f"""SELECT *, '{n}' AS "Condition" FROM c{i} SEMI JOIN c0 USING (ebl, ibl) SEMI JOIN c1
- USING (ebl, ibl) SEMI JOIN c2 USING (ebl, ibl)""" for i, n in enumerate(("-", "Site", "Site+Lineage"))),
+    f"""SELECT *, '{n}' AS "Condition" FROM c{i} WHERE (ebl, ibl) IN (SELECT (ebl, ibl) FROM c0) AND
+ (ebl, ibl) IN (SELECT (ebl, ibl) FROM c1) AND (ebl, ibl) IN (SELECT (ebl, ibl) FROM c2)""" for i, n in enumerate(("-", "Site", "Site+Lineage"))),
     _ERR))
 def compare_conditions(spark, sf):
     """Condition errors of three sets on the conditions they share."""

@@ -91,8 +91,8 @@ def shuffle_chunks(spark, sf):
         "o_custkey", "o_orderkey", "dset_no")
 
 
-@query("data_sets_of_15", """SELECT e // 15 AS dataset, count(*) AS n, round(avg(v), 6) AS m FROM
- (SELECT event_id AS e, value AS v FROM events) GROUP BY 1""")
+@query("data_sets_of_15", rounded("""SELECT e // 15 AS dataset, count(*) AS n, avg(v) AS m FROM
+ (SELECT event_id AS e, value AS v FROM events) GROUP BY 1""", "m"))
 def data_sets_of_15(spark, sf):
     rows = table(spark, sf, "events").withColumn(
         "dataset", L.data_set_number(F.col("event_id")))
@@ -107,11 +107,11 @@ def _part(model: str, n: int, src: str) -> str:
  row_number() OVER (PARTITION BY sid ORDER BY {_ORDER}) <= {n}"""
 
 
-@query("mixed_sample", f"""WITH b AS ({_part('O', _P * _SETS, 'p')} UNION ALL
+@query("mixed_sample", rounded(f"""WITH b AS ({_part('O', _P * _SETS, 'p')} UNION ALL
  {_part('F', _R * _SETS, 'r')}), d AS (SELECT *, (row_number() OVER (PARTITION BY sid ORDER BY
  md5(concat_ws('|', '9', src, randomcolumn)), src, {", ".join(LINE_KEY)}) - 1) // {GENES} AS dset_no
  FROM b) SELECT sid, dset_no, count(*) AS genes, count(*) FILTER (WHERE sim_model = 'F') AS rec,
- round(avg("1_2"), 6) AS m FROM d GROUP BY sid, dset_no""")
+ avg("1_2") AS m FROM d GROUP BY sid, dset_no""", "m"))
 def mixed_sample(spark, sf):
     """Genomes of 70 % plain and 30 % recombined trees."""
     rows = inferred(spark, sf)
@@ -126,10 +126,10 @@ def mixed_sample(spark, sf):
 _CUT = int(0.2 * 16**8)
 
 
-@query("replicate_groups", f"""SELECT r AS replicate, l_partkey AS sid, count(*) AS n,
- round(avg(l_quantity), 6) AS m FROM lineitem, (VALUES (1), (2), (3)) AS reps(r)
+@query("replicate_groups", rounded(f"""SELECT r AS replicate, l_partkey AS sid, count(*) AS n,
+ avg(l_quantity) AS m FROM lineitem, (VALUES (1), (2), (3)) AS reps(r)
  WHERE CAST('0x' || substr(md5(concat_ws('|', '4:' || r, l_orderkey, l_partkey, l_suppkey,
- l_linenumber)), 1, 8) AS BIGINT) < {_CUT} GROUP BY ALL""")
+ l_linenumber)), 1, 8) AS BIGINT) < {_CUT} GROUP BY ALL""", "m"))
 def replicate_groups(spark, sf):
     """Repeated small samples grouped by species tree, all replicates in one pass."""
     ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -166,8 +166,8 @@ def quartet_summary(spark, sf):
     return tidy(G.quartet_genome_rows(inferred(spark, sf), ["sid"], ["1_2", "1_3"], 25))
 
 
-@query("concordant_fraction", f"""SELECT sid, round(CAST(count(*) FILTER (WHERE tid = 1) AS DOUBLE)
- / count(*), 6) AS share FROM {JOINED} j GROUP BY sid""")
+@query("concordant_fraction", rounded(f"""SELECT sid, CAST(count(*) FILTER (WHERE tid = 1) AS DOUBLE)
+ / count(*) AS share FROM {JOINED} j GROUP BY sid""", "share"))
 def concordant_fraction(spark, sf):
     rows = G.genome_rows(joined_trees(spark, sf), ["sid"], [])
     return tidy(rows.select("sid", G.concordant_share(rows).alias("share")))

@@ -21,12 +21,17 @@ def query(name: str, sql: str | None = None):
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round measures for display; whole numbers become BIGINT and FLOAT becomes DOUBLE."""
+    """Round measures for display; whole numbers become BIGINT and FLOAT becomes DOUBLE.
+
+    The nudge, far below the last digit shown, makes exact halves go the same way in every
+    engine.
+    """
+    nudge = F.lit(3 * 10.0 ** -(digits + 4))
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double") + nudge, digits) + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         out.append(c.alias(name))
@@ -36,5 +41,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 def rounded(inner: str, columns: list[str] | str, digits: int = 6) -> str:
     """The same rounding around a SQL text."""
     names = columns.split() if isinstance(columns, str) else columns
-    swaps = ", ".join(f'(round(CAST("{c}" AS DOUBLE), {digits}) + 0.0) AS "{c}"' for c in names)
+    nudge = f"CAST({3 * 10.0 ** -(digits + 4)!r} AS DOUBLE)"
+    swaps = ", ".join(
+        f'(round(CAST("{c}" AS DOUBLE) + {nudge}, {digits}) + 0.0) AS "{c}"' for c in names)
     return f"SELECT * REPLACE ({swaps}) FROM ({inner}) AS shown"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from .registry import query, rounded, tidy
 from .tables import (
-
     INFERRED,
     JOINED,
     SITES,
@@ -20,8 +19,8 @@ from .tables import (
 )
 
 
-@query("eligible_ids", f"""SELECT s.sid, s.ebl, round(s.ibl, 6) AS ibl FROM {SPECIES} s JOIN
- (SELECT sid FROM {INFERRED} i GROUP BY sid HAVING count(*) >= 30) e ON s.sid = e.sid""")
+@query("eligible_ids", rounded(f"""SELECT s.sid, s.ebl, s.ibl FROM {SPECIES} s JOIN
+ (SELECT sid FROM {INFERRED} i GROUP BY sid HAVING count(*) >= 30) e ON s.sid = e.sid""", "ibl ebl"))
 def eligible_ids(spark, sf):
     return tidy(R.eligible_ids(inferred(spark, sf), species(spark, sf), 30))
 

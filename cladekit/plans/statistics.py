@@ -29,9 +29,9 @@ def topology_pivot(spark, sf):
     return A.topology_counts(inferred(spark, sf))
 
 
-@query("normalised_counts", """SELECT l_partkey AS sid, l_linenumber AS tid, count(*) AS c,
- round(count(*) / sum(CAST(count(*) AS DOUBLE)) OVER (PARTITION BY l_partkey), 6) AS share
- FROM lineitem GROUP BY 1, 2""")
+@query("normalised_counts", rounded("""SELECT l_partkey AS sid, l_linenumber AS tid, count(*) AS c,
+ count(*) / sum(CAST(count(*) AS DOUBLE)) OVER (PARTITION BY l_partkey) AS share
+ FROM lineitem GROUP BY 1, 2""", "share"))
 def normalised_counts(spark, sf):
     counts = table(spark, sf, "lineitem").groupBy(
         F.col("l_partkey").alias("sid"), F.col("l_linenumber").alias("tid")).agg(
@@ -39,9 +39,9 @@ def normalised_counts(spark, sf):
     return tidy(A.shares_within(counts, ["sid"], "c"))
 
 
-@query("species_share", f"""SELECT ebl, round(sum(CASE WHEN tid = 1 THEN n ELSE 0 END) / sum(n), 6)
+@query("species_share", rounded(f"""SELECT ebl, sum(CASE WHEN tid = 1 THEN n ELSE 0 END) / sum(n)
  AS share FROM (SELECT ebl, tid, CAST(count(*) AS DOUBLE) AS n FROM {INFERRED} i JOIN {SPECIES} s
- USING (sid) GROUP BY ALL) GROUP BY ebl""")
+ USING (sid) GROUP BY ALL) GROUP BY ebl""", "share"))
 def species_share(spark, sf):
     rows = inferred(spark, sf).join(species(spark, sf), "sid").groupBy("ebl", "tid").agg(
         F.count("*").alias("n"))
@@ -78,9 +78,9 @@ def group_statistics(spark, sf):
                               ["l_orderkey", "l_suppkey", "l_linenumber"]), 4)
 
 
-@query("count_balance", """SELECT sid, round((max(c) - min(c)) / CAST(sum(c) AS DOUBLE), 6) AS diff,
+@query("count_balance", rounded("""SELECT sid, (max(c) - min(c)) / CAST(sum(c) AS DOUBLE) AS diff,
  count(*) AS n FROM (SELECT l_partkey AS sid, l_linenumber % 3 AS tid, count(*) AS c FROM lineitem
- GROUP BY 1, 2) GROUP BY sid HAVING count(*) >= 3 AND (max(c) - min(c)) / CAST(sum(c) AS DOUBLE) < 0.1""")
+ GROUP BY 1, 2) GROUP BY sid HAVING count(*) >= 3 AND (max(c) - min(c)) / CAST(sum(c) AS DOUBLE) < 0.1""", "diff"))
 def count_balance(spark, sf):
     counts = table(spark, sf, "lineitem").groupBy(
         F.col("l_partkey").alias("sid"), (F.col("l_linenumber") % 3).alias("tid")).agg(
@@ -196,9 +196,9 @@ def group_mean_rows(spark, sf):
     return tidy(out.select("event_id", "value", "avg_p"))
 
 
-@query("rate_labels", """SELECT matrix, round(avg(CASE WHEN preds > 0.9511 THEN 1.0 ELSE 0 END), 6) AS
- rate, count(*) FILTER (WHERE preds > 0.9511) || ' / ' || count(*) AS label FROM """
-       + PREDICTIONS + " p GROUP BY matrix")
+@query("rate_labels", rounded(f"""SELECT matrix, avg(CASE WHEN preds > 0.9511 THEN 1.0 ELSE 0 END) AS
+ rate, count(*) FILTER (WHERE preds > 0.9511) || ' / ' || count(*) AS label FROM {PREDICTIONS} p
+ GROUP BY matrix""", "rate"))
 def rate_labels(spark, sf):
     return tidy(A.rate_label(predictions(spark, sf), "matrix", F.col("preds") > 0.9511))
 
@@ -206,7 +206,7 @@ def rate_labels(spark, sf):
 @query("length_and_spread", rounded("""SELECT vec_id,
  (2 * (e[1] + e[6] + e[11] + e[16]) - (list_sum(e) - (e[1] + e[6] + e[11] + e[16]))) / 2 AS length,
  list_var_pop(e) / list_avg(e) AS vmr FROM (SELECT vec_id, list_transform(embedding[1:16],
- x -> abs(CAST(x AS DOUBLE))) AS e FROM embeddings)""", "length vmr"))
+ lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings)""", "length vmr"))
 def length_and_spread(spark, sf):
     """Total length of a 4 x 4 matrix and the variance-to-mean ratio of its entries."""
     e = F.transform(F.slice("embedding", 1, 16), lambda x: F.abs(x.cast("double")))
@@ -257,9 +257,8 @@ def counts_for_keys(spark, sf):
     return A.counts_for(found, table(spark, sf, "part").select(F.col("p_partkey").alias("sid")), "sid")
 
 
-@query("nested_to_long", """SELECT vec_id AS ix1, i - 1 AS ix2, round(CAST(embedding[i] AS DOUBLE), 6)
- + 0.0 AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i
- FROM embeddings)""")
+@query("nested_to_long", rounded("""SELECT vec_id AS ix1, i - 1 AS ix2, embedding[i] AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i
+ FROM embeddings)""", "value"))
 def nested_to_long(spark, sf):
     return tidy(A.nested_to_long(table(spark, sf, "embeddings"), "vec_id", "embedding"))
 
@@ -317,9 +316,9 @@ def row_shares(spark, sf):
 
 @query("recombination_rows", rounded(f"""WITH t AS (SELECT dset_no, matrix AS "Length",
  CAST(user_id % 3 AS BIGINT) AS "Fraction", ebl, ibl, y_true, preds FROM {PREDICTIONS} p
- WHERE 6 > ibl AND ibl > 0.1 AND 110 >= ebl AND ebl > 30), f AS (SELECT "Length", ebl, ibl FROM t
- GROUP BY ALL HAVING count(DISTINCT "Fraction") = (SELECT count(DISTINCT "Fraction") FROM t u
- WHERE u."Length" = t."Length")) SELECT dset_no, "Length", "Fraction", preds - y_true AS "ERROR",
+ WHERE 6 > ibl AND ibl > 0.1 AND 110 >= ebl AND ebl > 30), n AS (SELECT "Length", count(DISTINCT "Fraction")
+ AS n FROM t GROUP BY 1), f AS (SELECT "Length", ebl, ibl FROM t JOIN n USING ("Length")
+ GROUP BY "Length", ebl, ibl HAVING count(DISTINCT "Fraction") = max(n)) SELECT dset_no, "Length", "Fraction", preds - y_true AS "ERROR",
  abs(preds - y_true) AS abs_err, CAST(round_even(y_true, 0) = round_even(preds, 0) AS BIGINT) AS
  accuracy, sqrt(((sqrt(y_true) - sqrt(preds)) ** 2 + (sqrt(1 - y_true) - sqrt(1 - preds)) ** 2) / 2)
  AS "dH" FROM t SEMI JOIN f USING ("Length", ebl, ibl)""", "ERROR abs_err dH"))
