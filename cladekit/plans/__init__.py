@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-SUBJECTS = ("relational", "genomes", "statistics", "evaluation", "trees")
+SUBJECTS = (
+    "relational", "genomes", "statistics", "evaluation", "trees", "scoring", "storage", "streams",
+)
 
 
 def load():

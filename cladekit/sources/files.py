@@ -25,10 +25,10 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 
 def _whole_files(spark: SparkSession, path, modified_after: str | None, min_bytes: int | None):
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    df = reader.text(path).select(
+    df = reader.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
     )
