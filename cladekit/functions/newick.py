@@ -94,46 +94,60 @@ def _below(x: Column, shared: Column) -> Column:
     return _total(F.slice(x["lens"], shared + 1, F.size(x["lens"])))
 
 
-def distance(a: Column, b: Column) -> Column:
+def distance(a: Column, b: Column, shared: Column | None = None) -> Column:
     """Path length between two leaf entries."""
-    n = _shared(a, b)
+    n = _shared(a, b) if shared is None else shared
     both = a["len"] + b["len"] + _below(a, n) + _below(b, n)
     return F.when(a.isNotNull() & b.isNotNull(), both)
 
 
-def steps(a: Column, b: Column) -> Column:
+def steps(a: Column, b: Column, shared: Column | None = None) -> Column:
     """Number of edges between two leaf entries."""
-    apart = F.size(a["ids"]) + F.size(b["ids"]) - 2 * _shared(a, b) + 2
+    n = _shared(a, b) if shared is None else shared
+    apart = F.size(a["ids"]) + F.size(b["ids"]) - 2 * n + 2
     return F.when(a.isNotNull() & b.isNotNull(), apart)
 
 
-def covariance(a: Column, b: Column) -> Column:
+def covariance(a: Column, b: Column, shared: Column | None = None) -> Column:
     """Length from the root to the common ancestor of two leaves; to the leaf itself for one."""
-    above = _total(F.slice(a["lens"], F.lit(1), _shared(a, b)))
+    n = _shared(a, b) if shared is None else shared
+    above = _total(F.slice(a["lens"], F.lit(1), n))
     return F.when(a["name"] == b["name"], above + a["len"]).when(
         a.isNotNull() & b.isNotNull(), above)
 
 
-def with_leaves(df, newick: str = "newick", name: str = "_leaves", taxa=LEAVES, rooted: str = "_l"):
-    """Add the leaf array and one entry column per wanted taxon."""
+def _pairs(taxa) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(taxa) for b in taxa[i + 1:]]
+
+
+def with_leaves(df, newick: str = "newick", name: str = "_leaves", taxa=LEAVES):
+    """Add the leaf array, one entry ``_l<taxon>`` per wanted taxon and their shared depths."""
     df = df.withColumn(name, leaf_paths(newick))
-    return df.withColumns({f"{rooted}{t}": leaf(F.col(name), t) for t in taxa})
+    return with_shared(df.withColumns({f"_l{t}": leaf(F.col(name), t) for t in taxa}), taxa)
 
 
-def pair_distances(taxa=LEAVES, rooted: str = "_l") -> dict[str, Column]:
-    out = {}
-    for i, a in enumerate(taxa):
-        for b in taxa[i + 1:]:
-            out[f"{a}_{b}"] = distance(F.col(f"{rooted}{a}"), F.col(f"{rooted}{b}"))
-    return out
+def with_shared(df, taxa=LEAVES):
+    """Add ``_n<a>_<b>``, the number of inner nodes above both leaves, for each pair."""
+    return df.withColumns({
+        f"_n{a}_{b}": _shared(F.col(f"_l{a}"), F.col(f"_l{b}")) for a, b in _pairs(taxa)})
 
 
-def pair_covariances(taxa=LEAVES, rooted: str = "_l") -> dict[str, Column]:
-    out = {}
-    for i, a in enumerate(taxa):
-        for b in taxa[i:]:
-            out[f"{a}_{b}"] = covariance(F.col(f"{rooted}{a}"), F.col(f"{rooted}{b}"))
-    return out
+def without_leaves(df, name: str = "_leaves", taxa=LEAVES):
+    gone = [f"_l{t}" for t in taxa] + [f"_n{a}_{b}" for a, b in _pairs(taxa)]
+    return df.drop(name, *gone)
+
+
+def _each(f, taxa, pairs) -> dict[str, Column]:
+    return {f"{a}_{b}": f(F.col(f"_l{a}"), F.col(f"_l{b}"),
+                          F.col(f"_n{a}_{b}") if a != b else None) for a, b in pairs}
+
+
+def pair_distances(taxa=LEAVES) -> dict[str, Column]:
+    return _each(distance, taxa, _pairs(taxa))
+
+
+def pair_covariances(taxa=LEAVES) -> dict[str, Column]:
+    return _each(covariance, taxa, [*_pairs(taxa), *[(t, t) for t in taxa]])
 
 
 def distance_matrix(pairs: dict[str, Column] | None = None, taxa=LEAVES) -> Column:
@@ -149,22 +163,27 @@ def distance_matrix(pairs: dict[str, Column] | None = None, taxa=LEAVES) -> Colu
 
 def quartet_split(d12_34: Column, d13_24: Column, d14_23: Column) -> Column:
     """Topology id from the smallest of three pair sums; NULL when the smallest is tied."""
-    low = F.least(d12_34, d13_24, d14_23)
-    sums = F.array(d12_34, d13_24, d14_23)
-    once = F.size(F.filter(sums, lambda s: s == low)) == 1
-    return F.when(once, F.array_position(sums, low).cast("int"))
+    def smallest(sums):
+        a, b, c = (F.get(sums, F.lit(i)) for i in range(3))
+        return (
+            F.when((a < b) & (a < c), F.lit(1)).when((b < a) & (b < c), F.lit(2))
+            .when((c < a) & (c < b), F.lit(3))
+        )
+
+    return let(F.array(d12_34, d13_24, d14_23), smallest)
 
 
-def topology_id(taxa=LEAVES, rooted: str = "_l") -> Column:
+def topology_id(taxa=LEAVES) -> Column:
     """Id of the topology the four taxa take once the tree is rooted on the last of them.
 
     Edges count 1 each, so branches of length 0 do not hide a split; only a true
     polytomy gives NULL.
     """
-    a, b, c, d = (F.col(f"{rooted}{t}") for t in taxa)
+    a, b, c, d = taxa
+    s = _each(steps, taxa, _pairs(taxa))
     return quartet_split(
-        steps(a, b) + steps(c, d), steps(a, c) + steps(b, d), steps(a, d) + steps(b, c)
-    )
+        s[f"{a}_{b}"] + s[f"{c}_{d}"], s[f"{a}_{c}"] + s[f"{b}_{d}"],
+        s[f"{a}_{d}"] + s[f"{b}_{c}"])
 
 
 def topology_text(tid) -> Column:

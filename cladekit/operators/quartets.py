@@ -67,21 +67,25 @@ def site_concordance(
     })
 
 
-def quartet_sequences(quartets: DataFrame, sequences: DataFrame, gene: str = "gene",
-                      taxa: Sequence[str] = ("q1", "q2", "q3", "q4")) -> DataFrame:
-    """Put the four sequences next to each listed quartet.
+def attach_each(rows: DataFrame, source: DataFrame, gene: str, key: str, value: str,
+                columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Look up one value per listed column by (gene, key); rows lacking any of them drop out.
 
-    Sequences are long and quartets many, so the quartet slots are joined as narrow rows and
-    gathered by quartet afterwards; the list of quartets is never widened by a product.
+    Joining on both keys spreads the rows of a large gene over its taxa.
     """
-    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(t).alias("name"))
-                      for i, t in enumerate(taxa)])
-    long = quartets.select(gene, *taxa, F.explode(slots).alias("s")).select(
-        gene, *taxa, "s.slot", "s.name")
-    found = long.join(sequences.select(gene, "name", "seq"), [gene, "name"])
-    picks = [F.max(F.when(F.col("slot") == i, F.col("seq"))).alias(f"s{i + 1}") for i in range(4)]
-    wide = found.groupBy(gene, *taxa).agg(*picks)
-    return wide.na.drop(subset=["s1", "s2", "s3", "s4"])
+    for column, name in zip(columns, names):
+        one = source.select(
+            F.col(gene), F.col(key).alias(column), F.col(value).alias(name))
+        rows = rows.join(one, [gene, column])
+    return rows
+
+
+def quartet_sequences(quartets: DataFrame, sequences: DataFrame, gene: str = "gene",
+                      taxa: Sequence[str] = ("q1", "q2", "q3", "q4")) -> DataFrame:
+    """Put the four sequences next to each listed quartet."""
+    return attach_each(
+        quartets.select(gene, *taxa), sequences, gene, "name", "seq", taxa,
+        ["s1", "s2", "s3", "s4"])
 
 
 def named_quartets(
@@ -92,20 +96,15 @@ def named_quartets(
     The halves ``q1,q2`` and ``q3,q4`` survive: each is ordered by clade, then the halves by
     name, so the three concordance columns still know their splits.
     """
-    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"Seq{i}").alias("ix"))
-                      for i in (1, 2, 3, 4)])
-    ids = [gene, "Seq1", "Seq2", "Seq3", "Seq4"]
-    long = quartets.select(*ids, F.explode(slots).alias("s")).select(*ids, "s.slot", "s.ix")
-    named = long.join(taxa.select(gene, "ix", "name"), [gene, "ix"]).groupBy(*ids).agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("name"))).alias(f"n{i}") for i in (1, 2, 3, 4)])
-
     def half(x, y):
         pair = F.array(*[
             F.struct(clade_number(n, clades).alias("k"), F.col(n).alias("n")) for n in (x, y)])
         return F.transform(F.array_sort(pair, lambda p, q: F.when(p["k"] < q["k"], -1)
                                         .when(p["k"] > q["k"], 1).otherwise(0)), lambda s: s["n"])
 
-    rows = quartets.join(named, ids).withColumns({"_l": half("n1", "n2"), "_r": half("n3", "n4")})
+    rows = attach_each(quartets, taxa, gene, "ix", "name", ["Seq1", "Seq2", "Seq3", "Seq4"],
+                       ["n1", "n2", "n3", "n4"])
+    rows = rows.withColumns({"_l": half("n1", "n2"), "_r": half("n3", "n4")})
     ordered = F.when(F.col("_l") <= F.col("_r"), F.concat("_l", "_r")).otherwise(
         F.concat("_r", "_l"))
     rows = rows.withColumn("taxa", ordered)
@@ -157,7 +156,7 @@ def tree_records(df: DataFrame, newick: str = "newick", species: bool = False) -
     out = out.withColumns({"newick": N.canonical_newick(), "pdist": N.distance_matrix()})
     if species:
         out = out.withColumns({"ebl": N.external_length(), "ibl": N.internal_length()})
-    return out.drop("_leaves", *[f"_l{t}" for t in LEAVES])
+    return N.without_leaves(out)
 
 
 def leaf_table(trees: DataFrame, keys: Sequence[str], newick: str = "newick") -> DataFrame:
@@ -170,17 +169,11 @@ def quartet_tree_summary(
     quartets: DataFrame, trees: DataFrame, taxa: Sequence[str], gene: str = "gene",
 ) -> DataFrame:
     """Distances and topology of the larger tree seen by each quartet (taxa as leaves 1 to 4)."""
-    leaves = leaf_table(trees, [gene])
-    slots = F.array(*[F.struct(F.lit(str(i)).alias("slot"), F.col(t).alias("name"))
-                      for i, t in enumerate(taxa, 1)])
-    long = quartets.select(gene, *taxa).distinct().select(
-        gene, *taxa, F.explode(slots).alias("s")).select(gene, *taxa, "s.slot", "s.name")
-    wide = long.join(leaves, [gene, "name"]).groupBy(gene, *taxa).agg(
-        *[F.max_by("leaf", F.when(F.col("slot") == t, 1)).alias(f"_l{t}") for t in LEAVES])
-    return (
-        wide.withColumns(N.pair_distances()).withColumn("tid", N.topology_id())
-        .drop(*[f"_l{t}" for t in LEAVES])
-    )
+    listed = quartets.select(gene, *taxa).distinct()
+    wide = attach_each(listed, leaf_table(trees, [gene]), gene, "name", "leaf", taxa,
+                       [f"_l{t}" for t in LEAVES])
+    out = N.with_shared(wide).withColumns(N.pair_distances()).withColumn("tid", N.topology_id())
+    return N.without_leaves(out)
 
 
 def different_share(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -53,7 +53,7 @@ def number_rows(
     tiebreak: Sequence[str] = (),
     name: str = "rn",
     limit: int | None = None,
-    digits: int = 4,
+    digits: int = 3,
 ) -> DataFrame:
     """1-based row number within ``group`` in the order of a hash key.
 

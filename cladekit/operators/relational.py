@@ -91,6 +91,15 @@ def lookup_list(array: Column, mapping: dict) -> Column:
     return F.transform(array, lambda x: F.element_at(F.create_map(*pairs), x))
 
 
+def spread_if_few_files(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores ahead of heavy row-wise work, if the input has fewer files.
+
+    A table of many files is already spread by its scan and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # ---- joins -------------------------------------------------------------------------------
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

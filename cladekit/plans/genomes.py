@@ -8,8 +8,19 @@ from ..functions.labels import STATS, TIDS, feature_name
 from ..operators import sampling as L
 from ..operators import summary as G
 from ..operators.ranks import hash_key
+from ..operators.relational import trees_with_sites, where_matched_model
 from .registry import query, rounded, tidy
-from .tables import FEATURES, INFERRED, JOINED, LINE_KEY, inferred, joined_trees, table
+from .tables import (
+    FEATURES,
+    INFERRED,
+    JOINED,
+    LINE_KEY,
+    SITE_KEY,
+    inferred,
+    joined_trees,
+    sites,
+    table,
+)
 
 GENES = 10
 _ORDER = "randomcolumn, " + ", ".join(LINE_KEY)
@@ -38,10 +49,14 @@ def _dealt(source: str, limit: str = "") -> str:
 
 @query("genome_summary", rounded(_wide_sql(_dealt(JOINED), "sid, dset_no"), _doubles()))
 def genome_summary(spark, sf):
-    """Every species tree's gene trees dealt into genomes, one 168-column row each."""
-    rows = joined_trees(spark, sf)
-    dealt = L.shuffled_genomes(rows, ["sid"], GENES, "randomcolumn", LINE_KEY)
-    return tidy(G.genome_rows(dealt, ["sid", "dset_no"], FEATURES))
+    """Every species tree's gene trees dealt into genomes, one 168-column row each.
+
+    Sites have one row per key, so trees are drawn and dealt before they are widened.
+    """
+    dealt = L.shuffled_genomes(
+        where_matched_model(inferred(spark, sf)), ["sid"], GENES, "randomcolumn", LINE_KEY)
+    rows = trees_with_sites(dealt, sites(spark, sf), SITE_KEY, matched_model=False)
+    return tidy(G.genome_rows(rows, ["sid", "dset_no"], FEATURES))
 
 
 @query("sampled_genomes", rounded(_wide_sql(
@@ -49,18 +64,24 @@ def genome_summary(spark, sf):
     _doubles(["1_2", "top_1"])))
 def sampled_genomes(spark, sf):
     """One genome per species tree from the rows with the smallest random keys."""
-    rows = joined_trees(spark, sf)
-    dealt = L.shuffled_genomes(rows, ["sid"], GENES, "randomcolumn", LINE_KEY, limit=GENES)
-    return tidy(G.genome_rows(dealt, ["sid", "dset_no"], ["1_2", "top_1"]))
+    drawn = L.shuffled_genomes(
+        where_matched_model(inferred(spark, sf)), ["sid"], GENES, "randomcolumn", LINE_KEY,
+        limit=GENES)
+    rows = trees_with_sites(drawn, sites(spark, sf), SITE_KEY, matched_model=False)
+    return tidy(G.genome_rows(rows, ["sid", "dset_no"], ["1_2", "top_1"]))
 
 
-@query("genome_long", rounded(f"""SELECT sid, feature, 'mean' AS stat, tid,
- avg(v) AS value FROM (UNPIVOT (SELECT sid, tid, "1_2", "top_1" FROM {JOINED} j) ON "1_2", "top_1"
- INTO NAME feature VALUE v) GROUP BY ALL""", "value"))
+@query("genome_long", rounded(f"""WITH v AS (UNPIVOT (SELECT sid, dset_no, tid, "1_2", "top_1" FROM
+ {_dealt(JOINED)} d) ON "1_2", "top_1" INTO NAME feature VALUE v) SELECT sid, dset_no, feature, 'mean' AS stat,
+ tid, avg(v) AS value FROM v GROUP BY ALL UNION ALL SELECT sid, dset_no, feature, 'median', tid, median(v)
+ FROM v GROUP BY ALL""", "value"))
 def genome_long(spark, sf):
-    """Mean features as rows, one genome per species tree."""
-    long = G.genome_long(joined_trees(spark, sf), ["sid"], ["1_2", "top_1"])
-    return tidy(long.where("stat = 'mean' AND value IS NOT NULL"))
+    """Two statistics of two features of every genome, as rows."""
+    dealt = L.shuffled_genomes(
+        where_matched_model(inferred(spark, sf)), ["sid"], GENES, "randomcolumn", LINE_KEY)
+    rows = trees_with_sites(dealt, sites(spark, sf), SITE_KEY, matched_model=False)
+    long = G.genome_long(rows, ["sid", "dset_no"], ["1_2", "top_1"])
+    return tidy(long.where("stat IN ('mean', 'median') AND value IS NOT NULL"))
 
 
 @query("top_by_key", f"""SELECT sid, tree_no, ds_no, line_no FROM {INFERRED} i QUALIFY

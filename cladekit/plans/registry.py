@@ -20,18 +20,19 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round measures for display; whole numbers become BIGINT and FLOAT becomes DOUBLE.
+# Added before rounding down: one half, and a nudge far below the last digit shown so that
+# exact halves go the same way in every engine.
+HALF = 0.503
+
 
-    The nudge, far below the last digit shown, makes exact halves go the same way in every
-    engine.
-    """
-    nudge = F.lit(3 * 10.0 ** -(digits + 4))
+def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round measures for display; whole numbers become BIGINT and FLOAT becomes DOUBLE."""
+    scale = F.lit(10.0**digits)
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            c = F.round(c.cast("double") + nudge, digits) + F.lit(0.0)
+            c = F.floor(c.cast("double") * scale + HALF) / scale
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         out.append(c.alias(name))
@@ -41,7 +42,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 def rounded(inner: str, columns: list[str] | str, digits: int = 6) -> str:
     """The same rounding around a SQL text."""
     names = columns.split() if isinstance(columns, str) else columns
-    nudge = f"CAST({3 * 10.0 ** -(digits + 4)!r} AS DOUBLE)"
+    scale = f"CAST({10.0**digits!r} AS DOUBLE)"
     swaps = ", ".join(
-        f'(round(CAST("{c}" AS DOUBLE) + {nudge}, {digits}) + 0.0) AS "{c}"' for c in names)
+        f'(floor(CAST("{c}" AS DOUBLE) * {scale} + CAST({HALF} AS DOUBLE)) / {scale} + 0.0) AS "{c}"'
+        for c in names)
     return f"SELECT * REPLACE ({swaps}) FROM ({inner}) AS shown"

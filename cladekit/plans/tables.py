@@ -9,6 +9,7 @@ from ..functions.labels import genome_features
 from ..operators.ranks import hash_key
 
 LINE_KEY = ["tree_no", "sid", "ds_no", "line_no"]
+SITE_KEY = ["tree_no", "sim_model"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ SPECIES = """(SELECT p_partkey AS sid, CAST(p_size AS DOUBLE) AS ebl,
 def joined_trees(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.relational import trees_with_sites
 
-    return trees_with_sites(inferred(spark, sf), sites(spark, sf), ["tree_no", "sim_model"])
+    return trees_with_sites(inferred(spark, sf), sites(spark, sf), SITE_KEY)
 
 
 JOINED = f"""(SELECT * FROM (SELECT * FROM {INFERRED} a WHERE contains(infer_model, sim_model)) i
@@ -126,8 +127,12 @@ def newick_trees(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(f",({x}:"), q.cast("string"), F.lit(f",{y}:"), (q + d).cast("string"),
             F.lit("):"), (t + 1).cast("string"), F.lit("):"), (d + 2).cast("string"), F.lit(");"))
 
+    from ..operators.relational import spread_if_few_files
+
     shape = n % 3
-    return table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return spread_if_few_files(lines).select(
         F.col("l_partkey").alias("sid"), F.col("l_orderkey").alias("tree_no"),
         F.col("l_suppkey").alias("ds_no"), F.col("l_linenumber").alias("line_no"),
         F.when(shape == 0, text("1", "2", "3")).when(shape == 1, text("1", "3", "2"))

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..functions.labels import flatten_pairs, pair_labels
 from ..operators import permute as P
 from ..operators import quartets as Q
+from ..operators.relational import spread_if_few_files
 from .registry import query, rounded, tidy
 from .tables import NEWICK, newick_trees, table
 
@@ -97,7 +98,8 @@ def rf_share(spark, sf):
         return F.when(shape == 0, "(4:1,(3:1,(1:1,2:1):1):1);").when(
             shape == 1, "(4:1,(2:1,(3:1,1:1):1):1);").otherwise("(4:1,(1:1,(2:1,3:1):1):1);")
 
-    pairs = table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    pairs = spread_if_few_files(lines).select(
         text(F.col("l_linenumber") % 3).alias("a"),
         text((F.col("l_suppkey") + F.col("l_orderkey")) % 3).alias("b"))
     return tidy(Q.different_share(pairs, "a", "b"))
