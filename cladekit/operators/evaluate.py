@@ -18,7 +18,7 @@ from .ranks import (
     value_bucket,
     value_positions,
 )
-from .relational import common_keys, union_rows
+from .relational import union_rows
 
 CONDITION = ("ebl", "ibl")
 
@@ -276,13 +276,15 @@ def average_topology(
 def compare_conditions(
     frames: dict[str, DataFrame], keys: Sequence[str] = CONDITION, name: str = "Condition",
 ) -> DataFrame:
-    """Condition errors of several prediction sets, on the keys they all share."""
-    scored = {k: condition_errors(f, keys) for k, f in frames.items()}
-    shared = common_keys(list(scored.values()), keys)
-    return union_rows(*[
-        f.join(shared, list(keys), "left_semi").withColumn(name, F.lit(k))
-        for k, f in scored.items()
-    ])
+    """Condition errors of several prediction sets, on the keys they all share.
+
+    The sets are scored together with their name in the key; the result has one row per
+    condition and set, so counting the sets of a condition is a small window.
+    """
+    rows = union_rows(*[f.withColumn(name, F.lit(k)) for k, f in frames.items()])
+    scored = condition_errors(rows, [*keys, name])
+    sets = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return scored.withColumn("_sets", sets).where(F.col("_sets") == len(frames)).drop("_sets")
 
 
 def prediction_rows(df: DataFrame, y="y_true", preds="preds") -> DataFrame:

@@ -28,8 +28,8 @@ _P = "1 - 2 * exp(-2 * ibl) / 3"
 @query("log_odds_labels", rounded(f"""WITH c AS (SELECT ebl, ibl, tid, count(*) AS n FROM (SELECT l_partkey
  AS sid, l_linenumber % 3 + 1 AS tid FROM lineitem) JOIN {SPECIES} s USING (sid) GROUP BY ALL), f AS (SELECT
  ebl, ibl, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY ebl, ibl) AS f, tid FROM c), t AS (SELECT * FROM f
- WHERE tid = 1) SELECT sid, {_ODDS.format(y=f'({_P})', e='1e-11')} AS y_prob, {_ODDS.format(y='f', e='1e-10')}
- AS y_true, 1 / (1 + exp(-{_ODDS.format(y=f'({_P})', e='1e-11')})) AS y FROM {SPECIES} s LEFT JOIN t
+ WHERE tid = 1) SELECT sid, {_ODDS.format(y=f'({_P})', e='1e-11')} AS y_prob, CASE WHEN f IS NOT NULL THEN
+ {_ODDS.format(y='f', e='1e-10')} END AS y_true, 1 / (1 + exp(-{_ODDS.format(y=f'({_P})', e='1e-11')})) AS y FROM {SPECIES} s LEFT JOIN t
  USING (ebl, ibl)""", "y_prob y_true y"))
 def log_odds_labels(spark, sf):
     """Log odds of the expected and of the counted concordance, and the regression target."""

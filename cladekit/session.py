@@ -19,11 +19,18 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+_TEMPORARY: dict[str, str] = {}
+
+
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, shared: str | None = None,
+) -> SparkSession:
     """A session for tests and benches on one machine."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("cladekit")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
@@ -39,9 +46,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="cladekit-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _TEMPORARY:
+        _TEMPORARY[app] = tempfile.mkdtemp(prefix="cladekit-")
+    return _TEMPORARY[app]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
