@@ -23,13 +23,13 @@ def topology_counts(df: DataFrame, key: str = "sid", tid: str = "tid") -> DataFr
 
 def share_of(count: Column, wanted: Column) -> Column:
     """Aggregate: part of ``count`` that falls on the wanted rows."""
-    return F.sum(F.when(wanted, count)) / F.sum(count)
+    return F.try_divide(F.sum(F.when(wanted, count)), F.sum(count))
 
 
 def shares_within(df: DataFrame, keys: Sequence[str], count: str, name: str = "share") -> DataFrame:
     """Each row's part of its group's total."""
     out = with_group(df, keys, F.sum(count).alias("_sum"))
-    return out.withColumn(name, F.col(count) / F.col("_sum")).drop("_sum")
+    return out.withColumn(name, F.try_divide(count, "_sum")).drop("_sum")
 
 
 def cross_counts(df: DataFrame, a: str, b: str, name: str = "c") -> DataFrame:
@@ -56,7 +56,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[
 
 def balance(df: DataFrame, keys: Sequence[str], count: str, tol: float, least: int = 3) -> DataFrame:
     """Groups whose counts are nearly equal: (max - min) / sum below ``tol``."""
-    ratio = (F.max(count) - F.min(count)) / F.sum(count)
+    ratio = F.try_divide(F.max(count) - F.min(count), F.sum(count))
     return (
         df.groupBy(*keys)
         .agg(ratio.alias("diff"), F.count(count).alias("n"))
@@ -161,16 +161,16 @@ def rate_label(df: DataFrame, key: str, hit: Column) -> DataFrame:
 
 
 def variance_to_mean(value: str) -> Column:
-    return F.var_pop(value) / F.avg(value)
+    return F.try_divide(F.var_pop(value), F.avg(value))
 
 
 def array_variance_to_mean(values) -> Column:
     """Row-wise variance-to-mean ratio of an array, NULLs skipped."""
     values = F.filter(values, lambda x: x.isNotNull())
     n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return var / mean
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), n)
+    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    return F.try_divide(F.try_divide(squares, n), mean)
 
 
 def total_length(covariance) -> Column:
@@ -303,7 +303,7 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def row_shares(df: DataFrame, counts: Sequence[str]) -> DataFrame:
     """Each count column divided by the row's sum."""
     total = sum(F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in counts)
-    return df.withColumns({f"{c}_share": F.col(f"`{c}`") / total for c in counts})
+    return df.withColumns({f"{c}_share": F.try_divide(F.col(f"`{c}`"), total) for c in counts})
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 200) -> DataFrame:

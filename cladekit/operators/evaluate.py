@@ -28,7 +28,7 @@ def error_columns(p: str, q: str) -> dict[str, Column]:
     p, q = F.col(p), F.col(q)
     return {
         "dH": S.hellinger(p, q), "dKL": S.kl_bernoulli(p, q), "dTV": S.total_variation(p, q),
-        "ERROR": q - p, "REL_ERR": (q - p) / p, "ACC": S.rounds_alike(p, q),
+        "ERROR": q - p, "REL_ERR": F.try_divide(q - p, p), "ACC": S.rounds_alike(p, q),
     }
 
 
@@ -104,7 +104,7 @@ def topology_summary(
     whole = sum(probs)
     truth = F.lit(None).cast("double")
     for i, p in enumerate(probs):
-        truth = F.when(F.col("y_true") == i, p / whole).otherwise(truth)
+        truth = F.when(F.col("y_true") == i, F.try_divide(p, whole)).otherwise(truth)
     hit = (S.argmax(probs) == F.col("y_true")).cast("double")
     return df.groupBy(*keys).agg(
         F.avg(hit).alias("accuracy"),
@@ -194,8 +194,8 @@ def roc_points(df: DataFrame, positive: Column, score="preds", keys: Sequence[st
     """One ROC point per distinct score."""
     cum = cumulative_counts(df, keys, score, positive)
     return cum.select(
-        *keys, F.col(score).alias("threshold"), (F.col("tp") / F.col("pos")).alias("tpr"),
-        (F.col("fp") / F.col("neg")).alias("fpr"))
+        *keys, F.col(score).alias("threshold"), F.try_divide("tp", "pos").alias("tpr"),
+        F.try_divide("fp", "neg").alias("fpr"))
 
 
 def confusion_shares(
@@ -233,8 +233,8 @@ def tail_z_scores(
         ))
     long = rows.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("v")).select("v.*")
     out = long.select(
-        "variable", ((F.col("lo") - F.col("m")) / F.col("s")).alias("z_low"),
-        ((F.col("hi") - F.col("m")) / F.col("s")).alias("z_high"),
+        "variable", F.try_divide(F.col("lo") - F.col("m"), "s").alias("z_low"),
+        F.try_divide(F.col("hi") - F.col("m"), "s").alias("z_high"),
     ).withColumn("low_minus_high", F.col("z_low") - F.col("z_high"))
     if cutoff is None:
         return out
@@ -250,8 +250,9 @@ def interval_z_scores(
     for v in variables:
         x = F.col(f"`{v}`")
         inside = [
-            ((F.avg(F.when((F.col(score) > lo) & (F.col(score) < hi), x)) - F.avg(x))
-             / F.stddev_samp(x)).alias(f"z{i}")
+            F.try_divide(
+                F.avg(F.when((F.col(score) > lo) & (F.col(score) < hi), x)) - F.avg(x),
+                F.stddev_samp(x)).alias(f"z{i}")
             for i, (lo, hi) in enumerate(intervals)
         ]
         aggs.append(F.struct(F.lit(v).alias("variable"), *inside))
@@ -305,7 +306,7 @@ def learner_errors(
         e = F.col(c) - F.col(y)
         if kind == "absolute":
             return F.abs(e)
-        return e / F.col(y) if kind == "relative" else e
+        return F.try_divide(e, F.col(y)) if kind == "relative" else e
 
     means = df.groupBy(*ids).agg(*[F.avg(one(c)).alias(c) for c in learners])
     return unpivot(means, ids, learners, "Algorithm", "preds").where(F.col("preds").isNotNull())
@@ -319,7 +320,7 @@ def model_maps(
     q, true = F.col("value"), F.col("_p")
     out = long.groupBy(*keys, "model").agg(
         F.stddev_samp(q).alias("std"), F.avg(q).alias("mean"),
-        F.avg((q - true) / true).alias("rel_err"),
+        F.avg(F.try_divide(q - true, true)).alias("rel_err"),
         F.avg(S.kl_bernoulli(true, q)).alias("kl"), F.max(S.kl_bernoulli(true, q)).alias("max_kl"),
         F.avg(S.hellinger(true, q)).alias("hellinger"),
         F.max(S.hellinger(true, q)).alias("max_hellinger"),

@@ -22,7 +22,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def accuracy(y, p) -> Column:
     tp, tn, fp, fn = _cells(y, p)
-    return (tp + tn) / (tp + tn + fp + fn)
+    return F.try_divide(tp + tn, tp + tn + fp + fn)
 
 
 def precision(y, p) -> Column:
@@ -54,7 +54,7 @@ def mae(y, p) -> Column:
 
 
 def explained_variance(y, p) -> Column:
-    return 1 - F.var_pop(F.col(y) - F.col(p)) / F.var_pop(y)
+    return 1 - F.try_divide(F.var_pop(F.col(y) - F.col(p)), F.var_pop(y))
 
 
 REGRESSION = {"MSE": mse, "MAE": mae, "EV": explained_variance}

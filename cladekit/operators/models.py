@@ -268,7 +268,7 @@ def linear_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataF
     r2 = F.regr_r2(y, x)
     return df.groupBy(*keys).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        r2.alias("r2"), (r2 / (1 - r2) * (n - 2)).alias("f"), n.cast("long").alias("n"))
+        r2.alias("r2"), (F.try_divide(r2, 1 - r2) * (n - 2)).alias("f"), n.cast("long").alias("n"))
 
 
 def _terms(formula_terms: Sequence[str]) -> str:

@@ -26,9 +26,10 @@ def kruskal_wallis(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
                  F.sum(f"_n{i}").alias(f"_c{i}")]
     per = ranks.groupBy(*keys).agg(*aggs)
     big = F.col("_N")
-    spread = sum(F.col(f"_R{i}") * F.col(f"_R{i}") / F.col(f"_c{i}") for i in range(len(columns)))
+    spread = sum(F.try_divide(F.col(f"_R{i}") * F.col(f"_R{i}"), f"_c{i}")
+                 for i in range(len(columns)))
     h = 12 / (big * (big + 1)) * spread - 3 * (big + 1)
-    h = h / (1 - F.col("_ties") / (big * big * big - big))
+    h = F.try_divide(h, 1 - F.try_divide(F.col("_ties"), big * big * big - big))
     return per.select(*keys, h.alias("stat")).withColumn(
         "pval", chi2_tail("stat", len(columns) - 1))
 
@@ -58,7 +59,7 @@ def signed_rank(
     n = F.col("_n")
     mean = n * (n + 1) / 4
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
-    z = (F.col("wplus") - mean) / F.sqrt(var)
+    z = F.try_divide(F.col("wplus") - mean, F.sqrt(var))
     out = per.select(*keys, "pair", "wplus", F.col("_n").cast("long").alias("n"), z.alias("z"))
     if alternative == "greater":
         return out.withColumn("pval", normal_tail("z"))
@@ -82,8 +83,8 @@ def mann_whitney(df: DataFrame, columns: Sequence[str], first: Column) -> DataFr
     a, big = F.col("_a"), F.col("_N")
     b = big - a
     u = F.col("_R1") - a * (a + 1) / 2
-    sd = F.sqrt(a * b / 12 * ((big + 1) - F.col("_ties") / (big * (big - 1))))
-    z = (F.abs(u - a * b / 2) - 0.5) / sd
+    sd = F.sqrt(a * b / 12 * ((big + 1) - F.try_divide(F.col("_ties"), big * (big - 1))))
+    z = F.try_divide(F.abs(u - a * b / 2) - 0.5, sd)
     return per.select("variable", u.alias("u"), z.alias("z")).withColumn(
         "pval", F.least(2 * normal_tail("z"), F.lit(1.0)))
 

@@ -169,7 +169,7 @@ def outer_fraction(concordant: DataFrame, discordant: DataFrame, keys: Sequence[
     a = concordant.withColumnRenamed("c", "c_x")
     b = discordant.withColumnRenamed("c", "c_y")
     return a.join(b, list(keys), "full").withColumn(
-        "n", F.col("c_x") / (F.col("c_x") + F.col("c_y"))
+        "n", F.try_divide(F.col("c_x"), F.col("c_x") + F.col("c_y"))
     )
 
 

@@ -134,4 +134,4 @@ def z_normalised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = [F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns]
     rows = df.withColumn("_z", df.agg(F.struct(*parts)).scalar())
     return rows.withColumns({
-        c: (F.col(c) - F.col("_z")[c]["m"]) / F.col("_z")[c]["s"] for c in columns}).drop("_z")
+        c: F.try_divide(F.col(c) - F.col("_z")[c]["m"], F.col("_z")[c]["s"]) for c in columns}).drop("_z")

@@ -138,9 +138,9 @@ def auc_thresholds(spark, sf):
 
 
 _ROC = f"""(SELECT DISTINCT matrix, preds AS threshold,
- CAST(count(*) FILTER (WHERE y_true > 0.9) OVER w AS DOUBLE) / count(*) FILTER (WHERE y_true > 0.9) OVER
- (PARTITION BY matrix) AS tpr, CAST(count(*) FILTER (WHERE y_true <= 0.9) OVER w AS DOUBLE) / count(*)
- FILTER (WHERE y_true <= 0.9) OVER (PARTITION BY matrix) AS fpr FROM {PREDICTIONS} p
+ CAST(count(*) FILTER (WHERE y_true > 0.9) OVER w AS DOUBLE) / nullif(count(*) FILTER (WHERE y_true > 0.9) OVER
+ (PARTITION BY matrix), 0) AS tpr, CAST(count(*) FILTER (WHERE y_true <= 0.9) OVER w AS DOUBLE) / nullif(count(*)
+ FILTER (WHERE y_true <= 0.9) OVER (PARTITION BY matrix), 0) AS fpr FROM {PREDICTIONS} p
  WINDOW w AS (PARTITION BY matrix ORDER BY preds DESC RANGE BETWEEN UNBOUNDED PRECEDING AND
  CURRENT ROW))"""
 

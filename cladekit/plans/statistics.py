@@ -366,10 +366,10 @@ def regression_metrics(spark, sf):
  AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE NOT y AND p) AS DOUBLE) AS fp,
  CAST(count(*) FILTER (WHERE y AND NOT p) AS DOUBLE) AS fn, CAST(sum(k) FILTER (WHERE y) AS DOUBLE)
  AS rs FROM r GROUP BY 1)
- SELECT matrix, (tp + tn) / (tp + tn + fp + fn) AS "Acc", 2 * tp / (2 * tp + fp + fn) AS "F1",
- tp / (tp + fp) AS "Prec", tp / (tp + fn) AS "Recall", (tp * tn - fp * fn) / sqrt((tp + fp) *
- (tp + fn) * (tn + fp) * (tn + fn)) AS "MCC",
- (rs - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (tn + fp)) AS "AUC" FROM c""",
+ SELECT matrix, (tp + tn) / (tp + tn + fp + fn) AS "Acc", coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)
+ AS "F1", coalesce(tp / nullif(tp + fp, 0), 0) AS "Prec", coalesce(tp / nullif(tp + fn, 0), 0) AS "Recall",
+ coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) AS "MCC",
+ (rs - (tp + fn) * (tp + fn + 1) / 2) / nullif((tp + fn) * (tn + fp), 0) AS "AUC" FROM c""",
                                 "Acc F1 Prec Recall MCC AUC"))
 def class_metrics(spark, sf):
     rows = predictions(spark, sf).select(

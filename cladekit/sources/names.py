@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The name formats of the input files.
-SPECIES_TREE = r"t_([\d.]+)_([\d.]+)_([\d.]+)"
+SPECIES_TREE = r"t_(\d+(?:\.\d+)?)_(\d+(?:\.\d+)?)_(\d+(?:\.\d+)?)"
 RUN_NAME = r"(t_\d.*)_(WAG|LG)_[PROTCA]*(LG|WAG)[+G]*[._](ds\d+\.)?"
 SITE_RUN_NAME = r"(t_\d.*)_(WAG|LG)[._](?:ds(\d+))?"
 BLOCK_FOLDER = r"(\d+)bp_b(\d+)_g(\d+)"
