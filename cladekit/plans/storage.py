@@ -33,17 +33,10 @@ def newick_scan(spark, sf):
         F.explode(F.array(
             F.concat((F.col("sid") * 1000000 + F.col("ds_no")).cast("string"), F.lit(" "), "newick"),
             F.concat(F.lit("# tree "), F.col("sid").cast("string")))).alias("value"))
-    # numbers of this size need a wide type, so they are kept as text before the tree
     path = _text_files(trees, spark, "trees", "stree", "gzip")
-    lines = spark.read.option("recursiveFileLookup", True).text(path).withColumn(
-        "file_path", F.col("_metadata.file_path"))
-    from ..functions.scalars import is_newick
-
-    kept = lines.where(is_newick("value"))
-    words = F.split("value", " ")
-    return kept.groupBy(
-        _kept("file_path", "stree").cast("long").alias("stree"),
-        words[0].cast("long").alias("tree_no")).agg(F.count("*").alias("n"))
+    out = files.read_tree_files(spark, path, large=True)
+    return out.groupBy(_kept("file_path", "stree").cast("long").alias("stree"), "tree_no").agg(
+        F.count("*").alias("n"))
 
 
 @query("newick_ordinals", """SELECT o_custkey % 10 AS stree, count(*) AS trees, count(*) - 1 AS last,
@@ -56,7 +49,7 @@ def newick_ordinals(spark, sf):
         (F.col("o_custkey") % 10).alias("stree"),
         F.explode(F.array(F.lit("not a tree"), text)).alias("value"))
     path = _text_files(rows.repartition("stree"), spark, "ordinals", "stree")
-    trees = files.read_tree_files(spark, path, min_bytes=0)
+    trees = files.read_tree_files(spark, path, min_bytes=0, large=True)
     return trees.groupBy(_kept("file_path", "stree").cast("long").alias("stree")).agg(
         F.count("*").alias("trees"), F.max("tree_no").cast("long").alias("last"),
         F.count_if(F.col("newick").contains("(1:1,2:1)")).alias("f"))
@@ -71,13 +64,13 @@ def site_count_scan(spark, sf):
                        F.lit("3"), F.col("o_custkey").cast("string"))
     rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kind"), line.alias("value"))
     path = _text_files(rows.repartition("kind"), spark, "sites", "kind")
-    out = files.read_site_counts(spark, path)
+    out = files.read_site_counts(spark, path, large=True)
     return tidy(out.groupBy(F.url_decode(_kept("file_path", "kind")).alias("kind")).agg(
         F.sum("top_1").alias("top_1"), F.sum("nsites").alias("nsites"), F.count("*").alias("n"),
         F.max("tree_no").cast("long").alias("last")), 2)
 
 
-@query("quartet_scan", rounded("""SELECT l_linenumber AS gene, count(*) AS n, sum(l_suppkey)::BIGINT AS s1,
+@query("quartet_scan", rounded("""SELECT l_partkey // 20 AS gene, count(*) AS n, sum(l_suppkey)::BIGINT AS s1,
  sum(l_quantity) AS qcf, sum(l_tax) AS qn FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1""",
                                "qcf qn", 3))
 def quartet_scan(spark, sf):
@@ -90,7 +83,7 @@ def quartet_scan(spark, sf):
         F.col("l_quantity").cast("string"), F.lit("1"), missing, F.lit("1"),
         F.col("l_discount").cast("string"), F.lit("1"), F.col("l_tax").cast("string"))
     head = F.lit("ID Seq1 Seq2 Seq3 Seq4 qCF qCF_N qDF1 qDF1_N qDF2 qDF2_N qN")
-    rows = li.select(F.col("l_linenumber").alias("gene"), body.alias("value"), F.lit(1).alias("_o"))
+    rows = li.select(F.floor(F.col("l_partkey") / 20).alias("gene"), body.alias("value"), F.lit(1).alias("_o"))
     heads = rows.select("gene").distinct().select("gene", head.alias("value"), F.lit(0).alias("_o"))
     whole = heads.unionByName(rows).repartition("gene").sortWithinPartitions("gene", "_o")
     path = _text_files(whole.drop("_o"), spark, "quartets", "gene")

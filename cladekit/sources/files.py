@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import is_newick
 from .names import base_name, folder_name
@@ -41,12 +42,48 @@ def _lines(value="value") -> Column:
     return F.split(value, r"\r?\n")
 
 
+def numbered_lines(
+    spark: SparkSession, path, keep, modified_after: str | None = None,
+    min_bytes: int | None = None,
+) -> DataFrame:
+    """Kept lines of files of any size with their 0-based place in the file: ``pos, line``.
+
+    Files are read in blocks. The kept lines of the blocks before give the offset of a block,
+    so no file has to fit in one row or one task.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    lines = reader.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_size").alias("_bytes"))
+    if min_bytes is not None:
+        lines = lines.where(F.col("_bytes") > min_bytes)
+    lines = lines.drop("_bytes").where(keep(F.col("line")))
+    sizes = lines.groupBy("file_path", "_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "file_path", "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("file_path", "_block").orderBy("_row")
+    return (
+        lines.withColumn("_row", F.monotonically_increasing_id())
+        .join(offsets, ["file_path", "_block"])
+        .select("file_path", "line",
+                (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias("pos"))
+    )
+
+
 def tree_lines(files: DataFrame) -> DataFrame:
     """Newick rows of whole-file text; numbers count the kept lines unless a line has its own."""
     kept = F.filter(_lines(), is_newick)
-    rows = files.select("file_path", F.posexplode(kept).alias("pos", "line"))
+    return _tree_rows(files.select("file_path", F.posexplode(kept).alias("pos", "line")))
+
+
+def _tree_rows(rows: DataFrame) -> DataFrame:
     words = F.split(F.trim("line"), r"\s+")
-    own = F.when(F.size(words) == 2, words[0].try_cast("int"))
+    own = F.when(F.size(words) == 2, words[0].try_cast("long"))
     return rows.select(
         "file_path", F.element_at(words, -1).alias("newick"),
         F.coalesce(own, F.col("pos")).alias("tree_no"),
@@ -55,11 +92,15 @@ def tree_lines(files: DataFrame) -> DataFrame:
 
 def read_tree_files(
     spark: SparkSession, path, modified_after: str | None = None, min_bytes: int | None = None,
+    large: bool = False,
 ) -> DataFrame:
     """Newick files, plain or gzipped: ``file_path, tree_no, newick``.
 
     ``modified_after`` (a timestamp text) and ``min_bytes`` skip old and near-empty files.
+    Small files are read whole; ``large`` reads in blocks and costs one shuffle.
     """
+    if large:
+        return _tree_rows(numbered_lines(spark, path, is_newick, modified_after, min_bytes))
     return tree_lines(_whole_files(spark, path, modified_after, min_bytes))
 
 
@@ -70,11 +111,19 @@ def read_trees(spark: SparkSession, path) -> DataFrame:
         "file_path", F.posexplode(kept).alias("tree_no", "newick"))
 
 
-def read_site_counts(spark: SparkSession, path, min_bytes: int | None = None) -> DataFrame:
+def _filled(line) -> Column:
+    return F.length(F.trim(line)) > 0
+
+
+def read_site_counts(spark: SparkSession, path, min_bytes: int | None = None,
+                     large: bool = False) -> DataFrame:
     """Headerless tab-separated files; columns 2-5 are the counts, the line number the tree."""
-    rows = F.filter(_lines(), lambda s: F.length(F.trim(s)) > 0)
-    df = _whole_files(spark, path, None, min_bytes).select(
-        "file_path", F.posexplode(rows).alias("tree_no", "line"))
+    if large:
+        df = numbered_lines(spark, path, _filled, None, min_bytes)
+        df = df.withColumnRenamed("pos", "tree_no")
+    else:
+        df = _whole_files(spark, path, None, min_bytes).select(
+            "file_path", F.posexplode(F.filter(_lines(), _filled)).alias("tree_no", "line"))
     cells = F.split("line", "\t")
     names = ("top_1", "top_2", "top_3", "nsites")
     return df.select(
@@ -88,7 +137,7 @@ QUARTET_COLUMNS = ("Seq1", "Seq2", "Seq3", "Seq4", "qCF", "qDF1", "qDF2", "qN")
 def read_quartets(spark: SparkSession, path) -> DataFrame:
     """Whitespace-separated quartet files with a header line; rows with a gap are dropped."""
     files = _whole_files(spark, path, None, None)
-    kept = F.filter(_lines(), lambda s: F.length(F.trim(s)) > 0)
+    kept = F.filter(_lines(), _filled)
     rows = files.select("file_path", kept.alias("lines")).select(
         "file_path", F.split(F.trim(F.col("lines")[0]), r"\s+").alias("head"),
         F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line"))
