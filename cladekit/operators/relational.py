@@ -146,16 +146,19 @@ def trees_with_sites(
     return trees.join(sites, list(keys), "left")
 
 
-def star_view(
+def star_views(
     true_trees: DataFrame, generated: DataFrame, species: DataFrame, inferred: DataFrame,
-    sim_model: str, infer_model: str,
+    pairs: Sequence[tuple[str, str]],
 ) -> DataFrame:
-    """Inferred, true and species measures of each gene tree for one pair of models.
+    """Inferred, true and species measures of each gene tree, for several pairs of models.
 
     Inputs carry already prefixed measures: true trees key ``gid``; ``generated`` maps
-    ``gid`` to ``sid``; inferred rows point to ``gid``.
+    ``gid`` to ``sid``; inferred rows point to ``gid``. The pairs share one pass and are told
+    apart by ``view``, ``simulated/inferred``.
     """
-    chosen = where_equal(inferred, sim_model=sim_model, infer_model=infer_model)
+    view = F.concat_ws("/", "sim_model", "infer_model")
+    chosen = inferred.withColumn("view", view).where(
+        F.col("view").isin([f"{s}/{i}" for s, i in pairs]))
     return (
         true_trees.join(generated, "gid")
         .join(species, "sid", "left")

@@ -111,12 +111,10 @@ def star_view(spark, sf):
         F.col("l_orderkey").alias("gid"), "l_partkey", "l_suppkey", "l_linenumber",
         F.col("l_linestatus").alias("sim_model"), F.col("l_returnflag").alias("infer_model"),
         F.col("l_extendedprice").alias("i_1_1"))
-    views = [
-        R.star_view(true, generated, strees, lines, s, i).select(
-            F.lit(f"{s}/{i}").alias("view"), "gid", "sid", "l_partkey", "l_suppkey",
-            "l_linenumber", "i_1_1", "g_1_1", "s_1_1", "ibl", "ebl")
-        for s, i in _STAR]
-    return tidy(R.union_rows(*views))
+    views = R.star_views(true, generated, strees, lines, _STAR)
+    return tidy(views.select(
+        "view", "gid", "sid", "l_partkey", "l_suppkey", "l_linenumber", "i_1_1", "g_1_1", "s_1_1",
+        "ibl", "ebl"))
 
 
 @query("row_index_join", rounded(f"""SELECT sid, ebl, ibl FROM {SPECIES} s WHERE sid IN
