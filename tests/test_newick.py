@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from cladekit.functions import newick as N
 from cladekit.operators import quartets as Q
 
@@ -71,4 +69,3 @@ def test_quartet_of_a_larger_tree(spark):
     assert len(rows) == 1
     assert rows[0]["1_2"] == 1 + 3 + 6 + 4 and rows[0]["2_3"] == 9 and rows[0].tid == 3
     assert rows[0]["1_4"] == 1 + 3 + 7 + 10 + 9
-    _ = F
