@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, counts, packing, sharding
+from . import bitpack, counts, decontam, packing, rules, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,21 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir))
 
 
+@query("op3_suffix_automaton", decontam.ORACLE)
+def suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_bit_packed_ids")
 def bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_round_trip(table(spark, sf_dir))
 
 
+@query("op6_rule_ledger", rules.ORACLE)
+def rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(table(spark, sf_dir))
+
+
 @query("op8_separator_scan")
 def separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.document_counts(table(spark, sf_dir))
