@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, counts, decontam, packing, rules, sharding
+from . import bitpack, counts, decontam, minhash, packing, pii, rules, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_multi_index_minhash")
+def multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir), width=2)
+
+
 @query("op5_bit_packed_ids")
 def bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_round_trip(table(spark, sf_dir))
@@ -53,3 +58,8 @@ def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_weak_supervision_pii")
+def weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir))
