@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, counts, decontam, minhash, packing, pii, rules, sharding, suffix
+from . import bitpack, chat, counts, decontam, minhash, packing, pii, rules, sharding, suffix
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir))
 
 
+@query("op7_quotation_linking", chat.ORACLE)
+def quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link_quotations(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("reply_turn", F.coalesce("reply_turn", F.lit(-1)))
+
+
 @query("op8_separator_scan")
 def separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.document_counts(table(spark, sf_dir))
