@@ -10,7 +10,10 @@ is written ``null``; repeated items count once per item_id; empty tables on eith
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,10 +226,6 @@ _WORD_AT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def cut(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
         longest: int = WINDOW) -> DataFrame:
     """As ``clean``, and cuts hit spans of at least ``longest`` words out of the documents that stay."""
-    import re
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []

@@ -29,7 +29,7 @@ from .encoding import WORD_BPE, encoder
 
 CAPACITY = 4096
 LARGE_SHARE = 8  # lengths over capacity / LARGE_SHARE are large
-GROUPS = 24
+GROUPS = (12, 24, 48)  # more groups round less, fewer leave less over from whole configurations: the best plan counts
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -173,13 +173,19 @@ class Bins:
             self.keep(first + full, n - full, used)
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, large_share: int = LARGE_SHARE, groups: int = GROUPS) -> np.ndarray:
-    """Where the pieces of each length go, from ``counts[length]``.
+def plan(counts: np.ndarray, capacity: int = CAPACITY, large_share: int = LARGE_SHARE, groups: tuple[int, ...] = GROUPS) -> np.ndarray:
+    """Where the pieces of each length go, from ``counts[length]``: of one plan for each number of groups, the one with
+    the fewest sequences.
 
     Rows (length, from rank, to rank, first sequence, pieces in each, place): pieces of this length with these ranks go, so
     many in each, into the sequences from the first one on, one after the other from this place.
     """
-    counts = counts.astype(np.int64).copy()
+    made = [_plan(counts.astype(np.int64), capacity, large_share, n) for n in groups]
+    return np.array(min(made, key=lambda b: b.next_bin).rows, np.int64).reshape(-1, 6)
+
+
+def _plan(counts: np.ndarray, capacity: int, large_share: int, groups: int) -> Bins:
+    counts = counts.copy()
     bins = Bins(capacity, np.zeros(capacity + 1, np.int64))
     large_from = capacity // large_share + 1
     grouped = group_sizes(counts, large_from, groups)
@@ -200,7 +206,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, large_share: int = LARGE_
     for length in range(capacity, 0, -1):
         if counts[length]:
             bins.best_fit(length, int(counts[length]))
-    return np.array(bins.rows, np.int64).reshape(-1, 6)
+    return bins
 
 
 def _substitute(bins: Bins, runs: list, waiting: list, counts: np.ndarray) -> list:
