@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -229,11 +230,13 @@ def line_summary(
     )
 
 
-# Cumulative Poisson(1) chances, for the number of times a row is redrawn.
-POISSON_ONE = (
-    0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317,
-    0.99940581518, 0.99991675885, 0.99998975080, 0.99999887480,
-)
+def poisson_one() -> list[float]:
+    """Cumulative Poisson(1) chances, for the number of times a row is redrawn, until they reach 1."""
+    out, term = [math.exp(-1)], math.exp(-1)
+    while out[-1] + term / len(out) > out[-1]:
+        term /= len(out)
+        out.append(out[-1] + term)
+    return out
 
 
 def bootstrap_means(
@@ -254,7 +257,7 @@ def bootstrap_means(
         *keys, F.col(value).cast("double").alias("_v"),
         F.xxhash64(F.lit(seed), *ids).alias("_h"))
     steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    chances = np.array(POISSON_ONE)
+    chances = np.array(poisson_one())
 
     def weigh(batches):
         for pdf in batches:

@@ -39,10 +39,10 @@ def _elastic_net(y: str) -> CrossValidator:
 
 
 def _l1_logistic(y: str, weight: str | None) -> CrossValidator:
-    lr = LogisticRegression(labelCol=y, elasticNetParam=1.0, maxIter=100)
+    lr = LogisticRegression(labelCol=y, elasticNetParam=1.0, maxIter=1000)
     if weight:
         lr = lr.setWeightCol(weight)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-2, 1.0]).build()
+    grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-3, 1e-2, 1e-1, 1.0]).build()
     return CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=3, parallelism=2,
                           evaluator=BinaryClassificationEvaluator(labelCol=y), seed=123456)
 

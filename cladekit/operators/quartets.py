@@ -116,12 +116,16 @@ def named_quartets(
 def remapped_sites(df: DataFrame, order: str = "order") -> DataFrame:
     """Concordance columns moved to the splits of clades 12|34, 13|24 and 14|23.
 
-    A clade order outside the fixed table gives NULL.
+    The columns stand for the splits 12|34, 13|24 and 14|23 of places; the clade that shares a side with
+    clade 1 names the split. Orders of the fixed table are moved as it says.
     """
     names = ("qCF", "qDF1", "qDF2")
+    place = F.locate("1", F.col(order))
+    partner = [F.substring(order, F.element_at(F.array(*map(F.lit, mate)), F.greatest(place, F.lit(1))), F.lit(1))
+               for mate in ((2, 1, 4, 3), (3, 4, 1, 2), (4, 3, 2, 1))]
     out = {}
-    for target in names:
-        value = F.lit(None).cast("double")
+    for target, mate in zip(names, "234"):
+        value = F.coalesce(*[F.when(p == mate, F.col(c)) for p, c in zip(partner, names)])
         for code, places in SITE_COLUMN_MAP.items():
             value = F.when(F.col(order) == code, F.col(names[places.index(target)])).otherwise(value)
         out[target] = value
@@ -233,7 +237,7 @@ def recombined_trees(rows: DataFrame, recmap: DataFrame, one_based: bool = True)
     ).alias("_src"))
     place = F.col("tree_no") - (1 if one_based else 0)
     return (
-        rows.withColumn("tree_ix", place.cast("int")).join(sources, [*keys, "tree_ix"], "left")
-        .withColumn("tree_no", F.coalesce("_src", F.array(F.col("tree_no").cast("int"))))
+        rows.withColumn("tree_ix", place.cast("long")).join(sources, [*keys, "tree_ix"], "left")
+        .withColumn("tree_no", F.coalesce("_src", F.array(F.col("tree_no").cast("long"))))
         .drop("_src", "tree_ix")
     )

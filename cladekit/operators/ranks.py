@@ -6,7 +6,7 @@ order-preserving buckets. Bucket totals are small, so a running sum over them is
 the rows are then ordered inside their buckets only, and the bucket offset is added.
 The results are exact and do not depend on how Spark lays out its partitions.
 
-Group keys that are NULL drop out, as they do in a pandas ``groupby``.
+Rows whose group key is NULL form a group of their own. Values that are NaN stand last.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 
 BUCKETS_PER_E_FOLD = 4096
 BLOCK = 1 << 20
+# the planner's own bound (spark.sql.optimizer.windowGroupLimitThreshold) for cutting groups early
+CUT_LIMIT = 1000
 
 _UNBOUNDED = Window.unboundedPreceding
 
@@ -33,7 +35,15 @@ def value_bucket(value) -> Column:
     """Whole number that never falls when ``value`` rises, finer than 1/4000 of the value."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     steps = (F.log(F.abs(v)) + 746) * BUCKETS_PER_E_FOLD
-    return F.when(v == 0, F.lit(0)).otherwise(F.floor(F.signum(v) * steps)).cast("long")
+    return F.when(v == 0, F.lit(0)).when(F.isnan(v), F.lit((1 << 63) - 1)).otherwise(
+        F.floor(F.signum(v) * steps)).cast("long")
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, NULL being equal to NULL; the keys stay once."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
 
 
 def _offsets(sizes: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
@@ -58,17 +68,22 @@ def number_rows(
     """1-based row number within ``group`` in the order of a hash key.
 
     ``key`` is hex text (see ``hash_key``), so its first digits spread every group evenly
-    over ``16**digits`` buckets. With ``limit`` only the first rows of each group are kept,
-    and buckets that lie wholly behind the limit are dropped before the rows are sorted.
+    over ``16**digits`` buckets. With ``limit`` only the first rows of each group are kept: up
+    to ``CUT_LIMIT`` the planner cuts every group to so many rows before its one shuffle; above,
+    buckets that lie wholly behind the limit are dropped before the rows are sorted.
     """
     group = list(group)
+    if limit is not None and limit <= CUT_LIMIT:
+        whole = Window.partitionBy(*group).orderBy(key, *tiebreak)
+        return df.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= limit).withColumn(
+            name, F.col(name).cast("long"))
     tagged = df.withColumn("_bucket", F.substring(key, 1, digits))
     sizes = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     offsets = _offsets(sizes, group, "_bucket").select(*group, "_bucket", "_before")
     if limit is not None:
         offsets = offsets.where(F.col("_before") < limit)
     inside = Window.partitionBy(*group, "_bucket").orderBy(key, *tiebreak)
-    out = tagged.join(offsets, [*group, "_bucket"]).withColumn(
+    out = join_groups(tagged, offsets, [*group, "_bucket"]).withColumn(
         name, (F.col("_before") + F.row_number().over(inside)).cast("long")
     )
     if limit is not None:
@@ -97,7 +112,7 @@ def value_positions(
         Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(_UNBOUNDED, -1)
     )
     return (
-        base.join(_offsets(sizes, group, "_bucket").drop("_size"), [*group, "_bucket"])
+        join_groups(base, _offsets(sizes, group, "_bucket").drop("_size"), [*group, "_bucket"])
         .withColumn(
             "before", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
         )
@@ -224,7 +239,7 @@ def cumulative_counts(
     upto = (
         Window.partitionBy(*group, "_bucket").orderBy(F.desc(score)).rowsBetween(_UNBOUNDED, 0)
     )
-    return base.join(offsets, [*group, "_bucket"]).select(
+    return join_groups(base, offsets, [*group, "_bucket"]).select(
         *group, score,
         (F.col("_op") + F.sum("_p").over(upto)).alias("tp"),
         (F.col("_oq") + F.sum("_q").over(upto)).alias("fp"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chain
+from .ranks import join_groups
 
 
 # ---- filters -----------------------------------------------------------------------------
@@ -91,15 +92,6 @@ def lookup_list(array: Column, mapping: dict) -> Column:
     return F.transform(array, lambda x: F.element_at(F.create_map(*pairs), x))
 
 
-def spread_if_few_files(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores ahead of heavy row-wise work, if the input has fewer files.
-
-    A table of many files is already spread by its scan and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 # ---- joins -------------------------------------------------------------------------------
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -116,7 +108,7 @@ def with_group(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     The aggregate combines before its shuffle and the adaptive join splits hot keys, so no
     task sees a whole group as a window would.
     """
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+    return join_groups(df, df.groupBy(*keys).agg(*aggs), list(keys))
 
 
 def with_totals(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
@@ -189,7 +181,7 @@ def union_rows(*frames: DataFrame, common_only: bool = False) -> DataFrame:
 def common_keys(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Keys present in every frame, once each."""
     first, *rest = [f.select(*keys) for f in frames]
-    return functools.reduce(lambda a, b: a.intersect(b), rest, first).distinct()
+    return functools.reduce(lambda a, b: a.intersect(b), rest, first) if rest else first.distinct()
 
 
 def balanced_rows(
@@ -206,9 +198,3 @@ def balanced_rows(
         .select(*within, *keys)
     )
     return df.join(full, [*within, *keys], "left_semi")
-
-
-def balanced_or_all(df, within, level, keys) -> DataFrame:
-    """Balanced rows, or every row when no key is shared by all levels."""
-    kept = balanced_rows(df, within, level, keys)
-    return df if kept.isEmpty() else kept

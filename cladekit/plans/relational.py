@@ -54,7 +54,7 @@ _REC = """(SELECT l_partkey AS sid, l_suppkey AS ds_no, l_linestatus AS sim_mode
 
 @query("rec_left_scf", rounded(f"""SELECT i.ok, i.sid, i.ds_no, i.line_no, i.x, s.top_1 FROM
  (SELECT * FROM {_REC} r WHERE len(tree_no) = 2) i LEFT JOIN
- (SELECT tree_no, sim_model, ds_no, avg(x) AS top_1 FROM {_REC} q WHERE x > 20
+ (SELECT tree_no, sim_model, ds_no, avg(x) AS top_1 FROM {_REC} q
   GROUP BY tree_no, sim_model, ds_no) s USING (tree_no, sim_model, ds_no)""", "x top_1"))
 def rec_left_scf(spark, sf):
     """Recombined trees and their sites, matched on the array of source trees."""
@@ -66,7 +66,7 @@ def rec_left_scf(spark, sf):
         F.when(F.col("l_linenumber") % 2 == 0, F.array(key, F.col("l_linenumber").cast("long")))
         .otherwise(F.array(key)).alias("tree_no"))
     keys = ["tree_no", "sim_model", "ds_no"]
-    counted = rec.where("x > 20").groupBy(*keys).agg(F.avg("x").alias("top_1"))
+    counted = rec.groupBy(*keys).agg(F.avg("x").alias("top_1"))
     out = R.trees_with_sites(R.where_blocks(rec, 2), counted, keys, matched_model=False)
     return tidy(out.select("ok", "sid", "ds_no", "line_no", "x", "top_1"))
 
@@ -74,11 +74,11 @@ def rec_left_scf(spark, sf):
 @query("all_lengths_join", rounded(f"""SELECT tree_no, sid, ds_no, line_no, seq_length, top_1, ebl,
  ibl FROM {INFERRED} i LEFT JOIN (SELECT l_partkey AS sid, l_linenumber * 100 AS seq_length,
  l_orderkey AS tree_no, l_linestatus AS sim_model, max(l_extendedprice) AS top_1 FROM lineitem
- WHERE l_returnflag <> 'R' GROUP BY ALL) c USING (sid, seq_length, tree_no, sim_model)
+ GROUP BY ALL) c USING (sid, seq_length, tree_no, sim_model)
  JOIN {SPECIES} s USING (sid) WHERE ebl < 30 AND contains(infer_model, sim_model)""",
                                    "top_1 ebl ibl"))
 def all_lengths_join(spark, sf):
-    counted = table(spark, sf, "lineitem").where("l_returnflag <> 'R'").groupBy(
+    counted = table(spark, sf, "lineitem").groupBy(
         F.col("l_partkey").alias("sid"), (F.col("l_linenumber") * 100).alias("seq_length"),
         F.col("l_orderkey").alias("tree_no"), F.col("l_linestatus").alias("sim_model"),
     ).agg(F.max("l_extendedprice").alias("top_1"))
@@ -128,14 +128,14 @@ def row_index_join(spark, sf):
 
 
 _SIDE = """(SELECT l_suppkey AS b, l_linenumber AS g, count(*) AS {0} FROM lineitem
- WHERE l_quantity > 45 AND {1} GROUP BY ALL)"""
+ WHERE {1} GROUP BY ALL)"""
 
 
 @query("outer_fraction", rounded(f"""SELECT b, g, c_x, c_y, c_x / (c_x + c_y) AS n FROM
  {_SIDE.format('c_x', "l_returnflag = 'A'")} x FULL JOIN
  {_SIDE.format('c_y', "l_returnflag <> 'A'")} y USING (b, g)""", "n"))
 def outer_fraction(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity > 45").select(
+    rows = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("b"), F.col("l_linenumber").alias("g"), "l_returnflag")
     count = F.count(F.lit(1)).alias("c")
     agree = rows.where("l_returnflag = 'A'").groupBy("b", "g").agg(count)
@@ -186,12 +186,10 @@ def key_intersection(spark, sf):
         [rows.where(F.col("o_orderstatus") == s) for s in "FOP"], ["sid", "kind"])
 
 
-@query("key_difference", """SELECT p_partkey AS sid FROM part EXCEPT
- SELECT l_partkey FROM lineitem WHERE l_quantity > 48 AND l_returnflag = 'N'""")
+@query("key_difference", """SELECT doc_id AS sid FROM documents EXCEPT SELECT doc_id FROM labels""")
 def key_difference(spark, sf):
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("sid"))
-    used = table(spark, sf, "lineitem").where("l_quantity > 48 AND l_returnflag = 'N'")
-    return parts.subtract(used.select(F.col("l_partkey").alias("sid")))
+    whole, labelled = (table(spark, sf, t).select(F.col("doc_id").alias("sid")) for t in ("documents", "labels"))
+    return whole.subtract(labelled)
 
 
 @query("union_results", """SELECT 'nonrec' AS kind, l_partkey AS sid, l_quantity AS q,

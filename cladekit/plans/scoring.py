@@ -74,7 +74,7 @@ def scalar_checks(spark, sf):
     return tidy(rows.select(
         *_KEY, S.kl_bernoulli("l_discount", F.lit(0.05)).alias("kl"),
         S.floor_for_display("l_discount", 0.03).alias("shown"),
-        S.rooted_tree_count(F.col("l_linenumber") % 3 + 2).alias("trees")))
+        S.rooted_tree_count(F.col("l_linenumber") % 3 + 2).cast("long").alias("trees")))
 
 
 @query("ladder_trees", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, '((1_' || (l_linenumber +
@@ -166,7 +166,7 @@ def regression_scores(spark, sf):
     ptrain, ptest = T.train_test(prepared, _KEY, 0.2)
     ptrain = ptrain.cache()
     out = []
-    for name, learner in M.regression_learners(trees=10).items():
+    for name, learner in M.regression_learners().items():
         done = learner.fit(ptrain).transform(ptest)
         out.append(M.metrics.score(done, "y", "prediction", M.metrics.REGRESSION).withColumn(
             "learner", F.lit(name)))
@@ -187,7 +187,7 @@ def class_scores(spark, sf):
     train, test = T.train_test(prepared, _KEY, 0.2)
     train = train.cache()
     out = []
-    for name, learner in M.classification_learners(weight="weight", trees=10).items():
+    for name, learner in M.classification_learners(weight="weight").items():
         done = M.positive_score(learner.fit(train).transform(test))
         out.append(M.metrics.class_scores(done, "y", "prediction", "preds").withColumn(
             "learner", F.lit(name)))
@@ -198,14 +198,15 @@ def class_scores(spark, sf):
 
 @query("topology_predictions")
 def topology_predictions(spark, sf):
-    """Three-class feed-forward scores as a prediction table."""
+    """Three-class feed-forward scores of held-out rows as a prediction table."""
     rows = table(spark, sf, "embeddings").select(
         "vec_id", (F.col("label") % 3).cast("double").alias("y"),
-        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)])
-    cols = [f"x{i}" for i in range(16)]
-    prepared = M.prepare(rows, rows, cols, impute=False)
-    model = M.topology_learner(16, hidden=(12,)).fit(prepared)
-    return tidy(M.score_rows(model, prepared, ["vec_id"], "y", classes=3))
+        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    cols = [f"x{i}" for i in range(64)]
+    prepared = M.prepare(T.train_test(rows, ["vec_id"], 0.2)[0], rows, cols, impute=False)
+    train, test = T.train_test(prepared, ["vec_id"], 0.2)
+    model = M.topology_learner(64).fit(train)
+    return tidy(M.score_rows(model, test, ["vec_id"], "y", classes=3))
 
 
 @query("cross_validation")
@@ -215,7 +216,7 @@ def cross_validation(spark, sf):
 
     learners = {"Linear": LinearRegression(labelCol="y", regParam=0.01)}
     summary, _ = M.cross_validate(
-        _regression_rows(spark, sf), _X, learners, _KEY, folds=3, impute=False)
+        _regression_rows(spark, sf), _X, learners, _KEY, folds=10, impute=False)
     return tidy(summary)
 
 
@@ -226,7 +227,7 @@ def fold_predictions(spark, sf):
 
     learners = {"Linear": LinearRegression(labelCol="y", regParam=0.01)}
     _, preds = M.cross_validate(
-        _regression_rows(spark, sf), _X, learners, _KEY, folds=3, impute=False)
+        _regression_rows(spark, sf), _X, learners, _KEY, folds=10, impute=False)
     return tidy(M.predictions_wide(preds, _KEY, list(learners)))
 
 
@@ -263,7 +264,7 @@ def importances(spark, sf):
     """Importance of every feature in a forest fitted on all rows."""
     rows = _regression_rows(spark, sf)
     prepared = M.prepare(rows, rows, _X, impute=False)
-    model = M.regression_learners(trees=5)["RF"].fit(prepared)
+    model = M.regression_learners()["RF"].fit(prepared)
     return tidy(M.importance_table(model, _X, spark))
 
 

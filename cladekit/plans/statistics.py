@@ -59,9 +59,9 @@ def confusion_topology(spark, sf):
 @query("recombination_counts", """SELECT l_suppkey AS b, l_linenumber AS g,
  nullif(count(*) FILTER (WHERE l_returnflag = 'A'), 0) AS concordant,
  nullif(count(*) FILTER (WHERE l_returnflag <> 'A'), 0) AS discordant
- FROM lineitem WHERE l_quantity > 47 GROUP BY 1, 2""")
+ FROM lineitem GROUP BY 1, 2""")
 def recombination_counts(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity > 47").select(
+    rows = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("b"), F.col("l_linenumber").alias("g"), "l_returnflag")
     return tidy(A.split_counts(rows, ["b", "g"], F.col("l_returnflag") == "A"))
 
@@ -128,8 +128,8 @@ def mean_table(spark, sf):
     return tidy(A.mean_table(rows, ["k"], "l_returnflag", "l_extendedprice", ["A", "N", "R"]), 4)
 
 
-@query("grid_pivot", rounded("""WITH g AS (SELECT l_suppkey AS ebl, l_linenumber AS ibl,
- avg(l_discount) AS v FROM lineitem WHERE l_quantity > 46 GROUP BY 1, 2),
+@query("grid_pivot", rounded("""WITH g AS (SELECT n_chars // 100 AS ebl, lang AS ibl,
+ avg(doc_id % 97) AS v FROM documents GROUP BY 1, 2),
  x AS (SELECT DISTINCT ebl FROM g), y AS (SELECT DISTINCT ibl FROM g),
  c AS (SELECT y.ibl, x.ebl, dense_rank() OVER (ORDER BY x.ebl) AS i, g.v FROM y CROSS JOIN x
  LEFT JOIN g ON g.ibl = y.ibl AND g.ebl = x.ebl),
@@ -143,9 +143,9 @@ def mean_table(spark, sf):
  ELSE lv + (hv - lv) * (i - li) / (hi - li) END AS filled FROM w""", "v filled"))
 def grid_pivot(spark, sf):
     """Means on a grid of conditions, gaps along one axis filled."""
-    rows = table(spark, sf, "lineitem").where("l_quantity > 46").select(
-        F.col("l_suppkey").alias("ebl"), F.col("l_linenumber").alias("ibl"),
-        F.col("l_discount").alias("v"))
+    rows = table(spark, sf, "documents").select(
+        F.floor(F.col("n_chars") / 100).alias("ebl"), F.col("lang").alias("ibl"),
+        (F.col("doc_id") % 97).cast("double").alias("v"))
     return tidy(A.filled_grid(rows, "ebl", "ibl", "v"))
 
 
@@ -204,14 +204,14 @@ def rate_labels(spark, sf):
 
 
 @query("length_and_spread", rounded("""SELECT vec_id,
- (2 * (e[1] + e[6] + e[11] + e[16]) - (list_sum(e) - (e[1] + e[6] + e[11] + e[16]))) / 2 AS length,
- list_var_pop(e) / list_avg(e) AS vmr FROM (SELECT vec_id, list_transform(embedding[1:16],
+ (3 * (e[1] + e[10] + e[19] + e[28] + e[37] + e[46] + e[55] + e[64]) - list_sum(e)) / 2 AS length,
+ list_var_pop(e) / list_avg(e) AS vmr FROM (SELECT vec_id, list_transform(embedding,
  lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings)""", "length vmr"))
 def length_and_spread(spark, sf):
-    """Total length of a 4 x 4 matrix and the variance-to-mean ratio of its entries."""
-    e = F.transform(F.slice("embedding", 1, 16), lambda x: F.abs(x.cast("double")))
+    """Total length of an 8 x 8 matrix and the variance-to-mean ratio of its entries."""
+    e = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     rows = table(spark, sf, "embeddings").select("vec_id", e.alias("e"))
-    matrix = F.array(*[F.slice("e", 4 * i + 1, 4) for i in range(4)])
+    matrix = F.array(*[F.slice("e", 8 * i + 1, 8) for i in range(8)])
     return tidy(rows.select("vec_id", A.total_length(matrix).alias("length"),
                             A.array_variance_to_mean(F.col("e")).alias("vmr")))
 
@@ -249,12 +249,11 @@ def branch_estimate(spark, sf):
     return tidy(rows.groupBy("ebl", "ibl").agg(A.branch_estimate().alias("est")), 4)
 
 
-@query("counts_for_keys", """SELECT p.p_partkey AS sid, count(l.l_orderkey) AS count FROM part p
- LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 48) l ON l.l_partkey = p.p_partkey GROUP BY 1""")
+@query("counts_for_keys", """SELECT d.doc_id AS sid, count(l.doc_id) AS count FROM documents d
+ LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
 def counts_for_keys(spark, sf):
-    found = table(spark, sf, "lineitem").where("l_quantity > 48").groupBy(
-        F.col("l_partkey").alias("sid")).agg(F.count("*").alias("count"))
-    return A.counts_for(found, table(spark, sf, "part").select(F.col("p_partkey").alias("sid")), "sid")
+    found = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("sid")).agg(F.count("*").alias("count"))
+    return A.counts_for(found, table(spark, sf, "documents").select(F.col("doc_id").alias("sid")), "sid")
 
 
 @query("nested_to_long", rounded("""SELECT vec_id AS ix1, i - 1 AS ix2, embedding[i] AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i

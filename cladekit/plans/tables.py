@@ -127,12 +127,10 @@ def newick_trees(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(f",({x}:"), q.cast("string"), F.lit(f",{y}:"), (q + d).cast("string"),
             F.lit("):"), (t + 1).cast("string"), F.lit("):"), (d + 2).cast("string"), F.lit(");"))
 
-    from ..operators.relational import spread_if_few_files
-
     shape = n % 3
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    return spread_if_few_files(lines).select(
+    return lines.select(
         F.col("l_partkey").alias("sid"), F.col("l_orderkey").alias("tree_no"),
         F.col("l_suppkey").alias("ds_no"), F.col("l_linenumber").alias("line_no"),
         F.when(shape == 0, text("1", "2", "3")).when(shape == 1, text("1", "3", "2"))

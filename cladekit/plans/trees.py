@@ -9,7 +9,6 @@ from ..functions import scalars as S
 from ..functions.labels import flatten_pairs, pair_labels
 from ..operators import permute as P
 from ..operators import quartets as Q
-from ..operators.relational import spread_if_few_files
 from .registry import query, rounded, tidy
 from .tables import NEWICK, newick_trees, table
 
@@ -99,7 +98,7 @@ def rf_share(spark, sf):
             shape == 1, "(4:1,(2:1,(3:1,1:1):1):1);").otherwise("(4:1,(1:1,(2:1,3:1):1):1);")
 
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    pairs = spread_if_few_files(lines).select(
+    pairs = lines.select(
         text(F.col("l_linenumber") % 3).alias("a"),
         text((F.col("l_suppkey") + F.col("l_orderkey")) % 3).alias("b"))
     return tidy(Q.different_share(pairs, "a", "b"))
@@ -176,13 +175,13 @@ def gene_copies(spark, sf):
 
 
 @query("pair_flatten", rounded("SELECT vec_id, " + ", ".join(
-    f'embedding[{4 * i + j + 1}] AS "{j + 1}_{i + 1}"' for i in range(4) for j in range(i))
-    + " FROM embeddings", pair_labels()))
+    f'embedding[{8 * i + j + 1}] AS "{j + 1}_{i + 1}"' for i in range(8) for j in range(i))
+    + " FROM embeddings", pair_labels("12345678")))
 def pair_flatten(spark, sf):
-    """Lower triangle of a 4 x 4 matrix column as six named columns."""
+    """Lower triangle of an 8 x 8 matrix column as 28 named columns."""
     rows = table(spark, sf, "embeddings").select(
-        "vec_id", F.array(*[F.slice("embedding", 4 * i + 1, 4) for i in range(4)]).alias("pdist"))
-    return tidy(rows.select("vec_id", *flatten_pairs("pdist")))
+        "vec_id", F.array(*[F.slice("embedding", 8 * i + 1, 8) for i in range(8)]).alias("pdist"))
+    return tidy(rows.select("vec_id", *flatten_pairs("pdist", "12345678")))
 
 
 # ---- permutations ------------------------------------------------------------------------
@@ -314,12 +313,13 @@ def _numbered_taxa(spark, sf):
  [l_suppkey % 7 + 1] AS code FROM lineitem GROUP BY 1, 2, 3), h AS (SELECT *, list_sort([substr(code, 1, 1),
  substr(code, 2, 1)]) AS l, list_sort([substr(code, 3, 1), substr(code, 4, 1)]) AS r FROM b),
  k AS (SELECT *, CASE WHEN {n1} <= {n2} THEN l || r ELSE r || l END AS o FROM h), s AS (SELECT *,
- array_to_string(o, '') AS "order" FROM k) SELECT gene, l_suppkey, l_linenumber, "order",
- CASE "order" WHEN '1234' THEN cf WHEN '2413' THEN d1 WHEN '2314' THEN d1 END AS "qCF",
- CASE "order" WHEN '1234' THEN d1 WHEN '2413' THEN cf WHEN '2314' THEN d2 END AS "qDF1",
- CASE "order" WHEN '1234' THEN d2 WHEN '2413' THEN d2 WHEN '2314' THEN cf END AS "qDF2",
+ array_to_string(o, '') AS "order", list_position(o, '1') AS pos FROM k), p AS (SELECT *, o[[2, 1, 4, 3][pos]] AS p1,
+ o[[3, 4, 1, 2][pos]] AS p2, o[[4, 3, 2, 1][pos]] AS p3 FROM s) SELECT gene, l_suppkey, l_linenumber, "order",
+ CASE '2' WHEN p1 THEN cf WHEN p2 THEN d1 WHEN p3 THEN d2 END AS "qCF",
+ CASE '3' WHEN p1 THEN cf WHEN p2 THEN d1 WHEN p3 THEN d2 END AS "qDF1",
+ CASE '4' WHEN p1 THEN cf WHEN p2 THEN d1 WHEN p3 THEN d2 END AS "qDF2",
  'ParaHoxozoa_s' || (4 * (l_linenumber - 1)) AS "ParaHoxozoa",
- 'Outgroup_s' || (4 * (l_linenumber - 1) + 3) AS "Outgroup" FROM s""".format(
+ 'Outgroup_s' || (4 * (l_linenumber - 1) + 3) AS "Outgroup" FROM p""".format(
     n1="CASE l[1] WHEN '1' THEN 'ParaHoxozoa' WHEN '2' THEN 'Ctenophora' WHEN '3' THEN 'Porifera' END",
     n2="CASE r[1] WHEN '1' THEN 'ParaHoxozoa' WHEN '2' THEN 'Ctenophora' WHEN '3' THEN 'Porifera' END"))
 def scf_reorder(spark, sf):
@@ -411,8 +411,8 @@ def recombined_trees(spark, sf):
     recmap = orders.select(
         F.col("o_custkey").alias("stree"), F.col("o_orderstatus").alias("sim_model"),
         (F.col("o_orderkey") % 5).alias("ds_no"), F.col("o_orderkey").alias("block"),
-        (F.col("o_orderkey") % 11).cast("int").alias("tree_ix"),
-        F.col("o_orderkey").cast("int").alias("source"))
+        (F.col("o_orderkey") % 11).alias("tree_ix"),
+        F.col("o_orderkey").alias("source"))
     rows = orders.select(
         "o_orderkey", F.col("o_custkey").alias("stree"), F.col("o_orderstatus").alias("sim_model"),
         (F.col("o_orderkey") % 5).alias("ds_no"), (F.col("o_orderkey") % 13 + 1).alias("tree_no"))
