@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..jobs import error_table
 from ..operators import evaluate as E
 from ..operators import rank_tests as T
 from .registry import query, rounded, tidy
@@ -45,7 +46,7 @@ _ERR = "dH dKL dTV ERROR REL_ERR"
 
 @query("condition_error", rounded(errors_sql(PREDICTIONS), _ERR))
 def condition_error(spark, sf):
-    return tidy(E.condition_errors(predictions(spark, sf)))
+    return tidy(error_table(predictions(spark, sf)))
 
 
 @query("condition_error_half", rounded(errors_sql(PREDICTIONS, 0.5), _ERR))
