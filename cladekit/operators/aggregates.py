@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import TIDS
-from .ranks import group_quantiles, unpivot
+from .ranks import group_quantiles, join_groups, unpivot, value_positions
 from .relational import with_group, with_totals
 
 
@@ -87,22 +87,32 @@ def mean_table(df: DataFrame, index: Sequence[str], column: str, value: str, lev
     return df.groupBy(*index).pivot(column, list(levels)).agg(F.avg(value))
 
 
+GRID_BLOCK = 4096
+
+
 def filled_grid(df: DataFrame, x: str, y: str, value: str, name: str = "filled") -> DataFrame:
     """Means on an x/y grid with gaps along x filled linearly, held flat at the ends.
 
-    Every y row gets every x that occurs anywhere. The x values come from the grid itself,
-    which has one row per condition, not per observation.
+    Every y row gets every x that occurs anywhere: the x values are numbered as a table and
+    joined by number. Gaps are filled in blocks of ``GRID_BLOCK`` cells, and the nearest value
+    before and after a block is carried in from one row per block.
     """
     grid = df.groupBy(y, x).agg(F.avg(value).alias(value))
-    axis = grid.agg(F.array_sort(F.collect_set(x)).alias("a"))
-    rows = grid.select(y).distinct().withColumn("_axis", axis.scalar())
-    cells = rows.select(y, F.posexplode("_axis").alias("_i", x)).join(grid, [y, x], "left")
-    back = Window.partitionBy(y).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(y).orderBy(x).rowsBetween(0, Window.unboundedFollowing)
+    axis = value_positions(grid.select(x).distinct(), [], x).select(x, F.col("before").cast("long").alias("_i"))
+    size = axis.agg(F.count("*")).scalar()
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    rows = grid.select(y).distinct().withColumn("_n", size).where("_n > 0").select(y, F.explode(numbers).alias("_i"))
+    cells = rows.join(axis, "_i").join(grid, [y, x], "left").withColumn("_b", F.floor(F.col("_i") / GRID_BLOCK))
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col("_i"), F.col(value).alias("v")))
-    cells = cells.withColumns({
-        "_lo": F.last(seen, ignorenulls=True).over(back),
-        "_hi": F.first(seen, ignorenulls=True).over(ahead),
+    blocks = cells.groupBy(y, "_b").agg(F.min(seen).alias("_first"), F.max(seen).alias("_last"))
+    order = Window.partitionBy(y).orderBy("_b")
+    carry = blocks.select(
+        y, "_b", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
+        F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    inside = Window.partitionBy(y, "_b").orderBy("_i")
+    cells = join_groups(cells, carry, [y, "_b"]).withColumns({
+        "_lo": F.coalesce(F.max(seen).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_below"),
+        "_hi": F.coalesce(F.min(seen).over(inside.rowsBetween(0, Window.unboundedFollowing)), "_above"),
     })
     span = F.col("_hi._i") - F.col("_lo._i")
     line = F.when(span == 0, F.col("_lo.v")).otherwise(

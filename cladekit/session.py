@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,6 +51,7 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _TEMPORARY:
         _TEMPORARY[app] = tempfile.mkdtemp(prefix="cladekit-")
+        atexit.register(shutil.rmtree, _TEMPORARY[app], ignore_errors=True)
     return _TEMPORARY[app]
 
 
