@@ -71,13 +71,20 @@ def attach_each(rows: DataFrame, source: DataFrame, gene: str, key: str, value:
                 columns: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Look up one value per listed column by (gene, key); rows lacking any of them drop out.
 
-    Joining on both keys spreads the rows of a large gene over its taxa.
+    The listed columns become rows that are joined once, on both keys, which spreads the rows of a
+    large gene over its taxa; a row's values are then gathered again. ``source`` has one row per
+    gene and key. Repeated rows stay.
     """
-    for column, name in zip(columns, names):
-        one = source.select(
-            F.col(gene), F.col(key).alias(column), F.col(value).alias(name))
-        rows = rows.join(one, [gene, column])
-    return rows
+    kept = rows.columns
+    slots = rows.select("*", F.posexplode(F.array(*columns)).alias("_slot", "_key"))
+    one = source.select(F.col(gene), F.col(key).alias("_key"), F.col(value).alias("_value"))
+    found = slots.join(one, [gene, "_key"]).groupBy(*kept).agg(
+        *[F.first(F.when(F.col("_slot") == i, F.col("_value")), ignorenulls=True).alias(name)
+          for i, name in enumerate(names)],
+        F.expr("bit_or(shiftleft(1, _slot))").alias("_all"), F.count_if(F.col("_slot") == 0).alias("_n"))
+    whole = found.where(F.col("_all") == (1 << len(columns)) - 1)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))
+    return whole.withColumn("_n", times).drop("_all", "_n")
 
 
 def quartet_sequences(quartets: DataFrame, sequences: DataFrame, gene: str = "gene",

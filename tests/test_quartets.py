@@ -80,3 +80,10 @@ def test_genome_rows_skip_null_and_fill_missing_topologies(spark):
     big = G.quartet_genome_rows(df, ["g"], ["x"], 4).first()
     assert {k: big[k] for k in r.asDict()} == r.asDict()
     assert G.quartet_genome_rows(df, ["g"], ["x"], 5).count() == 0
+
+
+def test_repeated_rows_and_missing_keys(spark):
+    rows = spark.createDataFrame([(1, 1, 2, 0.5), (1, 1, 2, 0.5), (1, 1, 9, 0.5), (2, 3, 3, 1.0)], "g int, a int, b int, w double")
+    names = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 3, "z"), (2, 1, "q")], "g int, ix int, name string")
+    out = Q.attach_each(rows, names, "g", "ix", "name", ["a", "b"], ["na", "nb"])
+    assert sorted((r.g, r.na, r.nb, r.w) for r in out.collect()) == [(1, "x", "y", 0.5), (1, "x", "y", 0.5), (2, "z", "z", 1.0)]
