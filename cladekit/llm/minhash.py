@@ -7,8 +7,9 @@ components left out, and all pairs within that distance meet under a key. With 1
 72), a pair of similarity 0.8 meets nowhere with probability 3e-6. Pairs that meet are confirmed on their full shingle sets.
 
 Documents of equal sets are one class first, so copies are never compared. Within the documents under a key, links are
-sought from a leader (another one each round, and only to documents not yet in its component), and at the end between all
-documents of different components that still share a key. Links inside one component would change nothing.
+sought from a leader (another one each round, and only to documents not yet in its component), and at the end, block
+against block, between all documents of different components that still share a key. Links inside one component would
+change nothing.
 
 Cases: NULL or empty text has no shingles, is linked with nothing and stays its own component; fewer words than a
 shingle form one; a NULL doc_id is not linked, has component NULL and is kept; rows of one doc_id are one document whose
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_bytes
+from .common import components, numbered, stored, text_bytes
 
 CHUNKS, WIDTH, ERRORS, BITS = 12, 6, 1, 16
 SIMILARITY = 80  # hundredths
-ROUNDS = 3
+ROUNDS = 2
+BLOCK_DOCS = 256
+COLUMNS = 8192
 _REMEMBERED = 600_000
 
 _U = np.uint64
@@ -135,6 +138,86 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (``key``, ``id``, component ``c``) of the keys whose documents are of different components."""
+    labelled = (members.select("key", "id").join(found, "id", "left")
+                .select("key", "id", F.coalesce("component", "id").alias("c")))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max"), F.count("*").alias("_n"))
+    # the pair under a key of two has been tested from its leader
+    return labelled.join(mixed.where("_min != _max AND _n > 2").select("key"), "key")
+
+
+def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Links between different components among all documents that share a key, whoever leads it.
+
+    Documents that keys connect are numbered next to each other, components together, and cut into blocks of
+    ``BLOCK_DOCS``. Two blocks with a common key are compared as a whole, by one product of their incidence matrices, so
+    rows are made for pairs of blocks and for links, not for pairs of documents.
+    """
+    open_ = stored(_mixed(members, found), "key-mixed")
+    lead = open_.groupBy("key").agg(F.min("id").alias("a"))
+    near = components(open_.join(lead, "key").select("a", F.col("id").alias("b")), "near")
+    ids = open_.select("id", "c").distinct().join(near.withColumnRenamed("component", "near"), "id")
+    placed = numbered(ids, F.col("near"), F.col("c"), F.col("id"), label="near-order").select(
+        "id", "c", F.floor(F.col("row") / BLOCK_DOCS).alias("block"))
+    placed = stored(placed, "near-blocks")
+    held = open_.join(placed.select("id", "block"), "id").groupBy("key", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    x, y = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "xy")
+    differ = (F.least("lo_x", "lo_y") != F.greatest("hi_x", "hi_y")) & (F.col("block_x") <= F.col("block_y"))
+    pairs = x.join(y, "key").where(differ).select("block_x", "block_y").distinct()
+    blocks = placed.join(texts, "id").groupBy("block").agg(F.collect_list(F.struct("id", "c", "text")).alias("docs"))
+    left, right = (blocks.select(F.col("block").alias(f"block_{side}"), F.col("docs").alias(f"docs_{side}")) for side in "xy")
+
+    def compare(batches):
+        last, one = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bx, by = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if last != bx:
+                    last, one = bx, _block(batch.column(2)[i].as_py(), width)
+                other = one if by == bx else _block(batch.column(3)[i].as_py(), width)
+                a, b = _between(one, other, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return (pairs.join(right, "block_y").join(left, "block_x").select("block_x", "block_y", "docs_x", "docs_y")
+            .mapInArrow(compare, "a long, b long"))
+
+
+def _block(docs: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return (np.array([d["id"] for d in docs]), np.array([d["c"] for d in docs]), [shingles(d["text"], width) for d in docs])
+
+
+def _between(one: tuple, other: tuple, similarity: int) -> tuple[list[int], list[int]]:
+    """Linked documents of two blocks, one pair for each two components."""
+    sides = []
+    for _, _, sets in (one, other):
+        flat = np.concatenate(sets)
+        sides.append((flat, np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+    if one is other:
+        values, n = np.unique(sides[0][0], return_counts=True)
+        shared = values[n > 1]
+    else:
+        shared = np.intersect1d(sides[0][0], sides[1][0])
+    both = np.zeros((len(one[0]), len(other[0])), np.int64)
+    for at in range(0, len(shared), COLUMNS):
+        some = shared[at : at + COLUMNS]
+        parts = []
+        for (flat, owner), (ids, _, _) in zip(sides, (one, other), strict=True):
+            place = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            hit = some[place] == flat
+            m = np.zeros((len(ids), len(some)), np.float32)
+            m[owner[hit], place[hit]] = 1
+            parts.append(m)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    size = [np.array([len(s) for s in x[2]]) for x in (one, other)]
+    linked = (100 * both >= similarity * (size[0][:, None] + size[1][None, :] - both)) & (one[1][:, None] != other[1][None, :])
+    i, j = np.nonzero(linked)
+    if not len(i):
+        return [], []
+    _, first = np.unique(np.stack([one[1][i], other[1][j]], axis=1), axis=0, return_index=True)
+    return one[0][i[first]].tolist(), other[0][j[first]].tolist()
+
+
 def link(docs: DataFrame, width: int, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` its sketch and class representative (``rep``), and the component of linked representatives."""
     sketches = stored(sketch(docs, width), "sketches")
@@ -158,31 +241,21 @@ def link(docs: DataFrame, width: int, similarity: int = SIMILARITY) -> tuple[Dat
     tested = stored(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs-0")
     links = stored(_confirm(tested, texts, width, similarity).union(several), "links-0")
     found = components(links, "group-0")
-    for turn in range(1, ROUNDS + 2):
-        # keys whose members are of different components
-        labelled = (members.select("key", "id").join(found, "id", "left")
-                    .select("key", "id", F.coalesce("component", "id").alias("c")))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("_min"), F.max("c").alias("_max")).where("_min != _max").select("key")
-        open_ = labelled.join(mixed, "key")
-        if turn <= ROUNDS:
-            rank = F.xxhash64("id", F.lit(turn))
-            lead = open_.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "c")).alias("m")).select(
-                "key", F.col("m.id").alias("x"), F.col("m.c").alias("cx"))
-            pairs = open_.join(lead, "key").where("c != cx")
-        else:
-            other = open_.select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-            pairs = open_.join(other, "key").where("c < cx")
-        pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    for turn in range(1, ROUNDS + 1):
+        open_ = _mixed(members, found)
+        lead = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "c")).alias("m")).select(
+            "key", F.col("m.id").alias("x"), F.col("m.c").alias("cx"))
+        pairs = open_.join(lead, "key").where("c != cx").select(
+            F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
         new = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        if not new.limit(1).count():
-            if turn > ROUNDS:
-                break
-            continue
         more = stored(_confirm(new, texts, width, similarity), f"links-{turn}")
         tested = tested.union(new)
         if more.limit(1).count():
             links = links.union(more)
             found = components(links, f"group-{turn}")
+    rest = stored(_rest(members, found, texts, width, similarity), "links-rest")
+    if rest.limit(1).count():
+        found = components(links.union(rest), "group-rest")
     return sketches.join(classes.select(*set_key, "rep"), set_key, "left"), found
 
 
