@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import work_path
 
 ROWS_PER_SALT = 100_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -19,10 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps start from files that outlive executors."""
+    """Write ``df`` to the shared folder and read it back: later steps start from files that outlive executors.
+
+    The write's shuffle files go as soon as it has ended, so they don't add up over the steps of an operator.
+    """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,24 +98,22 @@ def spread_rank(df: DataFrame, key: str, order: list[str], salts: int) -> DataFr
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of (``a``, ``b``) links: one row (``id``, ``component``) for each linked id.
 
-    The component is the smallest id reachable. Each round a node takes the smallest label among its
-    neighbours and then that label's own label, so chains shrink by doubling; every round is a stored table.
+    The component is the smallest id reachable. Each round every node goes to the smallest of its neighbours and itself
+    and on to where that one goes; then the links are drawn between these nodes only. So at least
+    half of the linked nodes go in each round, and the links shrink with them. Every round is a stored table.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                   .where(F.col("a") != F.col("b")).distinct(), f"{label}-links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("_m"))
-                    .select(F.col("a").alias("id"), F.least("a", "_m").alias("component")), f"{label}-0")
+    found = both.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     turn = 0
-    while True:
+    while both.limit(1).count():
         turn += 1
-        near = (both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("_near")))
-        moved = (labels.join(near, labels["id"] == near["a"])
-                 .select("id", "component", F.least("component", "_near").alias("_new")))
-        jump = labels.select(F.col("id").alias("_new"), F.col("component").alias("_jump"))
-        after = stored(moved.join(jump, "_new", "left")
-                       .select("id", F.coalesce("_jump", "_new").alias("component"),
-                               (F.coalesce("_jump", "_new") != F.col("component")).alias("_changed")),
-                       f"{label}-{turn}")
-        labels = after.select("id", "component")
-        if not after.where("_changed").limit(1).count():
-            return labels
+        step = stored(both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("to")), f"{label}-step-{turn}")
+        on = step.select(F.col("a").alias("to"), F.col("to").alias("_on"))
+        goes = stored(step.join(on, "to").select(F.col("a").alias("node"), F.col("_on").alias("at")), f"{label}-goes-{turn}")
+        to_a, to_b = (goes.select(F.col("node").alias(x), F.col("at").alias(f"_{x}")) for x in "ab")
+        both = stored(both.join(to_a, "a").join(to_b, "b").where("_a != _b")
+                      .select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), f"{label}-links-{turn}")
+        found = stored(found.join(goes, found["component"] == goes["node"], "left")
+                       .select("id", F.coalesce("at", "component").alias("component")), f"{label}-{turn}")
+    return found
