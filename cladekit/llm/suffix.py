@@ -12,7 +12,7 @@ that share an anchor lie next to each other and make up its context, at most 2 *
    single strings are compared in the same way.
 3. Each document's covered spans are joined and cut out.
 
-Between blocks, contexts and strings are compared by two independent hashes (126 bits together).
+Between blocks, contexts and strings are compared by two independent hashes (94 bits or more).
 An anchor that is frequent within a block is dealt out by its context as well, so it spreads over all tasks.
 
 Cases: NULL text is empty; texts under MATCH bytes stay whole; a NULL doc_id comes before all others; of documents
@@ -357,13 +357,19 @@ def _first_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         before = (h[-1], c[-1], doc[-1], key[-1], lo[-1])
 
 
-_STRING = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()),
-                     ("hi", pa.int64())])
-_STRING_DDL = "w1 long, w2 long, doc long, key long, lo long, hi long"
+_STRING = pa.schema([("w1", pa.int64()), ("w2", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
+_STRING_DDL = "w1 long, w2 int, doc long, key long, at long"
+#: a span (first and last string) as one number: first * 2^24 + (last - first)
+_LENGTH_BITS = 24
+
+
+def _unpacked(span: int) -> tuple[int, int]:
+    first = span >> _LENGTH_BITS
+    return first, first + (span & ((1 << _LENGTH_BITS) - 1))
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single strings of the contexts in each document: hashes and place. hi < 0: covered already, lo to -hi."""
+    """Single strings of the contexts in each document: hashes and place. at < 0: the span -at - 1 is covered already."""
     def emit(docs, keys, los, parts):
         text = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(p) for p in parts])
@@ -377,29 +383,31 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, key, lo, start = (x[order] for x in (doc, key, lo, start))
         prefixes = Prefixes(text)
         w1 = prefixes.of(start, MATCH)
-        w2 = gram_hashes(text, MATCH)[start]
+        w2 = (_signed(gram_hashes(text, MATCH)[start]) >> 32).astype(np.int32)
         lead = equal_to_first(prefixes, start, np.full(len(start), MATCH), w1)
         covered = lead != np.arange(len(lead))
         # one row of several contexts may hold the same string: that is no other occurrence
         here = (doc[lead] == doc) & (key[lead] == key) & (lo[lead] == lo)
-        yield _rows(_STRING, w1[~covered], _signed(w2[~covered]), doc[~covered], key[~covered], lo[~covered], lo[~covered])
+        yield _rows(_STRING, w1[~covered], w2[~covered], doc[~covered], key[~covered], lo[~covered] << _LENGTH_BITS)
         gone = np.flatnonzero(covered & ~here)
         if len(gone):
             d, k, s = doc[gone], key[gone], lo[gone]
             new = np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1)))
             head = np.flatnonzero(new)
             tail = np.append(head[1:] - 1, len(gone) - 1)
-            yield _rows(_STRING, _signed(w2[gone[head]]), np.zeros(len(head), np.int64), d[head], k[head], s[head], -(s[tail] + 1))
+            yield _rows(_STRING, w1[gone[head]], w2[gone[head]], d[head], k[head],
+                        -((s[head] << _LENGTH_BITS) | (s[tail] - s[head])) - 1)
 
     docs, keys, los, parts, size = [], [], [], [], 0
     for batch in batches:
         for doc, key, text, spans in zip(*(batch.column(i) for i in range(4)), strict=True):
             raw, doc, key = text.as_py(), doc.as_py(), key.as_py()
-            for s in spans.as_py():
-                part = raw[s["lo"] : s["hi"] + MATCH]
+            for span in spans.as_py():
+                lo, hi = _unpacked(span)
+                part = raw[lo : hi + MATCH]
                 docs.append(doc)
                 keys.append(key)
-                los.append(s["lo"])
+                los.append(lo)
                 parts.append(part)
                 size += len(part)
                 if size >= BLOCK:
@@ -410,14 +418,16 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From strings sorted by (w1, w2, doc, key, lo): the covered ones."""
+    """From strings sorted by (w1, w2, doc, key, at): the covered ones."""
     before = None
     for batch in batches:
-        w1, w2, doc, key, lo, hi = _columns(batch)
-        done = hi < 0
+        w1, w2, doc, key, lo = _columns(batch)
+        done = lo < 0
         if done.any():
-            yield _rows(_FOUND, key[done], doc[done], lo[done], -hi[done] - 1, np.ones(int(done.sum()), bool))
-            w1, w2, doc, key, lo, hi = (x[~done] for x in (w1, w2, doc, key, lo, hi))
+            first, last = _unpacked(-lo[done] - 1)
+            yield _rows(_FOUND, key[done], doc[done], first, last, np.ones(int(done.sum()), bool))
+            w1, w2, doc, key, lo = (x[~done] for x in (w1, w2, doc, key, lo))
+        lo = lo >> _LENGTH_BITS
         if not len(w1):
             continue
         p = [np.concatenate(([x[0] if before is None else v], x[:-1])) for x, v in
@@ -443,8 +453,9 @@ def _cut(with_text: bool):
             out = []
             for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw, kept, upto, removed, n = text.as_py(), [], 0, 0, 0
-                for s in sorted(spans.as_py() or [], key=lambda s: s["lo"]):
-                    lo, hi = s["lo"], s["hi"] + MATCH
+                for span in sorted(spans.as_py() or []):
+                    lo, hi = _unpacked(span)
+                    hi += MATCH
                     if lo > upto or n == 0:
                         kept.append(raw[upto:lo])
                         n += 1
@@ -477,11 +488,13 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the only shuffle of the texts; both joins below start from it
     by_key = source.select("doc_id", "key", "text").repartition(tasks, "key")
-    span = F.struct("lo", "hi")
-    open_ = contexts.where("NOT whole").groupBy("key").agg(F.first("doc").alias("doc"), F.collect_list(span).alias("spans"))
-    strings = (by_key.join(open_.hint("shuffle_hash"), "key").select("doc", "key", "text", "spans")
+    span = F.shiftleft("lo", _LENGTH_BITS) + F.col("hi") - F.col("lo")
+    open_ = contexts.where("NOT whole").groupBy("key").agg(F.collect_list(span).alias("spans"))
+    # both joins read the same columns, else the shuffle would be made twice
+    strings = (by_key.join(open_.hint("shuffle_hash"), "key")
+               .select(F.coalesce("doc_id", F.lit(least).cast("long")).alias("doc"), "key", "text", "spans")
                .mapInArrow(_strings, _STRING_DDL)
-               .repartition(F.col("w1")).sortWithinPartitions("w1", "w2", "doc", "key", "lo"))
+               .repartition(F.col("w1")).sortWithinPartitions("w1", "w2", "doc", "key", "at"))
     covers = (contexts.where("whole").select("key", "lo", "hi")
               .unionByName(strings.mapInArrow(_first_strings, _FOUND_DDL).select("key", "lo", "hi"))
               .groupBy("key").agg(F.collect_list(span).alias("spans")))
