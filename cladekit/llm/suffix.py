@@ -333,9 +333,11 @@ def _first_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         contexts = np.bincount(run, first, run[-1] + 1)
         forced = np.bincount(run, mark == 1, run[-1] + 1) > 0
         goes_on = bool(same_h[0])
-        if goes_on and (waiting is not None or several_h == h[0]):
+        if goes_on and waiting is not None:
             contexts[run[0]] += 1
         several = (contexts > 1) | forced
+        if goes_on and several_h == h[0]:
+            several[run[0]] = True  # known for good, whatever this batch adds
         if waiting is not None and (not goes_on or several[run[0]]):
             if goes_on:
                 yield _rows(_FOUND, *(np.array([v]) for v in waiting), np.zeros(1, bool))

@@ -110,3 +110,13 @@ def test_small_blocks(spark, monkeypatch):
                 assert (doc, at + k) not in strings  # each string is in one piece
                 strings.add((doc, at + k))
     assert len(strings) == sum(max(0, len(t) - 99) for *_, t in stream)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_first_contexts_over_batches(size):
+    """An anchor known to have several contexts stays so over batches that hold only repeats of one of them."""
+    order = [(7, 10, 1), (7, 20, 2), *[(7, 20, d) for d in range(3, 9)], (7, 30, 9), (8, 40, 10)]
+    rows = [(h, h, c, doc, doc, 0, 5, 0) for h, c, doc in order]
+    batches = [suffix._rows(suffix._CONTEXT, *map(np.array, zip(*rows[k : k + size], strict=True))) for k in range(0, len(rows), size)]
+    found = [(r["doc"], r["whole"]) for b in suffix._first_contexts(iter(batches)) for r in b.to_pylist()]
+    assert sorted(found) == [(1, False), (2, False), *[(d, True) for d in range(3, 9)], (9, False)]
