@@ -37,8 +37,15 @@ POLICIES = {
     "base": BASE,
     "v1": BASE | BIT["symbols"] | BIT["repeated_lines"],
     "v2": (1 << len(RULES)) - 1,
+    # no document goes for its length alone; long words are judged without scripts that put no spaces between words
+    "v3": ((1 << len(RULES)) - 1) & ~BIT["too_many_words"],
 }
-CURRENT = "v2"
+CURRENT = "v3"
+#: policies under which ``long_words`` does not count where only letters of unspaced scripts make the words long
+WAIVES_UNSPACED = frozenset(("v3",))
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and their extensions
+UNSPACED = (r"[\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{312F}\x{31A0}-\x{31FF}\x{3400}-\x{9FFF}"
+            r"\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}]")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,6 +57,12 @@ def _characters(text: Column, of: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, of, ""))).cast("long")
 
 
+def _unspaced(text: Column) -> Column:
+    """Characters of scripts without spaces between words; a text of single-byte characters has none."""
+    return F.when(F.octet_length(text) == F.length(text), F.lit(0).cast("long")).otherwise(
+        (F.length(text) - F.length(F.regexp_replace(text, UNSPACED, ""))).cast("long"))
+
+
 def _repeated(words: Column) -> Column:
     """Words inside windows of SPAN words that occur twice or more in the text, the first included."""
     def cover(starts: Column) -> Column:
@@ -95,10 +108,10 @@ def measures(text: Column) -> Column:
     """All measurements of a text in one struct."""
     return let(F.coalesce(text, F.lit("")), lambda t: F.struct(
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"), _characters(t, SYMBOLS).alias("n_symbols"),
-        _characters(t, "!").alias("n_exclaims"), _words(t).alias("w"), _lines(t).alias("l")))
+        _characters(t, "!").alias("n_exclaims"), _words(t).alias("w"), _lines(t).alias("l"), _unspaced(t).alias("n_unspaced")))
 
 
-_MEASURES = ("w.n_words", "word_chars", "n_symbols", "n_exclaims", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
+_MEASURES = ("w.n_words", "word_chars", "n_symbols", "n_exclaims", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "n_unspaced")
 
 
 def _measured(rows: DataFrame, kept: str) -> DataFrame:
@@ -115,12 +128,22 @@ def ledger(docs: DataFrame) -> DataFrame:
     return _measured(docs.select("doc_id", "text"), "doc_id")
 
 
+def rejected_bits(policy: str = CURRENT) -> Column:
+    """The failure bits on which a policy rejects a document."""
+    bits = F.col("fail_bits").bitwiseAND(POLICIES[policy])
+    if policy not in WAIVES_UNSPACED:
+        return bits
+    long_without = F.col("word_chars") - F.col("n_unspaced") > 15 * F.col("n_words")
+    return F.when(long_without, bits).otherwise(bits.bitwiseAND(~BIT["long_words"]))
+
+
 def passes(policy: str = CURRENT) -> Column:
-    return F.col("fail_bits").bitwiseAND(POLICIES[policy]) == 0
+    return rejected_bits(policy) == 0
 
 
 def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    return ledger(docs).withColumn("base_failed", F.col("fail_bits").bitwiseAND(BASE) != 0).withColumn("kept", passes(policy))
+    return (ledger(docs).withColumn("base_failed", F.col("fail_bits").bitwiseAND(BASE) != 0)
+            .withColumn("kept", passes(policy)).drop("n_unspaced"))
 
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -136,7 +159,7 @@ def ablation(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     small table.
     """
     mask = POLICIES[policy]
-    counts = book.groupBy(F.col("fail_bits").bitwiseAND(mask).alias("bits")).agg(F.count("*").alias("n"))
+    counts = book.groupBy(rejected_bits(policy).alias("bits")).agg(F.count("*").alias("n"))
     rules = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(bit).cast("long").alias("bit"))
                                 for name, bit in BIT.items() if bit & mask])).alias("r")
     rest = F.col("bits").bitwiseAND(F.lit(mask) - F.col("r.bit"))

@@ -39,3 +39,16 @@ def test_policies_agree_with_labels(spark, folder, documents):
     bad = [r for r in book if not labels[r["doc_id"]]]
     assert sum(r["kept"] for r in good) >= 0.99 * len(good)
     assert sum(not r["kept"] for r in bad) >= 0.7 * len(bad)
+
+
+def test_length_and_script_reject_nothing(spark):
+    """A clean text over a million words and one in a script without spaces stay; long words with spaces still go."""
+    numbers = " ".join(map(str, range(1_000_001)))
+    unspaced = " ".join("".join(chr(0x4E00 + 40 * k + j) for j in range(30)) for k in range(25))
+    spaced = " ".join(f"{k:03d}" + "abcdefghijklmnopqrst" for k in range(25))
+    df = spark.createDataFrame([(1, numbers), (2, unspaced), (3, spaced)], "doc_id long, text string")
+    book = {r["doc_id"]: r for r in rules.verdicts(df).collect()}
+    assert [book[k]["fail_bits"] for k in (1, 2, 3)] == [rules.BIT["too_many_words"], rules.BIT["long_words"], rules.BIT["long_words"]]
+    assert [book[k]["kept"] for k in (1, 2, 3)] == [True, True, False]
+    assert sorted(r["doc_id"] for r in rules.keep(df).select("doc_id").collect()) == [1, 2]
+    assert [r["kept"] for r in rules.verdicts(df, "v2").orderBy("doc_id").collect()] == [False] * 3
