@@ -13,7 +13,9 @@ keep a row each; long texts are scanned whole, with patterns that don't go back
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _TEN = tuple("0123456789")
+_LEAST_SECRET = 8
 # proposals: kind, pattern, strings of which a text must hold one for the pattern to match
 _PROPOSALS = (
     (0, re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}"
@@ -41,9 +44,9 @@ _PROPOSALS = (
     (2, re.compile(r"(?<![\w-])[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])"), _TEN),
     (3, re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"), _TEN),
     (3, re.compile(r"(?<![\w+.-])00[1-9][0-9 ().-]{6,18}[0-9](?![\w-])"), ("00",)),
-    (4, re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?[^\s\"']{8,256}[\"']?"), ("=", ":")),
+    (4, re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?([^\s\"']{8,}+)[\"']?"), ("=", ":")),
     (4, re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"), ("AKIA",)),
-    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"), _TEN),
+    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"), _TEN),
 )
 # words that speak for a kind when they stand before a span
 _CUES = tuple(re.compile(p, re.I) for p in (
@@ -92,13 +95,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _beside(m: re.Match, edges: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
+    """A secret's span; where spans taken lie in it, the stretches of its value beside them that are long enough."""
+    start, end = m.span()
+    k, value = bisect_right(ends, start), m.start(m.lastindex or 0)
+    if k == len(ends) or edges[k][0] >= end:
+        return [(start, end)]
+    out, since = [], value
+    head = start if edges[k][0] >= value else value  # the key word goes with the first stretch
+    for s, e in [*itertools.takewhile(lambda x: x[0] < end, itertools.islice(edges, k, None)), (end, end)]:
+        if s - since >= _LEAST_SECRET:
+            out.append((head if since == value else since, s))
+        since = max(since, e)
+    return out
+
+
 def proposed_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Wider spans that touch none of the spans taken and none of each other."""
     found = []
+    edges: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if edges and s <= edges[-1][1]:
+            edges[-1] = (edges[-1][0], max(edges[-1][1], e))
+        else:
+            edges.append((s, e))
+    ends = [e for _, e in edges]
     for kind, pattern, needed in _PROPOSALS:
         if any(map(text.__contains__, needed)):
-            found += [(kind, *m.span()) for m in pattern.finditer(text)]
-    edges = sorted((s, e) for _, s, e in taken)
+            for m in pattern.finditer(text):
+                found += [(kind, *span) for span in (_beside(m, edges, ends) if kind == 4 else [m.span()])]
     out, upto, k, reach = [], 0, 0, 0
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
         while k < len(edges) and edges[k][0] < e:

@@ -85,3 +85,24 @@ def test_odd_rows(odd, odd_rows, empty):
     text = {r["doc_id"]: r["text"] for r in hidden.collect()}
     assert text[13] == "Mail [email] or [phone]" and text[1] is None
     assert pii.redact(empty).collect() == []
+
+
+def test_long_secrets_are_whole():
+    """A secret of any length is proposed to its end, and its border speaks for it."""
+    token = "token=" + "aB3-x_" * 150
+    digits = "0123456789abcdef" * 20
+    for secret in (token, digits):
+        text = f"see {secret} here"
+        assert pii.proposed_spans(text, pii.base_spans(text)) == [(4, 4, 4 + len(secret))]
+        assert pii.votes(text, 4, 4, 4 + len(secret))[3] == 1
+
+
+def test_secret_around_base_span():
+    """An address far inside a long value takes nothing of the rest of the value out of the proposals."""
+    head, tail = "token=" + "aB3x" * 100, "&k=" + "Zy9" * 10
+    text = f"{head}&to:me@example.org{tail}"
+    base = pii.base_spans(text)
+    assert [text[s:e] for _, s, e in base] == ["me@example.org"]
+    assert [text[s:e] for _, s, e in pii.proposed_spans(text, base)] == [f"{head}&to:", tail]
+    text = "password: me@example.org"
+    assert pii.proposed_spans(text, pii.base_spans(text)) == []
