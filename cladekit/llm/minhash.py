@@ -225,10 +225,13 @@ def link(docs: DataFrame, width: int, similarity: int = SIMILARITY) -> tuple[Dat
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy(*set_key).agg(F.min(F.struct("doc_id", "keys")).alias("m"))
     classes = stored(classes.select(*set_key, F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys")), "classes")
-    # a doc_id with several texts links their classes
-    several = (named.join(classes.select(*set_key, "rep"), set_key).where("doc_id != rep")
-               .join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-               .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    # a doc_id with several texts links their classes with each other, whoever leads them
+    sets = F.struct(*set_key)
+    many = named.groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("lo != hi").select("doc_id")
+    led = (named.select("doc_id", *set_key).join(many, "doc_id").distinct()
+           .join(classes.select(*set_key, "rep"), set_key).select("doc_id", "rep"))
+    several = (led.join(led.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep != a")
+               .select("a", F.col("rep").alias("b")).distinct())
 
     filed = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     shared = filed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).where("lead != _last")

@@ -73,3 +73,10 @@ def test_pigeonhole():
         b = a.copy()
         b[rng.choice(len(a), limit, replace=False)] += np.uint64(1)
         assert set(minhash.keys(a).tolist()) & set(minhash.keys(b).tolist())
+
+
+def test_texts_of_one_id_link_classes_led_by_others(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, one), (4, two), (5, one), (5, two)]
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (4, 3), (5, 3), (5, 3)]
