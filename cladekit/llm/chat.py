@@ -2,7 +2,8 @@
 
 A line's quote level is the number of ``>`` before it. Neighbouring lines of one level from 1 up are a quoted passage. Its
 normalised text is hashed and joined to the hashes of what was said before in the conversation: whole messages, their
-unquoted parts and single lines. A message replies to the latest message that its first linked passage of the lowest
+unquoted parts, paragraphs and single lines. A passage of several lines that is none of these comes from the latest earlier message
+that said all of its lines. A message replies to the latest message that its first linked passage of the lowest
 level comes from, else to the message before it. A message that answers something else than the one before it opens a
 branch; branches stand after the branch they answer, so every reply follows what it replies to.
 
@@ -22,6 +23,7 @@ from .common import numbered, stored
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_BLANK_LINES = r"\n[\x20\x09-\x0D]*\n"
 _MARKS = r"^(?:[ \t]*>)+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_ROWS = 4096
@@ -47,14 +49,14 @@ def _line(x: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """Struct of a message: ``body`` without quotes, ``quotes`` (level, hash) and ``said`` (hashes of what it says)."""
+    """Struct of a message: ``body`` without quotes, ``quotes`` (level, hash, hashes of the lines) and ``said`` (hashes of what it says)."""
     def passages(lines: Column) -> Column:
         n = F.size(lines)
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (
             F.get(lines, i)["level"] != F.coalesce(F.get(lines, i - 1)["level"], F.lit(-1))))
         return _let(starts, lambda s: F.transform(s, lambda a, k: F.struct(
             F.get(lines, a)["level"].alias("level"),
-            normal(_joined(F.slice(lines, a + 1, F.coalesce(F.get(s, k + 1), n) - a), " ")).alias("text"))))
+            _joined(F.slice(lines, a + 1, F.coalesce(F.get(s, k + 1), n) - a), "\n").alias("raw"))))
 
     def built(lines: Column) -> Column:
         own = F.filter(lines, lambda x: x["level"] == 0)
@@ -62,28 +64,62 @@ def parsed(text: Column) -> Column:
         single = F.transform(own, lambda x: normal(x["content"]))
         return _let(passages(lines), lambda p: F.struct(
             body.alias("body"),
-            F.transform(F.filter(p, lambda x: (x["level"] > 0) & (x["text"] != "")),
-                        lambda x: F.struct(x["level"].alias("level"), F.md5(x["text"]).alias("hash"))).alias("quotes"),
-            F.transform(F.array_remove(F.array_distinct(F.concat(
-                F.array(normal(body)), F.transform(F.filter(p, lambda x: x["level"] == 0), lambda x: x["text"]), single)), ""),
-                lambda x: F.md5(x)).alias("said")))
+            F.transform(F.filter(p, lambda x: (x["level"] > 0) & (normal(x["raw"]) != "")),
+                        lambda x: F.struct(x["level"].alias("level"), F.md5(normal(x["raw"])).alias("hash"),
+                                           hashes(F.transform(F.split(x["raw"], "\n"), normal)).alias("lines"))).alias("quotes"),
+            hashes(F.concat(F.array(normal(body)), F.flatten(F.transform(F.filter(p, lambda x: x["level"] == 0), units)), single)).alias("said")))
+
+    def units(x: Column) -> Column:
+        return F.concat(F.array(normal(x["raw"])), F.transform(F.split(x["raw"], _BLANK_LINES), normal))
+
+    def hashes(texts: Column) -> Column:
+        return F.transform(F.array_remove(F.array_distinct(texts), ""), lambda x: F.md5(x))
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _line)
     return _let(lines, built)
 
 
+def _sources(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """``quotes`` with ``source``, the latest row before each that said its ``hash``; without those that nobody said before."""
+    # quotations sort before what their own message says
+    both = quotes.select("conv", "hash", "row", "at", "level", F.lit(0).alias("says")).unionByName(
+        said.select("conv", "hash", "row", F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit(1).alias("says")))
+    upto = Window.partitionBy("conv", "hash").orderBy("row", "says").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("source", F.last(F.when(F.col("says") == 1, F.col("row")), ignorenulls=True).over(upto)).where(
+        "says = 0 AND source IS NOT NULL").select("row", "at", "level", "source")
+
+
+def _holders(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """Rows (``conv``, ``row``) that said all lines of a passage (``hash``) before the last quotation of it.
+
+    Equal passages of a conversation are looked up once, from the line that the fewest messages said.
+    """
+    wanted = quotes.groupBy("conv", "hash").agg(F.max("row").alias("upto"), F.first("lines").alias("lines"))
+    lines = wanted.select("conv", F.col("hash").alias("passage"), "upto", F.size("lines").alias("n"), F.explode("lines").alias("hash"))
+    held = said.join(lines.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+    often = held.groupBy("conv", "hash").agg(F.count("*").alias("times"))
+    # a line that nobody said leaves its passage short of lines
+    rarest = lines.join(often, ["conv", "hash"]).groupBy("conv", "passage", "upto", "n").agg(
+        F.count("*").alias("found"), F.min(F.struct("times", "hash"))["hash"].alias("hash")).where("found = n")
+    candidates = rarest.join(held, ["conv", "hash"]).where("row < upto").select("conv", "passage", "row")
+    full = (candidates.join(lines, ["conv", "passage"]).join(held, ["conv", "row", "hash"])
+            .groupBy("conv", "passage", "row", "n").count().where("count = n"))
+    return full.select("conv", F.col("passage").alias("hash"), "row")
+
+
 def _links(rows: DataFrame) -> DataFrame:
     """For each message with linked quotes: how many are linked, and the row it replies to."""
     quotes = rows.where(F.size("quotes") > 0).select("conv", "row", F.posexplode("quotes").alias("at", "q")).select(
-        "conv", "row", "at", "q.level", "q.hash")
+        "conv", "row", "at", "q.level", "q.hash", "q.lines")
     quoting = quotes.select("conv").distinct()
     said = rows.join(quoting, "conv", "left_semi").select("conv", "row", F.explode("said").alias("hash"))
-    # the latest row before the quotation that said it: quotations sort before what their own message says
-    both = quotes.select("conv", "hash", "row", "at", "level", F.lit(0).alias("says")).unionByName(
-        said.select("conv", "hash", "row", F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit(1).alias("says")))
-    upto = Window.partitionBy("conv", "hash").orderBy("row", "says").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("source", F.last(F.when(F.col("says") == 1, F.col("row")), ignorenulls=True).over(upto)).where(
-        "says = 0 AND source IS NOT NULL")
+    whole = stored(_sources(quotes, said), "quotes-whole")
+    # equal lines make equal passages here, however a passage was broken into them
+    left = stored(quotes.where(F.size("lines") > 1).join(whole.select("row", "at"), ["row", "at"], "left_anti")
+                  .withColumn("hash", F.md5(F.array_join(F.array_sort("lines"), ","))), "quotes-left")
+    found = whole
+    if left.limit(1).count():
+        found = whole.unionByName(_sources(left, _holders(left, said)))
     return found.groupBy("row").agg(F.count("*").alias("n_linked"),
                                     F.min(F.struct("level", "at", "source"))["source"].alias("reply_row"))
 

@@ -49,3 +49,18 @@ def test_one_long_conversation(spark):
 
 def test_empty(spark):
     assert chat.link_quotations(messages(spark, ROWS).where("false")).collect() == []
+
+
+def test_some_lines_of_a_message(spark):
+    """Two or more, but not all, lines of a message are linked to it, as paragraphs and line by line."""
+    rows = [(1, 0, "user", "One a\nTwo b\nThree c\nFour d\n\nFive e\nSix f"), (1, 1, "assistant", "Two b\nOne a\nelse"),
+            (1, 2, "user", "ok"), (1, 3, "user", "> Three c\n> Four d\nx\n> One a\n>\n> two  B\ny"),
+            (1, 4, "user", "> Five e Six\n> f\nz"), (1, 5, "user", "> Two b\n> One a\nw"), (1, 6, "user", "> Three c\n> else\nv"),
+            (2, 0, "user", "One a\nTwo b\nThree c"), (1, 7, "user", "Three c\nFour d"), (1, 8, "user", "> Six f\n> Four d\nu")]
+    told = {r["turn"]: (r["reply_turn"], r["n_quotes"], r["n_linked"]) for r in
+            chat.link_quotations(messages(spark, rows)).where("conv_id = 1").collect()}
+    assert told[3] == (0, 2, 2)  # its first passage decides
+    assert told[4] == (0, 1, 1)  # a paragraph broken elsewhere
+    assert told[5] == (1, 1, 1)  # the latest message that said both lines
+    assert told[6] == (5, 1, 0)  # lines of two messages
+    assert told[8] == (0, 1, 1)
