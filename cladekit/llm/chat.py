@@ -81,12 +81,18 @@ def parsed(text: Column) -> Column:
 
 def _sources(quotes: DataFrame, said: DataFrame) -> DataFrame:
     """``quotes`` with ``source``, the latest row before each that said its ``hash``; without those that nobody said before."""
+    said = said.join(quotes.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
     # quotations sort before what their own message says
     both = quotes.select("conv", "hash", "row", "at", "level", F.lit(0).alias("says")).unionByName(
         said.select("conv", "hash", "row", F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit(1).alias("says")))
-    upto = Window.partitionBy("conv", "hash").orderBy("row", "says").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("source", F.last(F.when(F.col("says") == 1, F.col("row")), ignorenulls=True).over(upto)).where(
-        "says = 0 AND source IS NOT NULL").select("row", "at", "level", "source")
+    # a saying of a hot group is carried over blocks of rows, as branch starts are
+    blocked = both.withColumn("_block", F.floor(F.col("row") / BLOCK_ROWS)).withColumn("_said", F.when(F.col("says") == 1, F.col("row")))
+    tops = blocked.groupBy("conv", "hash", "_block").agg(F.max("_said").alias("_top"))
+    carried = tops.select("conv", "hash", "_block", F.max("_top").over(
+        Window.partitionBy("conv", "hash").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = Window.partitionBy("conv", "hash", "_block").orderBy("row", "says").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (blocked.withColumn("_last", F.max("_said").over(inside)).where("says = 0").join(carried, ["conv", "hash", "_block"])
+            .withColumn("source", F.coalesce("_last", "_carried")).where("source IS NOT NULL").select("row", "at", "level", "source"))
 
 
 def _holders(quotes: DataFrame, said: DataFrame) -> DataFrame:

@@ -64,3 +64,12 @@ def test_some_lines_of_a_message(spark):
     assert told[5] == (1, 1, 1)  # the latest message that said both lines
     assert told[6] == (5, 1, 0)  # lines of two messages
     assert told[8] == (0, 1, 1)
+
+
+def test_sayings_of_a_hot_text_over_blocks(spark, monkeypatch):
+    """Each quotation of a common text finds the latest saying, also from blocks of rows before its own."""
+    monkeypatch.setattr(chat, "BLOCK_ROWS", 4)
+    rows = [(1, k, "user", "> ok\nso" if k % 7 == 6 else "ok" if k % 11 < 2 else f"m {k}") for k in range(80)]
+    got = {r["turn"]: r["reply_turn"] for r in chat.link_quotations(messages(spark, rows)).collect()}
+    for k in range(6, 80, 7):
+        assert got[k] == max(j for j in range(k) if j % 7 != 6 and j % 11 < 2)
