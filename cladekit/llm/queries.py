@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, counts, decontam, minhash, packing, pii, rules, sharding, suffix
+from . import bitpack, chat, counts, decontam, minhash, packing, pii, repair, rules, search, sharding, suffix, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,18 @@ def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weak_supervision_pii")
 def weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_repair", repair.ORACLE)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_exact_top_k", search.ORACLE)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest_rows(table(spark, sf_dir, "embeddings"), every=50)
