@@ -1,8 +1,9 @@
 """Trees as rows: distances, covariances and topologies straight from newick text.
 
 A tree stays one row. Its brackets are read with array functions, so nothing here
-shuffles and no Python runs per tree. ``leaf_paths`` gives, for every leaf, its own
-length and the inner nodes above it; all other measures compare those lists.
+shuffles and no Python runs per tree. Measures of a few taxa come from the intervals of ``trees``.
+``leaf_paths`` gives, for every leaf, its own length and the inner nodes above it, for trees
+whose leaves become rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import trees as T
 from .labels import LEAVES
+from .trees import TOKEN, let
 
 # Canonical rooted topologies and their ids.
 TOPOLOGIES = {
@@ -19,7 +22,6 @@ TOPOLOGIES = {
     "(4,(1,(2,3)));": 3,
 }
 
-TOKEN = r"(\(|\)[^(),;]*|[^(),;]+)"
 _STATE = "struct<ids:array<int>,lens:array<double>,at:int,found:array<{leaf}>>"
 _LEAF = "struct<name:string,len:double,ids:array<int>,lens:array<double>>"
 
@@ -28,11 +30,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _length(token: Column) -> Column:
     number = F.substring_index(token, ":", -1).try_cast("double")
     return F.when(F.contains(token, F.lit(":")), F.coalesce(number, F.lit(0.0))).otherwise(0.0)
@@ -108,46 +105,43 @@ def steps(a: Column, b: Column, shared: Column | None = None) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), apart)
 
 
-def covariance(a: Column, b: Column, shared: Column | None = None) -> Column:
-    """Length from the root to the common ancestor of two leaves; to the leaf itself for one."""
-    n = _shared(a, b) if shared is None else shared
-    above = _total(F.slice(a["lens"], F.lit(1), n))
-    return F.when(a["name"] == b["name"], above + a["len"]).when(
-        a.isNotNull() & b.isNotNull(), above)
-
-
 def _pairs(taxa) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(taxa) for b in taxa[i + 1:]]
 
 
 def with_leaves(df, newick: str = "newick", name: str = "_leaves", taxa=LEAVES):
-    """Add the leaf array, one entry ``_l<taxon>`` per wanted taxon and their shared depths."""
-    df = df.withColumn(name, leaf_paths(newick))
-    return with_shared(df.withColumns({f"_l{t}": leaf(F.col(name), t) for t in taxa}), taxa)
+    """Add the leaf array and what the measures of the wanted taxa need."""
+    return T.with_taxa(df.withColumn(name, leaf_paths(newick)), newick, taxa)
 
 
-def with_shared(df, taxa=LEAVES):
-    """Add ``_n<a>_<b>``, the number of inner nodes above both leaves, for each pair."""
-    return df.withColumns({
-        f"_n{a}_{b}": _shared(F.col(f"_l{a}"), F.col(f"_l{b}")) for a, b in _pairs(taxa)})
+def without_leaves(df, name: str = "_leaves", taxa=LEAVES):
+    return df.drop(name, "_cells", *[f"_at{t}" for t in taxa])
 
 
-def without_leaves(df, name: str = "_leaves", taxa=LEAVES):
-    gone = [f"_l{t}" for t in taxa] + [f"_n{a}_{b}" for a, b in _pairs(taxa)]
-    return df.drop(name, *gone)
+def pair_distances(taxa=LEAVES) -> dict[str, Column]:
+    order = list(taxa)
+    return {f"{a}_{b}": T.apart(order.index(a), order.index(b), order) for a, b in _pairs(taxa)}
 
 
-def _each(f, taxa, pairs) -> dict[str, Column]:
-    return {f"{a}_{b}": f(F.col(f"_l{a}"), F.col(f"_l{b}"),
-                          F.col(f"_n{a}_{b}") if a != b else None) for a, b in pairs}
+def pair_covariances(taxa=LEAVES) -> dict[str, Column]:
+    order = list(taxa)
+    return {f"{a}_{b}": T.above_both(order.index(a), order.index(b), order)
+            for a, b in [*_pairs(taxa), *[(t, t) for t in taxa]]}
 
 
-def pair_distances(taxa=LEAVES) -> dict[str, Column]:
-    return _each(distance, taxa, _pairs(taxa))
+def listed_pairs(measure, taxa=LEAVES) -> dict[str, Column]:
+    """``distance`` or ``steps`` of each pair of leaf entries ``_l<taxon>``."""
+    return {f"{a}_{b}": measure(F.col(f"_l{a}"), F.col(f"_l{b}"), F.col(f"_n{a}_{b}")) for a, b in _pairs(taxa)}
 
 
-def pair_covariances(taxa=LEAVES) -> dict[str, Column]:
-    return _each(covariance, taxa, [*_pairs(taxa), *[(t, t) for t in taxa]])
+def with_shared(df, taxa=LEAVES):
+    """Add ``_n<a>_<b>``, the number of inner nodes above both leaf entries, for each pair."""
+    return df.withColumns({
+        f"_n{a}_{b}": _shared(F.col(f"_l{a}"), F.col(f"_l{b}")) for a, b in _pairs(taxa)})
+
+
+def without_shared(df, taxa=LEAVES):
+    return df.drop(*[f"_l{t}" for t in taxa], *[f"_n{a}_{b}" for a, b in _pairs(taxa)])
 
 
 def distance_matrix(pairs: dict[str, Column] | None = None, taxa=LEAVES) -> Column:
@@ -173,14 +167,14 @@ def quartet_split(d12_34: Column, d13_24: Column, d14_23: Column) -> Column:
     return let(F.array(d12_34, d13_24, d14_23), smallest)
 
 
-def topology_id(taxa=LEAVES) -> Column:
+def topology_id(taxa=LEAVES, steps: dict[str, Column] | None = None) -> Column:
     """Id of the topology the four taxa take once the tree is rooted on the last of them.
 
     Edges count 1 each, so branches of length 0 do not hide a split; only a true
     polytomy gives NULL.
     """
-    a, b, c, d = taxa
-    s = _each(steps, taxa, _pairs(taxa))
+    a, b, c, d = order = list(taxa)
+    s = steps or {f"{x}_{y}": T.edges_apart(order.index(x), order.index(y), order) for x, y in _pairs(taxa)}
     return quartet_split(
         s[f"{a}_{b}"] + s[f"{c}_{d}"], s[f"{a}_{c}"] + s[f"{b}_{d}"],
         s[f"{a}_{d}"] + s[f"{b}_{c}"])
@@ -206,11 +200,6 @@ def internal_length(d: dict[str, Column] | None = None) -> Column:
     return F.abs((g("1_3") - g("3_4")) / 2 - (g("1_2") - g("2_4")) / 2)
 
 
-def _short(x: Column) -> Column:
-    text = F.format_string("%.6f", x)
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
 def canonical_newick(tid="tid") -> Column:
     """Text with lengths, rooted halfway along the branch of leaf 4, sorted and ladderised.
 
@@ -228,9 +217,9 @@ def canonical_newick(tid="tid") -> Column:
         inner = d(x, z) - len_x - up_z
         out = d(z, "4") - up_z
         return F.concat(
-            F.lit("(4:"), _short(out / 2), F.lit(f",({z}:"), _short(up_z), F.lit(f",({x}:"),
-            _short(len_x), F.lit(f",{y}:"), _short(len_y), F.lit("):"), _short(inner),
-            F.lit("):"), _short(out / 2), F.lit(");"),
+            F.lit("(4:"), T.number_text(out / 2), F.lit(f",({z}:"), T.number_text(up_z), F.lit(f",({x}:"),
+            T.number_text(len_x), F.lit(f",{y}:"), T.number_text(len_y), F.lit("):"), T.number_text(inner),
+            F.lit("):"), T.number_text(out / 2), F.lit(");"),
         )
 
     return (
@@ -240,52 +229,6 @@ def canonical_newick(tid="tid") -> Column:
     )
 
 
-def subtree_text(leaves, taxa) -> Column:
-    """Rooted topology of three taxa; NULL when one is absent, a flat triple when unresolved."""
-    entries = {t: leaf(_c(leaves), t) for t in taxa}
-
-    def shared(a, b):
-        return _shared(entries[a], entries[b])
-
-    x, y, z = sorted(taxa)
-    options = [(x, y, z), (x, z, y), (y, z, x)]
-    here = functools_and([e.isNotNull() for e in entries.values()])
-    depth = {o: shared(o[0], o[1]) for o in options}
-    out = F.lit(f"({x},{y},{z});")
-    for o in options:
-        others = [depth[q] for q in options if q != o]
-        out = F.when((depth[o] > others[0]) & (depth[o] > others[1]),
-                     F.lit(f"({o[2]},({o[0]},{o[1]}));")).otherwise(out)
-    return F.when(here, out)
-
-
-def functools_and(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
-def clades(leaves) -> Column:
-    """Sorted leaf-name lists below each inner node, as strings."""
-    def texts(tree):
-        nodes = F.array_distinct(F.flatten(tree["ids"]))
-
-        def below(i):
-            inside = F.filter(tree, lambda e: F.array_contains(e["ids"], i))
-            return F.array_join(F.array_sort(inside["name"]), ",")
-
-        return F.array_distinct(F.transform(nodes, below))
-
-    return let(_c(leaves), texts)
-
-
-def splits_differ(clades_a, clades_b) -> Column:
-    """True when the two trees do not have the same clades."""
-    a, b = _c(clades_a), _c(clades_b)
-    return (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))) > 0
-
-
 def gene_family(name) -> Column:
     """Leaf name without its trailing ``_copy_number`` suffix."""
     return F.regexp_replace(_c(name), r"_\d+_\d+", "")

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import newick as N
+from ..functions import trees as T
 from ..functions.labels import LEAVES
 from ..functions.scalars import is_polytomy, leaf_string
 from ..sources.names import clade_number
 from .aggregates import balance
-from .relational import one_of_each_clade, with_group
+from .relational import with_group
 
 # Where qCF, qDF1 and qDF2 end up for each clade order seen in the input.
 SITE_COLUMN_MAP = {
@@ -72,19 +74,25 @@ def attach_each(rows: DataFrame, source: DataFrame, gene: str, key: str, value:
     """Look up one value per listed column by (gene, key); rows lacking any of them drop out.
 
     The listed columns become rows that are joined once, on both keys, which spreads the rows of a
-    large gene over its taxa; a row's values are then gathered again. ``source`` has one row per
-    gene and key. Repeated rows stay.
+    large gene over its taxa. A row's values are then gathered by a hash of its content, the row itself being
+    carried beside the first of them only. ``source`` has one row per gene and key. Repeated rows are counted
+    before and put back after.
     """
     kept = rows.columns
-    slots = rows.select("*", F.posexplode(F.array(*columns)).alias("_slot", "_key"))
-    one = source.select(F.col(gene), F.col(key).alias("_key"), F.col(value).alias("_value"))
-    found = slots.join(one, [gene, "_key"]).groupBy(*kept).agg(
-        *[F.first(F.when(F.col("_slot") == i, F.col("_value")), ignorenulls=True).alias(name)
-          for i, name in enumerate(names)],
-        F.expr("bit_or(shiftleft(1, _slot))").alias("_all"), F.count_if(F.col("_slot") == 0).alias("_n"))
-    whole = found.where(F.col("_all") == (1 << len(columns)) - 1)
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))
-    return whole.withColumn("_n", times).drop("_all", "_n")
+    names_of = [F.col(f"`{c}`") for c in kept]
+    once = rows.groupBy(*names_of).agg(F.count(F.lit(1)).alias("_n")).withColumns({
+        "_h": F.xxhash64(*names_of), "_g": F.xxhash64(F.lit(gene), *names_of), "_row": F.struct(*names_of, "_n")})
+    slots = once.select("_h", "_g", "_row", gene, F.posexplode(F.array(*columns)).alias("_slot", "_key")).withColumn(
+        "_row", F.when(F.col("_slot") == 0, F.col("_row")))
+    one = source.select(F.col(gene), F.col(key).alias("_key"), F.struct(F.col(value)).alias("_value"))
+    whole = Window.partitionBy("_h", "_g")
+    found = slots.join(one, [gene, "_key"]).select(
+        "_row", *[F.max(F.when(F.col("_slot") == i, F.col("_value"))).over(whole).alias(f"_v{i}") for i in range(len(names))])
+    there = found.where(F.col("_row").isNotNull()).na.drop(subset=[f"_v{i}" for i in range(len(names))])
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_row._n")))
+    return there.select(
+        *[F.col("_row").getField(c).alias(c) for c in kept],
+        *[F.col(f"_v{i}").getField(value).alias(name) for i, name in enumerate(names)], times.alias("_t")).drop("_t")
 
 
 def quartet_sequences(quartets: DataFrame, sequences: DataFrame, gene: str = "gene",
@@ -103,21 +111,27 @@ def named_quartets(
     The halves ``q1,q2`` and ``q3,q4`` survive: each is ordered by clade, then the halves by
     name, so the three concordance columns still know their splits.
     """
-    def half(x, y):
-        pair = F.array(*[
-            F.struct(clade_number(n, clades).alias("k"), F.col(n).alias("n")) for n in (x, y)])
-        return F.transform(F.array_sort(pair, lambda p, q: F.when(p["k"] < q["k"], -1)
-                                        .when(p["k"] > q["k"], 1).otherwise(0)), lambda s: s["n"])
-
     rows = attach_each(quartets, taxa, gene, "ix", "name", ["Seq1", "Seq2", "Seq3", "Seq4"],
-                       ["n1", "n2", "n3", "n4"])
-    rows = rows.withColumns({"_l": half("n1", "n2"), "_r": half("n3", "n4")})
-    ordered = F.when(F.col("_l") <= F.col("_r"), F.concat("_l", "_r")).otherwise(
-        F.concat("_r", "_l"))
-    rows = rows.withColumn("taxa", ordered)
-    rows = rows.withColumn("_k", F.transform("taxa", lambda n: clade_number(n, clades)))
-    return rows.where(one_of_each_clade(F.col("_k"))).withColumn(
-        "order", F.array_join("_k", "")).drop("_l", "_r", "_k", "n1", "n2", "n3", "n4")
+                       ["_n1", "_n2", "_n3", "_n4"])
+    rows = rows.withColumns({f"_k{i}": clade_number(f"_n{i}", clades) for i in (1, 2, 3, 4)})
+    one_each = F.sort_array(F.array("_k1", "_k2", "_k3", "_k4")) == F.array(*map(F.lit, "1234"))
+    halves = {}
+    for side, x, y in (("l", 1, 2), ("r", 3, 4)):
+        turned = F.col(f"_k{x}") > F.col(f"_k{y}")
+        for place, (a, b) in enumerate(((x, y), (y, x))):
+            for part in "nk":
+                halves[f"_{part}{side}{place}"] = F.when(turned, F.col(f"_{part}{b}")).otherwise(F.col(f"_{part}{a}"))
+    rows = rows.where(one_each).withColumns(halves)
+    front = (F.col("_nl0") < F.col("_nr0")) | ((F.col("_nl0") == F.col("_nr0")) & (F.col("_nl1") <= F.col("_nr1")))
+
+    def ordered(part: str, put) -> Column:
+        left, right = [f"_{part}l0", f"_{part}l1"], [f"_{part}r0", f"_{part}r1"]
+        return F.when(front, put(*left, *right)).otherwise(put(*right, *left))
+
+    # a generator of one row: filters above are not worked out from the steps below it
+    made = F.explode(F.array(F.struct(ordered("n", F.array).alias("taxa"), ordered("k", F.concat).alias("order")))).alias("_o")
+    return rows.select(*[F.col(f"`{c}`") for c in quartets.columns], made).select(
+        *[F.col(f"`{c}`") for c in quartets.columns], "_o.taxa", "_o.order")
 
 
 def remapped_sites(df: DataFrame, order: str = "order") -> DataFrame:
@@ -140,14 +154,10 @@ def remapped_sites(df: DataFrame, order: str = "order") -> DataFrame:
 
 
 def sorted_taxa(df: DataFrame, clades: Sequence[str], taxa: str = "taxa") -> DataFrame:
-    """Four columns, one per clade, named after the clades."""
+    """Four columns, one per clade, named after the clades: the first taxon of each."""
+    names = [F.get(taxa, F.lit(i)) for i in range(4)]
     return df.withColumns({
-        c: F.get(F.filter(taxa, _starting(c)), F.lit(0)) for c in clades
-    }).drop(taxa)
-
-
-def _starting(prefix: str):
-    return lambda n: n.startswith(prefix)
+        c: F.coalesce(*[F.when(n.startswith(c), n) for n in names]) for c in clades}).drop(taxa)
 
 
 def percent_sites(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -160,9 +170,14 @@ def percent_sites(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         c: F.when(F.col("_unit"), F.col(c) * 100).otherwise(F.col(c)) for c in cols}).drop("_unit")
 
 
-def tree_records(df: DataFrame, newick: str = "newick", species: bool = False) -> DataFrame:
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal rows over so many tasks before they are parsed; for tables that come as fewer, large splits."""
+    return df if partitions is None else df.repartition(partitions)
+
+
+def tree_records(df: DataFrame, newick: str = "newick", species: bool = False, partitions: int | None = None) -> DataFrame:
     """Canonical text, pair distances, matrix and topology id of four-taxon trees."""
-    out = N.with_leaves(df, newick).withColumns(N.pair_distances())
+    out = N.with_leaves(spread(df, partitions), newick).withColumns(N.pair_distances())
     out = out.withColumn("tid", N.topology_id())
     out = out.withColumns({"newick": N.canonical_newick(), "pdist": N.distance_matrix()})
     if species:
@@ -170,6 +185,25 @@ def tree_records(df: DataFrame, newick: str = "newick", species: bool = False) -
     return N.without_leaves(out)
 
 
+def standard_trees(df: DataFrame, newick: str = "newick", outgroup=None, taxa=None, lengths: bool = True,
+                   rename=None, partitions: int | None = None) -> DataFrame:
+    """Trees of any size pruned to ``taxa``, renamed, rooted on ``outgroup``, their children in standard order, as text.
+
+    ``outgroup`` is a name or a column, ``taxa`` names or an array column. A tree that lacks one of them gives NULL.
+    """
+    tree = T.parse(newick)
+    if taxa is not None:
+        tree = T.prune(tree, taxa, rename)
+    if outgroup is not None:
+        tree = T.reroot(tree, outgroup)
+    return spread(df, partitions).withColumn(newick, T.text(T.standard(tree), lengths))
+
+
+def branch_table(df: DataFrame, keys: Sequence[str], tree: Column) -> DataFrame:
+    """One row per branch of each tree: the sorted leaf names below it and its length."""
+    return df.select(*keys, F.explode(T.clade_rows(tree)).alias("b")).select(*keys, "b.clade", "b.len")
+
+
 def leaf_table(trees: DataFrame, keys: Sequence[str], newick: str = "newick") -> DataFrame:
     """One row per leaf with the inner nodes above it."""
     return trees.select(*keys, F.explode(N.leaf_paths(newick)).alias("e")).select(
@@ -183,15 +217,14 @@ def quartet_tree_summary(
     listed = quartets.select(gene, *taxa).distinct()
     wide = attach_each(listed, leaf_table(trees, [gene]), gene, "name", "leaf", taxa,
                        [f"_l{t}" for t in LEAVES])
-    out = N.with_shared(wide).withColumns(N.pair_distances()).withColumn("tid", N.topology_id())
-    return N.without_leaves(out)
+    out = N.with_shared(wide).withColumns(N.listed_pairs(N.distance))
+    return N.without_shared(out.withColumn("tid", N.topology_id(steps=N.listed_pairs(N.steps))))
 
 
-def different_share(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def different_share(pairs: DataFrame, a: str, b: str, partitions: int | None = None) -> DataFrame:
     """Share of tree pairs that do not have the same clades."""
-    rows = pairs.withColumns({"_a": N.leaf_paths(a), "_b": N.leaf_paths(b)})
-    rows = rows.select(N.clades("_a").alias("_a"), N.clades("_b").alias("_b"))
-    return rows.agg(F.avg(N.splits_differ("_a", "_b").cast("double")).alias("share"))
+    rows = spread(pairs, partitions)
+    return rows.agg(F.avg((~T.same_clades(a, b)).cast("double")).alias("share"))
 
 
 def stem_pairs(a: DataFrame, b: DataFrame, stem: str = "stem", place: str = "ord") -> DataFrame:

@@ -137,6 +137,16 @@ def newick_trees(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(text("2", "3", "1")).alias("newick"))
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks to deal parsing over: as many as the cluster runs at once."""
+    return spark.sparkContext.defaultParallelism
+
+
+def spread_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """The trees dealt over the cluster, since their table may come as one split."""
+    return newick_trees(spark, sf).repartition(tasks(spark))
+
+
 # leaf lengths x, y (cherry) and z, and the inner lengths, as the text above has them
 NEWICK = """(SELECT l_partkey AS sid, l_orderkey AS tree_no, l_suppkey AS ds_no,
   l_linenumber AS line_no, l_linenumber % 3 + 1 AS tid,

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import newick as N
 from ..functions import scalars as S
+from ..functions import trees as T
 from ..functions.labels import flatten_pairs, pair_labels
 from ..operators import permute as P
 from ..operators import quartets as Q
 from .registry import query, rounded, tidy
-from .tables import NEWICK, newick_trees, table
+from .tables import NEWICK, newick_trees, spread_trees, table, tasks
 
 _ID = "sid, tree_no, ds_no, line_no"
 _IDS = ["sid", "tree_no", "ds_no", "line_no"]
@@ -30,14 +31,14 @@ _SIX = f"""(SELECT {_ID}, tid, CASE tid WHEN 1 THEN xy WHEN 2 THEN xz ELSE xz EN
     f'SELECT {_ID}, "1_2", "1_3", "1_4", "2_3", "2_4", "3_4" FROM {_SIX} s', pair_labels()))
 def tree_distances(spark, sf):
     """Six leaf distances of every tree, read from its text."""
-    rows = N.with_leaves(newick_trees(spark, sf)).withColumns(N.pair_distances())
+    rows = N.with_leaves(spread_trees(spark, sf)).withColumns(N.pair_distances())
     return tidy(rows.select(*_IDS, *pair_labels()))
 
 
 @query("topology_id", f"""SELECT {_ID}, tid, CASE tid WHEN 1 THEN '(4,(3,(1,2)));' WHEN 2 THEN
  '(4,(2,(1,3)));' ELSE '(4,(1,(2,3)));' END AS topology FROM {NEWICK} n""")
 def topology_id(spark, sf):
-    rows = N.with_leaves(newick_trees(spark, sf)).withColumn("tid", N.topology_id())
+    rows = N.with_leaves(spread_trees(spark, sf)).withColumn("tid", N.topology_id())
     return tidy(rows.select(*_IDS, "tid", N.topology_text("tid").alias("topology")))
 
 
@@ -56,7 +57,7 @@ _CANON = f"""'(4:' || {_half('up + l4')} || ',(' || z || ':' || lz || ',(' || x
  CASE WHEN tid = 3 THEN 0 ELSE inner_len END AS ibl FROM t""", "d34 ebl ibl"))
 def tree_summary(spark, sf):
     """Tree records with the branch lengths of a species tree."""
-    rows = Q.tree_records(newick_trees(spark, sf), species=True)
+    rows = Q.tree_records(spread_trees(spark, sf), species=True)
     return tidy(rows.select(*_IDS, "newick", "tid", F.col("pdist")[2][3].alias("d34"), "ebl", "ibl"))
 
 
@@ -66,14 +67,14 @@ def tree_summary(spark, sf):
  FROM {NEWICK} n""", "1_2 1_3 2_3 1_1 1_4"))
 def tree_covariance(spark, sf):
     """Length from the root to the common ancestor of each leaf pair."""
-    rows = N.with_leaves(newick_trees(spark, sf)).withColumns(N.pair_covariances())
+    rows = N.with_leaves(spread_trees(spark, sf)).withColumns(N.pair_covariances())
     return tidy(rows.select(*_IDS, "1_2", "1_3", "2_3", "1_1", "1_4"))
 
 
 @query("cherry_labels", f"""SELECT {_ID}, tid - 1 AS cherry FROM {NEWICK} n""")
 def cherry_labels(spark, sf):
     """Cherry from the three ingroup covariances."""
-    rows = N.with_leaves(newick_trees(spark, sf)).withColumns(N.pair_covariances())
+    rows = N.with_leaves(spread_trees(spark, sf)).withColumns(N.pair_covariances())
     return tidy(rows.select(*_IDS, S.cherry("1_2", "1_3", "2_3").alias("cherry")))
 
 
@@ -82,11 +83,13 @@ def cherry_labels(spark, sf):
  CAST(NULL AS VARCHAR) AS absent FROM {NEWICK} n""")
 def subtree_topology(spark, sf):
     """Trees pruned to three taxa; a taxon the tree lacks gives NULL."""
-    rows = newick_trees(spark, sf).withColumn("leaves", N.leaf_paths("newick"))
-    return tidy(rows.select(
-        *_IDS, N.subtree_text("leaves", ["1", "2", "3"]).alias("ingroup"),
-        N.subtree_text("leaves", ["1", "2", "4"]).alias("with_root"),
-        N.subtree_text("leaves", ["1", "2", "9"]).alias("absent")))
+    rows = spread_trees(spark, sf).withColumn("tree", T.parse("newick"))
+
+    def topology(taxa):
+        return T.text(T.standard(T.prune("tree", taxa)), lengths=False)
+
+    return tidy(rows.select(*_IDS, topology(["1", "2", "3"]).alias("ingroup"), topology(["1", "2", "4"]).alias("with_root"),
+                            topology(["1", "2", "9"]).alias("absent")))
 
 
 @query("rf_share", rounded("""SELECT avg(CASE WHEN a.l_linenumber % 3 <> (a.l_suppkey + a.l_orderkey) % 3
@@ -101,7 +104,7 @@ def rf_share(spark, sf):
     pairs = lines.select(
         text(F.col("l_linenumber") % 3).alias("a"),
         text((F.col("l_suppkey") + F.col("l_orderkey")) % 3).alias("b"))
-    return tidy(Q.different_share(pairs, "a", "b"))
+    return tidy(Q.different_share(pairs, "a", "b", partitions=tasks(spark)))
 
 
 _BIG = "abcdefgh"
@@ -133,6 +136,53 @@ def _eight_leaf_quartets(spark, sf):
     return one.unionByName(two)
 
 
+_ROOT = 14
+# the eight-leaf tree as a table of parent pointers: leaf or node, its parent, the number of its length
+_PARENTS = [*[(leaf, str(8 + i // 2), i) for i, leaf in enumerate(_BIG)], ("8", "12", 8), ("9", "12", 9), ("10", "13", 10),
+            ("11", "13", 11), ("12", str(_ROOT), 12), ("13", str(_ROOT), 13)]
+_EDGE_SQL = f"""up(child, parent, k) AS (VALUES {", ".join(f"('{c}', '{p}', {k})" for c, p, k in _PARENTS)}),
+ e AS (SELECT vec_id, child, parent, floor(abs(CAST(embedding[k + 1] AS DOUBLE)) * 1000) AS len FROM embeddings, up)"""
+
+
+@query("rerooted_trees", rounded(f"""WITH RECURSIVE {_EDGE_SQL}, o AS (SELECT vec_id, substr('{_BIG}', CAST(vec_id % 8 + 1 AS BIGINT), 1)
+ AS leaf FROM embeddings), link AS (SELECT vec_id, child AS a, parent AS b, len FROM e UNION ALL SELECT vec_id, parent, child, len FROM e),
+ walk AS (SELECT o.vec_id, link.b AS node, o.leaf AS come, [link.b] AS path, link.len FROM o JOIN link ON link.vec_id = o.vec_id AND
+ link.a = o.leaf UNION ALL SELECT w.vec_id, x.b, w.node, list_append(w.path, x.b), x.len FROM walk w JOIN link x ON x.vec_id = w.vec_id AND
+ x.a = w.node AND x.b <> w.come), below AS (SELECT n.vec_id, n.node, list_sort(list(m.node || '_x')) AS c, any_value(n.len) AS len,
+ any_value(len(n.path)) AS depth FROM walk n JOIN walk m ON m.vec_id = n.vec_id AND list_contains(m.path, n.node) AND m.node IN
+ ({", ".join(f"'{x}'" for x in _BIG)}) GROUP BY 1, 2), branches AS (SELECT vec_id, array_to_string(c, ',') AS clade, CASE WHEN depth = 1 THEN
+ len / 2 ELSE len END AS len FROM below UNION ALL SELECT o.vec_id, o.leaf || '_x', link.len / 2 FROM o JOIN link ON link.vec_id = o.vec_id
+ AND link.a = o.leaf UNION ALL SELECT vec_id, array_to_string(list_sort(list_transform(string_split('{",".join(_BIG)}', ','), lambda x: x || '_x')), ','),
+ 0 FROM embeddings) SELECT vec_id, clade, sum(len) AS len FROM branches GROUP BY 1, 2""", "len"))
+def rerooted_trees(spark, sf):
+    """Eight-leaf trees rooted on one of their leaves each, as branches; the old root is passed through."""
+    letter = F.concat(F.substring(F.lit(_BIG), (F.col("vec_id") % 8 + 1).cast("int"), F.lit(1)), F.lit("_x"))
+    trees = _eight_leaf_trees(spark, sf).repartition(tasks(spark))
+    return tidy(Q.branch_table(trees, ["vec_id"], T.reroot(T.parse("newick"), letter)))
+
+
+@query("pruned_trees", rounded(f"""WITH RECURSIVE {_EDGE_SQL}, k AS (SELECT vec_id, substr('{_BIG}', CAST((vec_id + i) % 8 + 1 AS BIGINT), 1)
+ AS leaf FROM embeddings, (VALUES (0), (1), (3), (6), (7)) v(i)), climb AS (SELECT k.vec_id, k.leaf, e.child AS node, e.parent, e.len FROM k
+ JOIN e ON e.vec_id = k.vec_id AND e.child = k.leaf UNION ALL SELECT c.vec_id, c.leaf, e.child, e.parent, e.len FROM climb c JOIN e ON
+ e.vec_id = c.vec_id AND e.child = c.parent), below AS (SELECT vec_id, node, list_sort(list(leaf || '_x')) AS c, any_value(len) AS len FROM
+ climb GROUP BY 1, 2), branches AS (SELECT vec_id, array_to_string(c, ',') AS clade, len FROM below WHERE len(c) < 5 UNION ALL
+ SELECT vec_id, array_to_string(list_sort(list(leaf || '_x')), ','), 0 FROM k GROUP BY 1) SELECT vec_id, clade, sum(len) AS len FROM branches
+ GROUP BY 1, 2""", "len"))
+def pruned_trees(spark, sf):
+    """Eight-leaf trees cut down to five taxa each, as branches; nodes with one child left are passed through."""
+    taxa = F.array(*[F.concat(F.substring(F.lit(_BIG), ((F.col("vec_id") + i) % 8 + 1).cast("int"), F.lit(1)), F.lit("_x"))
+                     for i in (0, 1, 3, 6, 7)])
+    trees = _eight_leaf_trees(spark, sf).repartition(tasks(spark))
+    return tidy(Q.branch_table(trees, ["vec_id"], T.prune(T.parse("newick"), taxa)))
+
+
+@query("standard_newick", f"""WITH t AS (SELECT *, CASE tid WHEN 3 THEN '2' ELSE '1' END AS x, CASE tid WHEN 1 THEN '2' ELSE '3' END AS y,
+ CASE tid WHEN 1 THEN '3' WHEN 2 THEN '2' ELSE '1' END AS z FROM {_SIX} s) SELECT {_ID}, {_CANON} AS newick FROM t""")
+def standard_newick(spark, sf):
+    """Trees rooted on leaf 4, sorted and ladderised, printed with their lengths."""
+    return tidy(Q.standard_trees(spread_trees(spark, sf), outgroup="4").select(*_IDS, "newick"))
+
+
 _MEMBERS = [(leaf, node) for leaf, nodes in {
     "a": (0, 8, 12), "b": (1, 8, 12), "c": (2, 9, 12), "d": (3, 9, 12), "e": (4, 10, 13),
     "f": (5, 10, 13), "g": (6, 11, 13), "h": (7, 11, 13)}.items() for node in nodes]

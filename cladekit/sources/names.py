@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.trees import number_text
+
 # The name formats of the input files.
 SPECIES_TREE = r"t_(\d+(?:\.\d+)?)_(\d+(?:\.\d+)?)_(\d+(?:\.\d+)?)"
 RUN_NAME = r"(t_\d.*)_(WAG|LG)_[PROTCA]*(LG|WAG)[+G]*[._](ds\d+\.)?"
@@ -29,12 +31,6 @@ def folder_name(path) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def plain_number(x: Column) -> Column:
-    """Shortest decimal text of a length: no trailing zeros."""
-    text = F.format_string("%.6f", x.cast("double"))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
 def species_tree(df: DataFrame, name: str) -> DataFrame:
     """Branch lengths and canonical text of the species tree named ``t_<ta>_<tb>_<tc>``."""
     ta, tb, tc = (_part(name, SPECIES_TREE, i).cast("double") for i in (1, 2, 3))
@@ -42,9 +38,9 @@ def species_tree(df: DataFrame, name: str) -> DataFrame:
         "ta": ta, "tb": tb, "tc": tc, "ibl": tb - ta, "outgroup_bl": tc - tb})
     half = (F.col("tc") + F.col("outgroup_bl")) / 2
     text = F.concat(
-        F.lit("(4:"), plain_number(half), F.lit(",(3:"), plain_number(F.col("tb")),
-        F.lit(",(1:"), plain_number(F.col("ta")), F.lit(",2:"), plain_number(F.col("ta")),
-        F.lit("):"), plain_number(F.col("ibl")), F.lit("):"), plain_number(half), F.lit(");"),
+        F.lit("(4:"), number_text(half), F.lit(",(3:"), number_text(F.col("tb")),
+        F.lit(",(1:"), number_text(F.col("ta")), F.lit(",2:"), number_text(F.col("ta")),
+        F.lit("):"), number_text(F.col("ibl")), F.lit("):"), number_text(half), F.lit(");"),
     )
     return df.withColumn("newick", text)
 

@@ -1,4 +1,5 @@
 from cladekit.functions import newick as N
+from cladekit.functions import trees as T
 from cladekit.operators import quartets as Q
 
 HAND = {
@@ -44,7 +45,7 @@ def test_species_lengths_when_the_cherry_is_not_12(spark):
 def test_covariance_subtree_and_copies(spark):
     df = spark.createDataFrame([("(4:9.0,(3:5.0,(1:2.0,2:2.5):3.0):4.0);",)], "newick string")
     r = N.with_leaves(df).withColumns(N.pair_covariances()).withColumn(
-        "s", N.subtree_text("_leaves", ["2", "3", "4"])).first()
+        "s", T.text(T.standard(T.prune(T.parse("newick"), ["2", "3", "4"])), lengths=False)).first()
     assert (r["1_2"], r["1_3"], r["1_4"], r["2_2"]) == (7, 4, 0, 9.5)
     assert r.s == "(4,(2,3));"
     two = spark.createDataFrame([("((a_1_1:1,b_2_1:2):1,a_1_2:5);",)], "newick string").select(
