@@ -13,10 +13,11 @@ from .aggregates import rolling_pair_mean
 from .ranks import (
     cumulative_counts,
     group_quantiles,
+    shared_rank,
     shortest_interval,
     unpivot,
-    value_bucket,
     value_positions,
+    with_bucket,
 )
 from .relational import union_rows
 
@@ -156,17 +157,22 @@ def auc_by_truth_cut(
 ) -> DataFrame:
     """Rank AUC of the score for each way of cutting the truth; NULL when one class is empty.
 
-    The scores are ranked once; positives of every cut are counted beside the ranks.
+    The scores are ranked once; beside each stands how many cuts the truth is above, so ranks are summed by that number.
     """
-    sums = {f"_p{i}": F.when(F.col(y) > c, 1).otherwise(0) for i, c in enumerate(cuts)}
-    known = df.where(F.col(y).isNotNull())
-    ranks = value_positions(known, keys, score, sums)
-    rank = F.col("before") + (F.col("n") + 1) / 2
-    aggs = [F.max("total").cast("double").alias("_N")]
-    for i in range(len(cuts)):
-        aggs += [F.sum(F.col(f"_p{i}") * rank).alias(f"_R{i}"),
-                 F.sum(f"_p{i}").cast("double").alias(f"_c{i}")]
-    wide = ranks.groupBy(*keys).agg(*aggs)
+    above = sum(F.when(F.col(y) > c, 1).otherwise(0) for c in cuts)
+    known = df.where(F.col(y).isNotNull()).withColumn("_above", above)
+    ranks = value_positions(known, keys, score, by=["_above"])
+    few = ranks.groupBy(*keys, "_above").agg(
+        F.sum(F.col("n") * shared_rank()).alias("_r"), F.sum("n").cast("double").alias("_c"),
+        F.max("total").cast("double").alias("_N"))
+    order = {c: i for i, c in enumerate(sorted(cuts))}
+    aggs = [F.max("_N").alias("_N")]
+    for i, c in enumerate(cuts):
+        # a truth above this cut is above all lower ones too
+        mine = F.col("_above") > order[c]
+        aggs += [F.sum(F.when(mine, F.col("_r")).otherwise(0.0)).alias(f"_R{i}"),
+                 F.sum(F.when(mine, F.col("_c")).otherwise(0.0)).alias(f"_c{i}")]
+    wide = few.groupBy(*keys).agg(*aggs)
     entries = F.array(*[
         F.struct(F.lit(float(c)).alias("t"), F.col(f"_R{i}").alias("r"), F.col(f"_c{i}").alias("c"))
         for i, c in enumerate(cuts)
@@ -396,15 +402,14 @@ def interpolate(df: DataFrame, at: str, table: DataFrame, tx: str, ty: str, name
         F.col(tx).cast("double").alias("_x"), F.struct(
             F.col(tx).cast("double").alias("x"), F.col(ty).cast("double").alias("y")).alias("_p"))
     asked = df.select(F.col(at).cast("double").alias("_x")).where("_x IS NOT NULL").distinct()
-    both = points.unionByName(asked, allowMissingColumns=True).withColumn(
-        "_bucket", value_bucket("_x"))
+    both = with_bucket(points.where("_x IS NOT NULL").unionByName(asked, allowMissingColumns=True), [], "_x")
     ends = both.groupBy("_bucket").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
-    order = Window.orderBy("_bucket")
-    carry = ends.select(
-        "_bucket",
-        F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
-        F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
-    )
+    # buckets are few, whatever the rows are: their ends fit in one array
+    line_up = ends.agg(F.sort_array(F.collect_list(F.struct("_bucket", "_first", "_last"))).alias("_e"))
+    carry = F.broadcast(line_up.select("_e", F.posexplode("_e").alias("_k", "_one")).select(
+        F.col("_one._bucket").alias("_bucket"),
+        F.array_max(F.transform(F.slice("_e", F.lit(1), F.col("_k")), lambda e: e["_last"])).alias("_below"),
+        F.array_min(F.transform(F.slice("_e", F.col("_k") + 2, F.size("_e")), lambda e: e["_first"])).alias("_above")))
     inside = Window.partitionBy("_bucket").orderBy("_x")
     placed = both.join(carry, "_bucket").select(
         "_x", "_p",

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import chi2_tail, normal_tail
-from .ranks import average_rank, unpivot, value_positions
+from .ranks import shared_rank, unpivot, value_positions
+
+
+def tied_cubes() -> Column:
+    """t^3 - t of the t equal values, dealt over their rows of ``value_positions`` with ``by``."""
+    t = F.col("here").cast("double")
+    return F.col("n") * (t * t - 1)
 
 
 def kruskal_wallis(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """H and p over the samples held in ``columns``, per group of ``keys``."""
     long = unpivot(df, keys, columns, "_sample", "_x")
-    sums = {f"_n{i}": F.when(F.col("_sample") == c, 1).otherwise(0)
-            for i, c in enumerate(columns)}
-    ranks = value_positions(long, keys, "_x", sums).withColumn("_r", average_rank())
-    n = F.col("n").cast("double")
-    aggs = [F.sum(n * n * n - n).alias("_ties"), F.max("total").cast("double").alias("_N")]
-    for i in range(len(columns)):
-        aggs += [F.sum(F.col(f"_n{i}") * F.col("_r")).alias(f"_R{i}"),
-                 F.sum(f"_n{i}").alias(f"_c{i}")]
+    ranks = value_positions(long, keys, "_x", by=["_sample"]).withColumn("_r", shared_rank())
+    aggs = [F.sum(tied_cubes()).alias("_ties"), F.max("total").cast("double").alias("_N")]
+    for i, c in enumerate(columns):
+        mine = F.col("_sample") == c
+        aggs += [F.sum(F.when(mine, F.col("n") * F.col("_r")).otherwise(0.0)).alias(f"_R{i}"),
+                 F.sum(F.when(mine, F.col("n")).otherwise(0)).alias(f"_c{i}")]
     per = ranks.groupBy(*keys).agg(*aggs)
     big = F.col("_N")
     spread = sum(F.try_divide(F.col(f"_R{i}") * F.col(f"_R{i}"), f"_c{i}")
@@ -48,13 +52,12 @@ def signed_rank(
         .withColumn("_a", F.abs("_d"))
     )
     ranks = value_positions(
-        long, [*keys, "pair"], "_a", {"_up": F.when(F.col("_d") > 0, 1).otherwise(0)}
-    ).withColumn("_r", average_rank())
-    t = F.col("n").cast("double")
+        long.withColumn("_up", F.col("_d") > 0), [*keys, "pair"], "_a", by=["_up"]
+    ).withColumn("_r", shared_rank())
     per = ranks.groupBy(*keys, "pair").agg(
-        F.sum(F.col("_up") * F.col("_r")).alias("wplus"),
+        F.sum(F.when(F.col("_up"), F.col("n") * F.col("_r")).otherwise(0.0)).alias("wplus"),
         F.max("total").cast("double").alias("_n"),
-        F.sum(t * t * t - t).alias("_ties"),
+        F.sum(tied_cubes()).alias("_ties"),
     )
     n = F.col("_n")
     mean = n * (n + 1) / 4
@@ -73,12 +76,11 @@ def all_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
 def mann_whitney(df: DataFrame, columns: Sequence[str], first: Column) -> DataFrame:
     """U of the ``first`` rows against the others, and its two-sided p, per column."""
     long = unpivot(df.withColumn("_g", first.cast("int")), ["_g"], columns, "variable", "_x")
-    ranks = value_positions(long, ["variable"], "_x", {"_n1": F.col("_g")}).withColumn(
-        "_r", average_rank())
-    t = F.col("n").cast("double")
+    ranks = value_positions(long, ["variable"], "_x", by=["_g"]).withColumn("_r", shared_rank())
+    ones = F.col("_g") * F.col("n")
     per = ranks.groupBy("variable").agg(
-        F.sum(F.col("_n1") * F.col("_r")).alias("_R1"), F.sum("_n1").cast("double").alias("_a"),
-        F.max("total").cast("double").alias("_N"), F.sum(t * t * t - t).alias("_ties"),
+        F.sum(ones * F.col("_r")).alias("_R1"), F.sum(ones).cast("double").alias("_a"),
+        F.max("total").cast("double").alias("_N"), F.sum(tied_cubes()).alias("_ties"),
     )
     a, big = F.col("_a"), F.col("_N")
     b = big - a

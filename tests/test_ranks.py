@@ -39,15 +39,41 @@ def test_row_numbers(skewed, digits):
     assert {(r.g, r.id) for r in cut} == {(r.g, r.id) for r in got if r.rn <= 5}
 
 
+@pytest.fixture(params=[K.SPLIT_ROWS, 50])
+def split(request, monkeypatch):
+    """Groups left whole, and groups cut into buckets."""
+    monkeypatch.setattr(K, "SPLIT_ROWS", request.param)
+
+
 def test_bucket_never_falls(spark):
     values = sorted([0.0, -0.0, 1e-300, -1e-300, 5e-324, 1e300, -1e300, 1.0, 1.0000001, 2.0]
-                    + [random.Random(3).gauss(0, 10) for _ in range(500)])
+                    + [random.Random(3).gauss(0, 10) for _ in range(500)]) + [float("nan")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    got = [r.b for r in df.select("i", K.value_bucket("v").alias("b")).orderBy("i").collect()]
-    assert got == sorted(got)
+    got = [r._bucket for r in K.with_bucket(df, [], "v").orderBy("i").collect()]
+    assert got == sorted(got) and got[0] == 0 and got[-1] == K.BUCKETS - 1
+
+
+@pytest.mark.parametrize("value", ["id / 1e6", "0.95 + id / 2e6", "1.7e9 + 9.5 * id", "exp(id / 1000 - 50)", "-id * id"])
+def test_buckets_are_even(spark, monkeypatch, value):
+    """No bucket holds more than 1 % of a group of distinct values, wherever they lie."""
+    monkeypatch.setattr(K, "SPLIT_ROWS", 1000)
+    df = spark.range(100_000).selectExpr(f"cast({value} as double) as v", "if(id % 3 = 0, NULL, id % 2) as g")
+    for group in ([], ["g"]):
+        sizes = K.with_bucket(df, group, "v").groupBy(*group, "_bucket").count().groupBy(*group).agg({"count": "max"})
+        for r in sizes.collect():
+            assert r[-1] <= 0.01 * (100_000 if not group else 33_333)
 
 
-def test_positions_and_quantiles(skewed):
+def test_rows_move_twice_at_most(spark):
+    """Once to add up equal values, once to their buckets; all other exchanges carry sums or sketches."""
+    df = spark.range(1000).selectExpr("cast(id as double) as v", "id % 3 as g")
+    plan = K.value_positions(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_bucket" in line]
+    assert len(moved) == 3  # the third holds bucket totals
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_positions_and_quantiles(skewed, split):
     rows, df = skewed
     groups = by_group(rows)
     probs = {"a": 0.05, "b": 0.5, "c": 0.77, "d": 1.0}
@@ -64,7 +90,7 @@ def test_positions_and_quantiles(skewed):
 
 @pytest.mark.parametrize("block", [4, 1 << 20])
 @pytest.mark.parametrize("share", [0.5, 0.8])
-def test_shortest_interval(skewed, monkeypatch, block, share):
+def test_shortest_interval(skewed, split, monkeypatch, block, share):
     monkeypatch.setattr(K, "BLOCK", block)
     rows, df = skewed
     groups = by_group(rows)
@@ -78,7 +104,24 @@ def test_shortest_interval(skewed, monkeypatch, block, share):
         assert (r.low, r.high) == (x[i], x[i + k])
 
 
-def test_cumulative_counts(skewed):
+def test_positions_beside_a_label(skewed, split):
+    rows, df = skewed
+    groups = by_group(rows)
+    for r in K.value_positions(df, ["g"], "v", by=["y"]).collect():
+        mine = [v for v, _ in groups[r.g]]
+        assert r.before == sum(v < r.v for v in mine) and r.here == mine.count(r.v) and r.total == len(mine)
+        assert r.n == groups[r.g].count((r.v, r.y))
+
+
+def test_null_groups_and_nan(spark, split):
+    rows = [(None, float(k % 7)) for k in range(80)] + [(1, float("nan"))] * 60 + [(1, float(k)) for k in range(60)] + [(2, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {(r.g, str(r.v)): (r.n, r.before, r.total) for r in K.value_positions(df, ["g"], "v").collect()}
+    assert got[1, "nan"] == (60, 60, 120) and got[1, "59.0"] == (1, 59, 120) and len(got) == 68
+    assert got[None, "6.0"][1] + got[None, "6.0"][0] == 80
+
+
+def test_cumulative_counts(skewed, split):
     rows, df = skewed
     groups = by_group(rows)
     for r in K.cumulative_counts(df, ["g"], "v", df.y).collect():
