@@ -206,7 +206,7 @@ l AS (SELECT "row", conv_id, i, len(replace(regexp_extract(ls[i], '^(?:[ \t]*>)+
       FROM (SELECT "row", conv_id, ls, unnest(generate_series(1, len(ls))) AS i FROM r)),
 v AS (SELECT *, marks - gap AS lv, CASE WHEN marks - gap IS DISTINCT FROM lag(marks - gap) OVER (PARTITION BY "row" ORDER BY i) THEN 1 ELSE 0 END AS s FROM l),
 g AS (SELECT *, sum(s) OVER (PARTITION BY "row" ORDER BY i) AS p FROM v),
-pass AS (SELECT "row", conv_id, p, any_value(lv) AS lv,
+pass AS (SELECT "row", conv_id, p, any_value(lv) AS lv, string_agg(c, chr(10) ORDER BY i) AS raw,
                 translate(trim(regexp_replace(string_agg(c, ' ' ORDER BY i), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
          FROM g GROUP BY 1, 2, 3),
 own AS (SELECT "row", regexp_replace(coalesce(string_agg(c, chr(10) ORDER BY i) FILTER (lv = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body
@@ -214,9 +214,16 @@ own AS (SELECT "row", regexp_replace(coalesce(string_agg(c, chr(10) ORDER BY i)
 q AS (SELECT "row", conv_id, p, lv, t FROM pass WHERE lv > 0 AND t <> ''),
 said AS (
   SELECT "row", conv_id, t FROM pass WHERE lv = 0
+  UNION SELECT "row", conv_id, translate(trim(regexp_replace(unnest(regexp_split_to_array(raw, chr(10) || '[\x20\x09-\x0D]*' || chr(10))), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM pass WHERE lv = 0
   UNION SELECT "row", conv_id, translate(trim(regexp_replace(c, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM g WHERE lv = 0
   UNION SELECT "row", r.conv_id, translate(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM own JOIN r USING ("row")),
-lk AS (SELECT q."row", q.p, q.lv, max(said."row") AS src FROM q JOIN said ON q.conv_id IS NOT DISTINCT FROM said.conv_id AND q.t = said.t AND said."row" < q."row" GROUP BY 1, 2, 3),
+whole AS (SELECT q."row", q.p, q.lv, max(said."row") AS src FROM q JOIN said ON q.conv_id IS NOT DISTINCT FROM said.conv_id AND q.t = said.t AND said."row" < q."row" GROUP BY 1, 2, 3),
+ql AS (SELECT DISTINCT q."row", q.conv_id, q.p, q.lv, translate(trim(regexp_replace(g.c, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+       FROM q JOIN g USING ("row", p) ANTI JOIN whole USING ("row", p)),
+qn AS (SELECT *, count(*) OVER (PARTITION BY "row", p) AS n FROM ql WHERE t <> ''),
+holds AS (SELECT qn."row", qn.p, qn.lv, said."row" AS src FROM qn JOIN said ON qn.conv_id IS NOT DISTINCT FROM said.conv_id AND qn.t = said.t AND said."row" < qn."row"
+          WHERE n > 1 GROUP BY ALL HAVING count(DISTINCT qn.t) = any_value(n)),
+lk AS (SELECT * FROM whole UNION ALL SELECT "row", p, lv, max(src) FROM holds GROUP BY 1, 2, 3),
 b AS (SELECT "row", count(*) AS n_linked, arg_min(src, lv * 1000000 + p) AS src FROM lk GROUP BY 1),
 m AS (SELECT r."row", r.conv_id, r.turn, r.role, own.body, coalesce(b.n_linked, 0) AS n_linked,
              min(r."row") OVER (PARTITION BY r.conv_id) AS first,

@@ -5,16 +5,19 @@ keeping the longest match that ends at each word. Where it reaches a window (``w
 shorter item) these words are hit. Items are collected only in lots of bounded size; more lots mean more passes.
 
 Cases: NULL text and texts without words have no words and no hits; items without words match nothing; a NULL item_id
-is written ``null``; repeated items count once per item_id; empty tables on either side work; equal doc_ids keep a row each.
+is written ``null``; repeated items count once per item_id; empty tables on either side work; equal doc_ids keep a row each;
+columns of any name pass through, as the row is carried whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,45 +132,46 @@ class Automaton:
                 spans.append((first, last))
 
 
-def _lots(items: DataFrame, window: int, max_words: int) -> list[Automaton]:
-    """Automata over the items, each of a bounded number of words (a longer item has one to itself)."""
+def _lots(items: DataFrame, window: int, max_words: int) -> tuple[int, Iterator[Automaton]]:
+    """How many automata the items make, each of a bounded number of words, and these one by one.
+
+    An item, being one row, is never divided: a longer one has an automaton to itself.
+    """
     words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), text_bytes().alias("text"))
     size = F.octet_length("text") / 2 + 1
     total = words.agg(F.sum(size)).first()[0] or 0
     lots = max(1, int(-(-total // max_words)))
     dealt = words.withColumn("_lot", F.pmod(F.xxhash64("name", "text"), F.lit(lots)))
-    out = []
-    for k in range(lots):  # each lot is bounded; one is held at a time
-        rows = dealt.where(F.col("_lot") == k).select("name", "text").collect()
-        out.append(Automaton([(r["name"], item_words(bytes(r["text"]))) for r in rows], window))
-    return out
+
+    def build() -> Iterator[Automaton]:
+        for k in range(lots):
+            rows = dealt.where(F.col("_lot") == k).select("name", "text").collect()
+            yield Automaton([(r["name"], item_words(bytes(r["text"]))) for r in rows], window)
+
+    return lots, build()
 
 
-def _scan(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """``docs`` and three columns: _words, _spans (of word numbers) and _items."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most MAX_WORDS words
+def _scan(rows: DataFrame, automaton: Broadcast) -> DataFrame:
+    """The first column of ``rows`` (the second is the text's bytes) and words, spans (of word numbers) and items."""
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    at = docs.columns.index("_bytes")
+    kept = rows.schema[0]
 
     def stream(batches):
-        a = shared.value
+        a = automaton.value
         for batch in batches:
             words, spans, names = [], [], []
-            for text in batch.column(at):
+            for text in batch.column(1):
                 w = item_words(text.as_py())
                 hit, found = a.scan(w)
                 words.append(len(w))
                 spans.append([{"first": x, "last": y} for x, y in hit])
                 names.append(sorted(found))
-            cols = [c for k, c in enumerate(batch.columns) if k != at]
-            heads = [f for k, f in enumerate(batch.schema) if k != at]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(words, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))],
-                schema=pa.schema([*heads, ("_words", pa.int64()), ("_spans", span), ("_items", pa.list_(pa.string()))]))
+                [batch.column(0), pa.array(words, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))],
+                schema=pa.schema([batch.schema.field(0), ("words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))]))
 
-    more = T.StructType.fromDDL("_words long, _spans array<struct<first:int,last:int>>, _items array<string>")
-    schema = T.StructType([*docs.drop("_bytes").schema, *more])
-    return docs.mapInArrow(stream, schema)
+    more = T.StructType.fromDDL("words long, spans array<struct<first:int,last:int>>, items array<string>")
+    return rows.mapInArrow(stream, T.StructType([kept, *more]))
 
 
 def _merged(spans: Column) -> Column:
@@ -180,44 +184,52 @@ def _merged(spans: Column) -> Column:
 
 
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` (all columns) with _words, _spans, _hit and _items."""
-    lots = _lots(items, window, max_words)
-    keyed = docs.withColumn("_bytes", text_bytes())
-    if len(lots) == 1:
-        out = _scan(keyed, lots[0])
-    else:
-        # the row key is the row's place in the stored table, so every pass sees the same one
-        keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
-        slim = keyed.select("_row", text_bytes().alias("_bytes"))
-        parts = None
-        for automaton in lots:
-            part = _scan(slim, automaton)
-            parts = part if parts is None else parts.unionByName(part)
-        joined = parts.groupBy("_row").agg(
-            F.max("_words").alias("_words"), F.flatten(F.collect_list("_spans")).alias("_spans"),
-            F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
-        out = keyed.join(joined, "_row").drop("_row")
-    return out.withColumn("_hit", _merged(F.col("_spans")))
+    """``whole``, a struct of all columns of ``docs``, with words, spans, items and hit.
+
+    One automaton is applied as the rows pass. If the items make more, the rows are stored under a key, and each automaton is
+    built, broadcast, applied and released before the next one, its findings being stored; the result is the same.
+    """
+    lots, automata = _lots(items, window, max_words)
+    share = docs.sparkSession.sparkContext.broadcast  # at most MAX_WORDS words at a time
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    if lots == 1:
+        return _hits(_scan(docs.select(whole, text_bytes().alias("bytes")), share(next(automata))))
+    # the key is the row's place in the stored table, so every pass sees the same one
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), whole), "decontam-docs")
+    slim = keyed.select("key", text_bytes("whole.text").alias("bytes"))
+    parts = None
+    for automaton in automata:
+        shared = share(automaton)
+        part = stored(_scan(slim, shared), "decontam-lot")
+        shared.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    joined = parts.groupBy("key").agg(
+        F.max("words").alias("words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return _hits(keyed.join(joined, "key").drop("key"))
+
+
+def _hits(marked: DataFrame) -> DataFrame:
+    return marked.withColumn("hit", _merged(F.col("spans")))
 
 
 def contaminated(coverage: int = COVERAGE) -> Column:
-    return (F.col("_hit") > 0) & (coverage * F.col("_hit") >= F.col("_words"))
+    return (F.col("hit") > 0) & (coverage * F.col("hit") >= F.col("words"))
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
            max_words: int = MAX_WORDS) -> DataFrame:
     marked = mark(docs.select(F.col("doc_id").cast("long"), "text"), items.select("item_id", "text"), window, max_words)
     return marked.select(
-        "doc_id", F.col("_words").alias("n_words"), F.col("_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
+        "whole.doc_id", F.col("words").alias("n_words"), F.col("hit").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         contaminated(coverage).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """The documents whose hit words stay below the coverage limit, as they are."""
-    return (mark(docs, items.select("item_id", "text"), window).where(~contaminated(coverage))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return mark(docs, items.select("item_id", "text"), window).where(~contaminated(coverage)).select("whole.*")
 
 
 _WORD_AT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -244,7 +256,9 @@ def cut(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int =
         return pd.Series(out)
 
     marked = mark(docs, items.select("item_id", "text"), window).where(~contaminated(coverage))
-    return marked.withColumn("text", without("text", "_spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = without("whole.text", "spans").alias("text")
+    return marked.withColumn("_text", text).select(
+        *[F.col("_text").alias("text") if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

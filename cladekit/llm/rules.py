@@ -181,6 +181,7 @@ m AS (
          CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_exclaims,
+         length(t) - length(regexp_replace(t, '""" + UNSPACED + r"""', '', 'g')) AS n_unspaced,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)),
@@ -192,5 +193,6 @@ f AS (
     + CASE WHEN 2 * n_exclaims > n_words THEN 64 ELSE 0 END + CASE WHEN n_words > 1000000 THEN 128 ELSE 0 END AS BIGINT) AS fail_bits
   FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_exclaims, n_lines, n_dup_lines, n_repeat_words, fail_bits,
-       fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
+       fail_bits & 3 <> 0 AS base_failed,
+       fail_bits & CASE WHEN word_chars - n_unspaced > 15 * n_words THEN 127 ELSE 95 END = 0 AS kept FROM f
 """

@@ -1,6 +1,6 @@
 """Shuffled shards by a keyed permutation of row numbers.
 
-Rows get global numbers in doc_id order. A four-round Feistel network permutes the smallest power of two that
+Rows get global numbers in doc_id order. A four-round Feistel network permutes the smallest power of four that
 holds them; a number that leaves the table walks on along its cycle until it is back inside. The permuted number
 p gives shard p mod n and slot p div n, so shard sizes differ by one at most, slots have no gaps, and both a row's
 place and a place's row can be computed without any table.
@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, stored
 
 ROUNDS = 4
 
@@ -67,12 +67,12 @@ def row_at(shard: int, slot: int, shards: int, n: int, seed: int = 0) -> int:
     return int(Permutation(n, seed).inverse(np.array([slot * shards + shard]))[0])
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """doc_id, size, text_crc32, row, shard, slot: each document's place. Only these narrow columns are moved."""
-    slim = docs.select(
-        F.col("doc_id").cast("long"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+def _slim(text: Column) -> list[Column]:
+    return [(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32")]
+
+
+def _placed(slim: DataFrame, shards: int, seed: int) -> DataFrame:
     rows = numbered(slim, F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size"), label="rows")
     n = rows.count()
 
@@ -85,14 +85,22 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
             .withColumn("slot", F.floor(F.col("_p") / shards).cast("long")).drop("_p"))
 
 
+def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
+    """doc_id, size, text_crc32, row, shard, slot: each document's place. Only these narrow columns are moved."""
+    return _placed(docs.select(F.col("doc_id").cast("long"), *_slim(F.col("text"))), shards, seed)
+
+
 def write_shards(docs: DataFrame, folder: str, shards: int = 16, seed: int = 0, rows_per_file: int = 1_000_000) -> None:
-    """Write whole rows as one folder per shard, in slot order inside files of a bounded number of rows."""
-    places = shard_rows(docs, shards, seed).select("doc_id", "text_crc32", "shard", "slot")
-    if docs.columns != list(dict.fromkeys(docs.columns)) or {"shard", "slot", "_crc"} & set(docs.columns):
-        raise ValueError("columns shard, slot and _crc are taken, and names must not repeat")
-    keyed = docs.withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(places["doc_id"]) & (keyed["_crc"] == places["text_crc32"])
-    whole = keyed.join(places, same).select(*[keyed[c] for c in docs.columns], "shard", "slot")
+    """Write whole rows as one folder per shard, in slot order inside files of a bounded number of rows.
+
+    Rows get a key in a stored copy of the table, so repeated rows, and rows alike in id and checksum, keep apart. The files
+    hold the table's columns and ``slot``; the shard is the folder's name.
+    """
+    if {"shard", "slot"} & set(docs.columns):
+        raise ValueError("columns shard and slot are taken")
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"),
+                               F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")), "shard-rows")
+    places = _placed(keyed.select("key", F.col("whole.doc_id").cast("long").alias("doc_id"), *_slim(F.col("whole.text"))), shards, seed)
     part = F.floor(F.col("slot") / rows_per_file)
-    (whole.repartition("shard", part).sortWithinPartitions("shard", "slot")
-     .write.mode("overwrite").partitionBy("shard").parquet(folder))
+    (keyed.join(places.select("key", "shard", "slot"), "key").repartition("shard", part).sortWithinPartitions("shard", "slot")
+     .select("whole.*", "shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder))

@@ -1,4 +1,9 @@
+import random
+import re
+
+import duckdb
 import pandas as pd
+import pytest
 
 from cladekit.llm import chat
 
@@ -29,8 +34,6 @@ def test_linked_replies(spark):
 
 
 def test_same_as_sql(spark):
-    import duckdb
-
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(ROWS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
     assert plain(chat.link_quotations(messages(spark, ROWS)).toPandas()) == plain(con.sql(chat.ORACLE).df())
@@ -73,3 +76,110 @@ def test_sayings_of_a_hot_text_over_blocks(spark, monkeypatch):
     got = {r["turn"]: r["reply_turn"] for r in chat.link_quotations(messages(spark, rows)).collect()}
     for k in range(6, 80, 7):
         assert got[k] == max(j for j in range(k) if j % 7 != 6 and j % 11 < 2)
+
+
+# -- a plain version, and generated threads ---------------------------------------------------------------------------------
+
+WHITE = "[\\x20\\x09-\\x0D]"
+
+
+def normal(text):
+    fold = re.sub(WHITE + "+", " ", text).strip(" ")
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in fold)
+
+
+def read(text):
+    """Body, quoted passages (level, whole, set of lines) and the set of what a message says."""
+    lines = []
+    for line in (text or "").split("\n"):
+        marks = re.match(r"(?:[ \t]*>)*", line).group()
+        lines.append((marks.count(">"), re.sub(r"^(?:[ \t]*>)+[ \t]?", "", line)))
+    passages = []
+    for level, content in lines:
+        if passages and passages[-1][0] == level:
+            passages[-1][1].append(content)
+        else:
+            passages.append((level, [content]))
+    own = [c for level, c in lines if level == 0]
+    body = re.sub(f"^{WHITE}+|{WHITE}+$", "", "\n".join(own))
+    said = {normal(body)} | {normal(c) for c in own}
+    for level, contents in passages:
+        if level == 0:
+            raw = "\n".join(contents)
+            said |= {normal(raw)} | {normal(x) for x in re.split(f"\n{WHITE}*\n", raw)}
+    quotes = [(level, normal("\n".join(c)), {normal(x) for x in c} - {""}) for level, c in passages if level]
+    return body, [q for q in quotes if q[1]], said - {""}
+
+
+def brute(rows):
+    """conv, turn -> position, reply_turn, depth, n_quotes, n_linked, body; turns are unique here."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        messages = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        parts = [read(m[3]) for m in messages]
+        reply, linked = [], []
+        for k, (_, quotes, _) in enumerate(parts):
+            found = []
+            for at, (level, whole, lines) in enumerate(quotes):
+                source = [j for j in range(k) if whole in parts[j][2]]
+                if not source and len(lines) > 1:
+                    source = [j for j in range(k) if lines <= parts[j][2]]
+                if source:
+                    found.append((level, at, source[-1]))
+            linked.append(len(found))
+            reply.append(min(found)[2] if found else k - 1 if k else None)
+        branch, path = [], {}
+        for k, r in enumerate(reply):
+            branch.append(k if r is None or r != k - 1 else branch[-1])
+            if branch[k] == k:
+                path[k] = [k] if r is None else [*path[branch[r]], k]
+        order = sorted(range(len(messages)), key=lambda k: (path[branch[k]], k))
+        for position, k in enumerate(order):
+            out[conv, messages[k][1]] = (position, None if reply[k] is None else messages[reply[k]][1], len(path[branch[k]]) - 1,
+                                         len(parts[k][1]), linked[k], parts[k][0])
+    return out
+
+
+def threads(seed, convs=12):
+    """Messages that quote whole messages, paragraphs, some lines, several levels, repeats, or nothing that was said."""
+    pick = random.Random(seed)
+    line = lambda: " ".join(pick.choice(["Alpha", "beta", "gamma", "ok", "yes  no"]) for _ in range(pick.randrange(1, 4)))
+    rows = []
+    for conv in range(convs):
+        said = []
+        for turn in range(pick.randrange(2, 14)):
+            parts = []
+            for _ in range(pick.randrange(0, 3) if said else 0):
+                lines = pick.choice(said).split("\n")
+                how = pick.randrange(5)
+                if how == 1:
+                    lines = lines[: pick.randrange(1, len(lines) + 1)]
+                elif how == 2:
+                    lines = pick.sample(lines, pick.randrange(1, len(lines) + 1))
+                elif how == 3:
+                    lines = [x.upper() + "  " for x in lines]
+                elif how == 4:
+                    lines = [line(), line()]
+                parts.append("\n".join(pick.choice(["> ", ">", " >"]) + x for x in lines))
+            own = "\n\n".join("\n".join(line() for _ in range(pick.randrange(1, 4))) for _ in range(pick.randrange(1, 3)))
+            pick.shuffle(parts)
+            text = "\n".join([*parts, own] if pick.random() < 0.7 else [own, *parts, line()])
+            rows.append((conv, turn, "user" if turn % 2 else "assistant", text))
+            said.append(text)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_generated_threads(spark, seed):
+    """The query, the SQL and the plain version agree on every message; many are linked, in every way."""
+    rows = threads(seed)
+    linked = chat.link_quotations(messages(spark, rows))
+    got = {(r["conv_id"], r["turn"]): (r["position"], r["reply_turn"], r["depth"], r["n_quotes"], r["n_linked"], r["body"])
+           for r in linked.collect()}
+    want = brute(rows)
+    assert got == want
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    sql = {(r[0], r[1]): (r[3], None if r[4] == -1 else r[4], *r[5:]) for r in con.sql(chat.ORACLE).fetchall()}
+    assert sql == want
+    assert sum(v[4] for v in want.values()) > 20 and max(v[2] for v in want.values()) > 1

@@ -57,3 +57,18 @@ def test_empty_sides(spark, empty, odd, odd_rows):
     assert decontam.report(empty, items).collect() == []
     none = decontam.report(odd, items.where("false")).collect()
     assert len(none) == len(odd_rows) and not any(r["contaminated"] for r in none)
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """Columns of any name come back as they were, from one automaton and from several."""
+    names = ["_words", "_spans", "_bytes", "_hit", "_items", "words", "spans", "items", "hit", "whole", "key", "bytes", "_text", "_lot"]
+    rows = [(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    good = [r for r in rows if not brute(r[1], ITEMS)[-1]]
+    assert sorted(map(tuple, decontam.clean(docs, items).collect())) == good
+    cut = decontam.cut(docs, items, longest=1)
+    assert cut.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in cut.collect()) == sorted(r[2:] for r in good)
+    marked = decontam.mark(docs, items, max_words=8).where(~decontam.contaminated()).select("whole.*")
+    assert sorted(map(tuple, marked.collect())) == good

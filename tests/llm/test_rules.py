@@ -1,5 +1,8 @@
 from collections import Counter
 
+import duckdb
+import pandas as pd
+
 from cladekit.llm import rules
 
 
@@ -52,3 +55,20 @@ def test_length_and_script_reject_nothing(spark):
     assert [book[k]["kept"] for k in (1, 2, 3)] == [True, True, False]
     assert sorted(r["doc_id"] for r in rules.keep(df).select("doc_id").collect()) == [1, 2]
     assert [r["kept"] for r in rules.verdicts(df, "v2").orderBy("doc_id").collect()] == [False] * 3
+
+
+def test_same_as_sql(spark):
+    """Query and SQL agree on texts that each rule fails, on scripts without spaces, and on mixtures of both."""
+    thai = "".join(chr(0x0E01 + k) for k in range(20))
+    words = [f"word{k:02d}" for k in range(40)]
+    texts = [" ".join(thai + w for w in words), " ".join([thai] * 40), " ".join(w + "x" * 20 for w in words), " ".join(words),
+             " ".join(w + "日本語" * 3 + "y" * 12 for w in words), " ".join("日本語" * 8 + w[4:] for w in words), " ".join(words) + " #" * 5,
+             " ".join(words) + "\nl" * 9, " ".join(w + "!" for w in words), "a " * 10, None, "", "x y " * 30, "é " + " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    got = rules.verdicts(df)
+    want = con.sql(rules.ORACLE).fetchall()
+    assert sorted(map(tuple, got.select(*con.sql(rules.ORACLE).columns).collect())) == sorted(want)
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    assert kept[0] and kept[5] and not kept[2] and not kept[4]

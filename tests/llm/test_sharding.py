@@ -46,3 +46,16 @@ def test_files_hold_each_row_in_slot_order(spark, documents, texts, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert {r["doc_id"]: r["text"] for r in back.collect()} == texts
     shards(back.collect())
+
+
+def test_repeated_rows_are_written_once_each(spark, tmp_path):
+    """Equal rows, NULL ids and rows alike in id and checksum keep their number and their place."""
+    rows = [(1, "a", "k")] * 3 + [(None, "b", "k")] * 2 + [(2, None, "key")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    sharding.write_shards(docs, str(tmp_path / "r"), 4)
+    back = spark.read.parquet(str(tmp_path / "r")).collect()
+    assert Counter((r["doc_id"], r["text"], r["key"]) for r in back) == Counter(rows)
+    shards(back)
+    hot = spark.range(3000).selectExpr("7 as doc_id", "'same' as text", "'whole' as whole")
+    sharding.write_shards(hot, str(tmp_path / "h"), 4)
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 3000
