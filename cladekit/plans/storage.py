@@ -93,6 +93,44 @@ def quartet_scan(spark, sf):
         F.sum("qN").alias("qn")), 3)
 
 
+@query("alignment_files", """SELECT o_custkey % 24 AS gene, count(*) AS taxa, max(length(o_orderpriority || o_orderstatus))::BIGINT AS longest,
+ sum(rn * (o_orderkey % 1000))::BIGINT AS placed FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 24 ORDER BY o_orderkey) AS rn
+ FROM orders) GROUP BY 1""")
+def alignment_files(spark, sf):
+    """NEXUS files of many blocks: the taxa of each, numbered in file order, whatever block they lie in."""
+    gene, key = (F.col("o_custkey") % 24).alias("gene"), F.col("o_orderkey")
+    seq = F.concat(F.translate("o_orderpriority", " ", "-"), "o_orderstatus")
+    orders = table(spark, sf, "orders")
+    body = orders.select(gene, F.lit(1).alias("_part"), key.alias("_at"), F.concat(
+        F.lit("Clade@S"), key.cast("string"), F.lit("   "), seq).alias("value"))
+    genes = orders.select(gene).distinct()
+    head = ["#NEXUS", "begin data;", "dimensions nchar=9;", "matrix"]
+    ends = [("gene", 0, i, t) for i, t in enumerate(head)] + [("gene", 2, i, t) for i, t in enumerate([";", "end;", "after it"])]
+    rest = genes.select("gene", F.inline(F.array(*[F.struct(
+        F.lit(p).alias("_part"), F.lit(i).cast("long").alias("_at"), F.lit(t).alias("value")) for _, p, i, t in ends])))
+    whole = body.unionByName(rest).repartition("gene").sortWithinPartitions("gene", "_part", "_at")
+    path = _text_files(whole.drop("_part", "_at"), spark, "alignments", "gene")
+    out = files.read_alignments(spark, path)
+    number = F.regexp_extract("name", r"^Clade_S(\d+)$", 1).cast("long")
+    return out.groupBy(_kept("file_path", "gene").cast("long").alias("gene")).agg(
+        F.count("*").alias("taxa"), F.max("seq_length").cast("long").alias("longest"),
+        F.sum(F.col("ix") * (number % 1000)).alias("placed"))
+
+
+@query("tree_files_rerooted", """SELECT o_custkey % 12 AS stree, count(*) AS trees, count(*) - 1 AS last, sum(CASE WHEN o_orderstatus = 'F'
+ THEN 1 ELSE 0 END)::BIGINT AS f FROM orders GROUP BY 1""")
+def tree_files_rerooted(spark, sf):
+    """Lines that end in a semicolon, in file order, rooted on leaf 4 as they are read."""
+    text = F.when(F.col("o_orderstatus") == "F", "((1:1,2:1):1,3:1,4:2);").otherwise("((1:1,3:1):1,(2:1,4:2):1);")
+    rows = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 12).alias("stree"), F.explode(F.array(F.lit("no tree"), text)).alias("value"))
+    path = _text_files(rows.repartition("stree"), spark, "rooted", "stree")
+    trees = files.read_trees(spark, path, outgroup="4")
+    return trees.groupBy(_kept("file_path", "stree").cast("long").alias("stree")).agg(
+        F.count("*").alias("trees"), F.max("tree_no").cast("long").alias("last"),
+        F.count_if(F.col("newick") == "(4:1,((1:1,2:1):1,3:1):1);").alias("f"))
+
+
 @query("quartet_cleanup", """SELECT DISTINCT l_orderkey || chr(9) || l_suppkey AS value FROM lineitem""")
 def quartet_cleanup(spark, sf):
     """Raw quartet output without its second column, comments, header and repeats."""

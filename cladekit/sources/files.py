@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import trees as T
 from ..functions.scalars import is_newick
 from .names import base_name, folder_name
 
@@ -42,46 +43,76 @@ def _lines(value="value") -> Column:
     return F.split(value, r"\r?\n")
 
 
-def numbered_lines(
-    spark: SparkSession, path, keep, modified_after: str | None = None,
-    min_bytes: int | None = None,
+_FILE_BLOCK = ["file_path", "_block"]
+
+
+def _blocks_before():
+    return Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _in_block():
+    return Window.partitionBy(*_FILE_BLOCK).orderBy("_row")
+
+
+def block_columns(lines: DataFrame) -> DataFrame:
+    """Lines of text files with file, block and order: ``line, file_path, _block, _row, _bytes``. For batch and stream readers."""
+    return lines.select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_bytes"))
+
+
+def block_lines(
+    spark: SparkSession, path, modified_after: str | None = None, min_bytes: int | None = None,
 ) -> DataFrame:
-    """Kept lines of files of any size with their 0-based place in the file: ``pos, line``.
+    """Lines of files of any size, read block by block. ``_row`` orders the lines of a block.
 
-    Files are read in blocks. The kept lines of the blocks before give the offset of a block,
-    so no file has to fit in one row or one task.
+    What a line means may depend on lines of blocks before (a header, an open section, a count). The readers below sum up
+    each block in one row, carry these rows along the file, and join them to the lines by file and block. So no file has
+    to fit in one row or one task.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    lines = reader.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.col("_metadata.file_size").alias("_bytes"))
+    lines = block_columns(reader.text(path))
     if min_bytes is not None:
         lines = lines.where(F.col("_bytes") > min_bytes)
-    lines = lines.drop("_bytes").where(keep(F.col("line")))
-    sizes = lines.groupBy("file_path", "_block").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "file_path", "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("file_path", "_block").orderBy("_row")
-    return (
-        lines.withColumn("_row", F.monotonically_increasing_id())
-        .join(offsets, ["file_path", "_block"])
-        .select("file_path", "line",
-                (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias("pos"))
-    )
+    return lines.drop("_bytes").withColumn("_row", F.monotonically_increasing_id())
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``pos``, their 0-based place among the lines of their file."""
+    sizes = lines.groupBy(*_FILE_BLOCK).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*_FILE_BLOCK, F.coalesce(F.sum("_size").over(_blocks_before()), F.lit(0)).alias("_before"))
+    return lines.join(offsets, _FILE_BLOCK).withColumn(
+        "pos", (F.col("_before") + F.row_number().over(_in_block()) - 1).cast("long")).drop("_before", "_block", "_row")
+
+
+def numbered_lines(
+    spark: SparkSession, path, keep, modified_after: str | None = None,
+    min_bytes: int | None = None,
+) -> DataFrame:
+    """Kept lines of files of any size with their 0-based place in the file: ``pos, line``.
+
+    The kept lines of the blocks before give the offset of a block.
+    """
+    return numbered(block_lines(spark, path, modified_after, min_bytes).where(keep(F.col("line"))))
+
+
+def _carried(lines: DataFrame, flag: Column, name: str) -> DataFrame:
+    """``lines`` with ``name``: whether ``flag`` holds on an earlier line of the file."""
+    blocks = lines.groupBy(*_FILE_BLOCK).agg(F.bool_or(flag).alias("_any"))
+    before = blocks.select(*_FILE_BLOCK, F.coalesce(F.bool_or("_any").over(_blocks_before()), F.lit(False)).alias("_carry"))
+    here = F.coalesce(F.bool_or(flag).over(_in_block().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return lines.join(before, _FILE_BLOCK).withColumn(name, F.col("_carry") | here).drop("_carry")
 
 
 def tree_lines(files: DataFrame) -> DataFrame:
     """Newick rows of whole-file text; numbers count the kept lines unless a line has its own."""
     kept = F.filter(_lines(), is_newick)
-    return _tree_rows(files.select("file_path", F.posexplode(kept).alias("pos", "line")))
+    return tree_rows(files.select("file_path", F.posexplode(kept).alias("pos", "line")))
 
 
-def _tree_rows(rows: DataFrame) -> DataFrame:
+def tree_rows(rows: DataFrame) -> DataFrame:
     words = F.split(F.trim("line"), r"\s+")
     own = F.when(F.size(words) == 2, words[0].try_cast("long"))
     return rows.select(
@@ -100,15 +131,17 @@ def read_tree_files(
     Small files are read whole; ``large`` reads in blocks and costs one shuffle.
     """
     if large:
-        return _tree_rows(numbered_lines(spark, path, is_newick, modified_after, min_bytes))
+        return tree_rows(numbered_lines(spark, path, is_newick, modified_after, min_bytes))
     return tree_lines(_whole_files(spark, path, modified_after, min_bytes))
 
 
-def read_trees(spark: SparkSession, path) -> DataFrame:
-    """Every line that ends in a semicolon, in file order."""
-    kept = F.filter(_lines(), lambda s: s.endswith(";"))
-    return _whole_files(spark, path, None, None).select(
-        "file_path", F.posexplode(kept).alias("tree_no", "newick"))
+def read_trees(spark: SparkSession, path, outgroup: str | None = None) -> DataFrame:
+    """Every line that ends in a semicolon, in file order; rooted on ``outgroup`` (NULL in trees that lack it)."""
+    rows = numbered_lines(spark, path, lambda s: s.endswith(";"))
+    rows = rows.select("file_path", F.col("pos").alias("tree_no"), F.col("line").alias("newick"))
+    if outgroup is None:
+        return rows
+    return rows.withColumn("newick", T.text(T.reroot(T.parse("newick"), outgroup)))
 
 
 def _filled(line) -> Column:
@@ -135,12 +168,15 @@ QUARTET_COLUMNS = ("Seq1", "Seq2", "Seq3", "Seq4", "qCF", "qDF1", "qDF2", "qN")
 
 
 def read_quartets(spark: SparkSession, path) -> DataFrame:
-    """Whitespace-separated quartet files with a header line; rows with a gap are dropped."""
-    files = _whole_files(spark, path, None, None)
-    kept = F.filter(_lines(), _filled)
-    rows = files.select("file_path", kept.alias("lines")).select(
-        "file_path", F.split(F.trim(F.col("lines")[0]), r"\s+").alias("head"),
-        F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line"))
+    """Whitespace-separated quartet files with a header line; rows with a gap are dropped.
+
+    The first line of a file names the columns of all its blocks. As a row it has gaps, and so drops out.
+    """
+    lines = block_lines(spark, path).where(_filled("line"))
+    blocks = lines.groupBy(*_FILE_BLOCK).agg(F.min(F.struct("_row", "line"))["line"].alias("_first"))
+    along = Window.partitionBy("file_path").orderBy("_block")
+    heads = blocks.select(*_FILE_BLOCK, F.split(F.trim(F.first("_first").over(along)), r"\s+").alias("head"))
+    rows = lines.join(heads, _FILE_BLOCK)
     cells = F.split(F.trim("line"), r"\s+")
     out = rows.select(
         "file_path",
@@ -159,20 +195,34 @@ def clean_quartet_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def alignment_rows(files: DataFrame) -> DataFrame:
-    """Taxa of NEXUS text: ``gene, ix, name, seq, seq_length``."""
+    """Taxa of NEXUS text held in a column: ``gene, ix, name, seq, seq_length``."""
     block = F.regexp_extract("value", r"(?is)matrix\s*(.*?);", 1)
-    lines = F.filter(F.split(block, r"\r?\n"), lambda s: F.trim(s).rlike(r"^\S+\s+\S"))
-    rows = files.select("file_path", F.posexplode(lines).alias("pos", "line"))
+    lines = F.filter(F.split(block, r"\r?\n"), _is_taxon)
+    return _taxa(files.select("file_path", F.posexplode(lines).alias("pos", "line")))
+
+
+def _is_taxon(line) -> Column:
+    return F.trim(line).rlike(r"^\S+\s+\S")
+
+
+def _taxa(rows: DataFrame) -> DataFrame:
     name = F.regexp_extract(F.trim("line"), r"^(\S+)", 1)
     seq = F.regexp_replace(F.regexp_extract(F.trim("line"), r"^\S+\s+(.*)$", 1), r"\s", "")
     return rows.select(
-        F.regexp_replace(base_name("file_path"), r"\.nex$", "").alias("gene"),
+        "file_path", F.regexp_replace(base_name("file_path"), r"\.nex$", "").alias("gene"),
         (F.col("pos") + 1).alias("ix"), F.regexp_replace(name, "@", "_").alias("name"),
         seq.alias("seq"), F.length(seq).alias("seq_length"))
 
 
 def read_alignments(spark: SparkSession, path) -> DataFrame:
-    return alignment_rows(_whole_files(spark, path, None, None))
+    """Taxa of NEXUS files of any size, numbered from 1: the lines behind the first ``matrix`` up to the next semicolon."""
+    lines = block_lines(spark, path)
+    opens = F.lower("line").contains("matrix")
+    lines = _carried(lines, opens, "_begun").where(F.col("_begun") | opens)
+    lines = lines.withColumn("line", F.when(~F.col("_begun"), F.regexp_replace("line", r"(?i)^.*?matrix\s*", "")).otherwise(F.col("line")))
+    lines = _carried(lines, F.col("line").contains(";"), "_ended").where(~F.col("_ended"))
+    lines = lines.withColumn("line", F.substring_index("line", ";", 1))
+    return _taxa(numbered(lines.where(_is_taxon("line")).drop("_begun", "_ended")))
 
 
 def read_matrices(spark: SparkSession, paths: Sequence[str], dropna: bool = True) -> DataFrame:

@@ -7,22 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_newick
 from ..operators.quartets import tree_records
-from ..sources.files import tree_lines
+from ..sources.files import block_columns, numbered, tree_rows
 from ..sources.sinks import append_new
 
 
 def tree_file_stream(
     spark: SparkSession, path: str, max_age: str = "180d", files_per_trigger: int = 1000,
 ) -> DataFrame:
-    """New newick files as they arrive; files older than ``max_age`` are ignored."""
-    files = (
-        spark.readStream.format("text").option("wholetext", True)
-        .option("maxFileAge", max_age).option("maxFilesPerTrigger", files_per_trigger)
-        .load(path)
-        .select("value", F.col("_metadata.file_path").alias("file_path"))
+    """Lines of new newick files as they arrive; files older than ``max_age`` are ignored.
+
+    A batch holds whole files, each read in blocks, so a file may be larger than a task's memory.
+    """
+    lines = (
+        spark.readStream.format("text")
+        .option("maxFileAge", max_age).option("maxFilesPerTrigger", files_per_trigger).load(path)
     )
-    return tree_records(tree_lines(files))
+    return block_columns(lines).drop("_bytes")
+
+
+def arrived_trees(batch: DataFrame) -> DataFrame:
+    """Tree records of a batch of lines; the kept lines of a file are numbered over its blocks."""
+    lines = batch.withColumn("_row", F.monotonically_increasing_id()).where(is_newick(F.col("line")))
+    return tree_records(tree_rows(numbered(lines)))
 
 
 def store_new_trees(
@@ -31,7 +39,7 @@ def store_new_trees(
 ):
     """Append unseen trees, batch by batch. A repeated batch adds nothing."""
     def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, target, key)
+        append_new(arrived_trees(batch), target, key)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -54,6 +54,45 @@ def test_quartets_and_counts(spark, tmp_path):
     assert [(r.tree_no, r.top_1, r.nsites) for r in rows] == [(0, 1.0, 6.0), (1, 4.0, 15.0)]
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of 256 bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "256")
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
+def test_state_is_carried_over_blocks(spark, tmp_path, small_blocks):
+    """Header, section and line number of a file are known in each of its blocks."""
+    heads = ["ID Seq1 Seq2 Seq3 Seq4 qCF x qDF1 x qDF2 x qN", "ID qN Seq1 Seq2 Seq3 Seq4 qCF qDF1 qDF2"]
+    for k, head in enumerate(heads):
+        body = [f"{i} {i} 2 3 4 0.5 9 0.3 9 0.2 9 {k}" if k == 0 else f"{i} {k} {i} 2 3 4 0.5 0.3 0.2" for i in range(300)]
+        (tmp_path / f"{k}.scf").write_text("\n\n".join([head, *body]) + "\n")
+    rows = files.read_quartets(spark, str(tmp_path / "*.scf"))
+    assert rows.select("file_path").distinct().count() == 2
+    got = {(r.file_path[-5], r.Seq1, r.Seq4, r.qCF, r.qN) for r in rows.collect()}
+    assert got == {(str(k), i, 4, 0.5, float(k)) for k in (0, 1) for i in range(300)}
+
+    taxa = [f"T@{i}  AC GT{'A' * (i % 7)}" for i in range(200)]
+    (tmp_path / "a.nex").write_text("#NEXUS\n[x;]\nbegin data;\n" + "filler;\n" * 60 + "format;\n Matrix\n" + "\n".join(taxa)
+                                    + "\n;\nend;\n" + "late@x ACGT\nmatrix y ACGT\n" * 40)
+    (tmp_path / "b.nex").write_text("x\n" * 200 + "MATRIX one AC\ntwo GT; three TT\n" + "four CC\n" * 90)
+    (tmp_path / "c.nex").write_text("no section a AC;\n" * 30)
+    rows = files.read_alignments(spark, str(tmp_path / "*.nex")).collect()
+    a = sorted((r.ix, r.name, r.seq) for r in rows if r.gene == "a")
+    assert a == [(i + 1, f"T_{i}", "ACGT" + "A" * (i % 7)) for i in range(200)]
+    assert sorted((r.ix, r.name, r.seq) for r in rows if r.gene != "a") == [(1, "one", "AC"), (2, "two", "GT")]
+
+    (tmp_path / "t.trees").write_text("junk\n" + "".join(f"(a:1,(b:{i},c:1):1);\n\nx\n" for i in range(150)))
+    trees = files.read_trees(spark, str(tmp_path / "t.trees"), outgroup="b").collect()
+    assert {(r.tree_no, r.newick) for r in trees} == {
+        (i, f"(b:{i / 2:g},(c:1,a:2):{i / 2:g});") for i in range(150)}
+
+
 def test_names(spark):
     df = spark.createDataFrame(
         [("t_60_74.5_94.5_LG_PROTCATWAG.ds3.raxml.trees", "250bp_b3_g100"),
