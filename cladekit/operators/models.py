@@ -12,10 +12,10 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import RFormula, VectorAssembler
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,18 +26,12 @@ from .aggregates import quantile_bin
 from .ranks import group_quantiles, unpivot
 from .targets import apply_scaling, fit_scaling, with_fold
 
+# Settings of the tree learners.
 TREES = {"maxDepth": 4, "minInstancesPerNode": 1, "seed": 123456}
 
 
 # ---- learners ----------------------------------------------------------------------------
 
-def _elastic_net(y: str) -> CrossValidator:
-    lr = LinearRegression(labelCol=y, elasticNetParam=0.5, maxIter=1000, standardization=False)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-3, 1e-2, 1e-1]).build()
-    return CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=3, parallelism=2,
-                          evaluator=RegressionEvaluator(labelCol=y), seed=123456)
-
-
 def _l1_logistic(y: str, weight: str | None) -> CrossValidator:
     lr = LogisticRegression(labelCol=y, elasticNetParam=1.0, maxIter=1000)
     if weight:
@@ -48,10 +42,10 @@ def _l1_logistic(y: str, weight: str | None) -> CrossValidator:
 
 
 def regression_learners(y: str = "y", trees: int = 50) -> dict:
+    """The tree learners; the linear ones are in ``linear``."""
     return {
         "RF": RandomForestRegressor(labelCol=y, numTrees=trees, **TREES),
         "GradBoost": GBTRegressor(labelCol=y, maxIter=trees, **TREES),
-        "ElasticNet": _elastic_net(y),
     }
 
 
@@ -271,48 +265,6 @@ def linear_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataF
         r2.alias("r2"), (F.try_divide(r2, 1 - r2) * (n - 2)).alias("f"), n.cast("long").alias("n"))
 
 
-def _terms(formula_terms: Sequence[str]) -> str:
-    return " + ".join(formula_terms)
-
-
-def interaction_anova(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
-    """Type 2 table of the full interaction model: each term against its marginal model.
-
-    A term is tested by dropping it from the model of all terms that do not contain it.
-    """
-    from itertools import combinations
-
-    terms = [frozenset(c) for r in range(1, len(factors) + 1) for c in combinations(factors, r)]
-    cached = df.select(y, *factors).na.drop()
-
-    def rss(chosen) -> tuple[float, int]:
-        if not chosen:
-            row = cached.agg(F.var_pop(y) * F.count(y), F.count(y)).first()
-            return row[0], row[1]
-        text = _terms([":".join(sorted(t)) for t in chosen])
-        rows = RFormula(formula=f"{y} ~ {text}", labelCol="_y", featuresCol="_x").fit(
-            cached).transform(cached)
-        fit = LinearRegression(labelCol="_y", featuresCol="_x", solver="normal").fit(rows)
-        return fit.summary.meanSquaredError * fit.summary.numInstances, fit.summary.numInstances
-
-    full, n = rss(terms)
-    left = n - len(terms) - 1
-    found = {frozenset(terms): (full, n)}
-
-    def cached_rss(chosen):
-        key = frozenset(chosen)
-        if key not in found:
-            found[key] = rss(chosen)
-        return found[key][0]
-
-    out = []
-    for t in terms:
-        others = [u for u in terms if not t <= u]
-        gain = cached_rss(others) - cached_rss([*others, t])
-        out.append((":".join(sorted(t)), float(gain), 1, float(gain / (full / left))))
-    return df.sparkSession.createDataFrame(out, "term string, sum_sq double, df int, f double")
-
-
 def model_column(model, name: str) -> Callable[[DataFrame], DataFrame]:
     return lambda d: model.transform(d).withColumnRenamed("prediction", name)
 

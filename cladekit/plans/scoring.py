@@ -6,8 +6,10 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import linear as L
 from ..operators import models as M
 from ..operators import targets as T
+from ..operators.relational import union_rows
 from .registry import query, rounded, tidy
 from .tables import SPECIES, species, table
 
@@ -159,23 +161,19 @@ def _class_rows(spark, sf):
 
 @query("regression_scores")
 def regression_scores(spark, sf):
-    """Held-out scores of the regression learners and the mean."""
+    """Held-out scores of the regression learners and the baselines."""
     rows = _regression_rows(spark, sf)
     train, test = T.train_test(rows, _KEY, 0.2)
     prepared = M.prepare(train, rows, _X, impute=False)
     ptrain, ptest = T.train_test(prepared, _KEY, 0.2)
-    ptrain = ptrain.cache()
-    out = []
-    for name, learner in M.regression_learners().items():
-        done = learner.fit(ptrain).transform(ptest)
-        out.append(M.metrics.score(done, "y", "prediction", M.metrics.REGRESSION).withColumn(
-            "learner", F.lit(name)))
-    base = M.baselines(train, test)
-    for name in ("Mean", "Median"):
-        out.append(M.metrics.score(base, "y", name, M.metrics.REGRESSION).withColumn(
-            "learner", F.lit(name)))
-    from ..operators.relational import union_rows
 
+    def scored(done, column, name):
+        return M.metrics.score(done, "y", column, M.metrics.REGRESSION).withColumn("learner", F.lit(name))
+
+    out = [scored(learner.fit(ptrain).transform(ptest), "prediction", name) for name, learner in M.regression_learners().items()]
+    for name, (beta, intercept) in L.fit(train, _X, _KEY).items():
+        out.append(scored(test.withColumn("_p", L.predicted(_X, beta, intercept)), "_p", name))
+    out.append(scored(M.baselines(train, test), "Median", "Median"))
     return tidy(union_rows(*out))
 
 
@@ -185,14 +183,11 @@ def class_scores(spark, sf):
     rows = M.balanced_weights(_class_rows(spark, sf))
     prepared = M.prepare(T.train_test(rows, _KEY, 0.2)[0], rows, _X, impute=True)
     train, test = T.train_test(prepared, _KEY, 0.2)
-    train = train.cache()
     out = []
     for name, learner in M.classification_learners(weight="weight").items():
         done = M.positive_score(learner.fit(train).transform(test))
         out.append(M.metrics.class_scores(done, "y", "prediction", "preds").withColumn(
             "learner", F.lit(name)))
-    from ..operators.relational import union_rows
-
     return tidy(union_rows(*out))
 
 
@@ -209,26 +204,45 @@ def topology_predictions(spark, sf):
     return tidy(M.score_rows(model, test, ["vec_id"], "y", classes=3))
 
 
+_FOLD = "CAST('0x' || substr(md5(concat_ws('|', '{seed}', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 8) AS BIGINT) % {n}"
+_SUMS = """count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS xx, covar_pop(x, y) * count(*) AS xy"""
+
+
 @query("cross_validation")
 def cross_validation(spark, sf):
-    """Mean and spread of the scores over hash folds."""
-    from pyspark.ml.regression import LinearRegression
-
-    learners = {"Linear": LinearRegression(labelCol="y", regParam=0.01)}
-    summary, _ = M.cross_validate(
-        _regression_rows(spark, sf), _X, learners, _KEY, folds=10, impute=False)
+    """Mean and spread of the linear learners' scores over hash folds: 10 folds, 50 penalties, two scans."""
+    summary, _ = L.cross_validate(_regression_rows(spark, sf), _X, _KEY)
     return tidy(summary)
 
 
 @query("fold_predictions")
 def fold_predictions(spark, sf):
-    """Out-of-fold predictions, one column per learner."""
-    from pyspark.ml.regression import LinearRegression
-
-    learners = {"Linear": LinearRegression(labelCol="y", regParam=0.01)}
-    _, preds = M.cross_validate(
-        _regression_rows(spark, sf), _X, learners, _KEY, folds=10, impute=False)
-    return tidy(M.predictions_wide(preds, _KEY, list(learners)))
+    """Out-of-fold predictions, one column per linear learner."""
+    _, preds = L.cross_validate(_regression_rows(spark, sf), _X, _KEY)
+    return tidy(M.predictions_wide(preds, _KEY, list(L.LEARNERS)))
+
+
+@query("one_feature_validation", rounded(f"""WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS x, ln(CAST(l_extendedprice AS DOUBLE)) AS y,
+ {_FOLD.format(seed=123456, n=10)} AS fold, {_FOLD.format(seed='123456-inner', n=5)} AS inr FROM lineitem), k AS (SELECT DISTINCT fold AS k FROM d),
+ j AS (SELECT DISTINCT inr AS j FROM d), w AS (SELECT k, {_SUMS}, sqrt(var_pop(x)) AS sd FROM k JOIN d ON fold <> k GROUP BY k),
+ rest AS (SELECT k, j, {_SUMS} FROM k JOIN d ON fold <> k JOIN j ON inr <> j GROUP BY ALL),
+ held AS (SELECT k, j, {_SUMS}, var_pop(y) * count(*) AS yy FROM k JOIN d ON fold <> k JOIN j ON inr = j GROUP BY ALL),
+ grid AS (SELECT k, i, abs(xy / sd / n) / 0.5 * pow(0.001, i / 49.0) AS p FROM w, (SELECT unnest(range(50)) AS i)),
+ path AS (SELECT k, j, i, sign(r.xy) * greatest(abs(r.xy / sd / r.n) - p * 0.5, 0) / (r.xx / sd / sd / r.n + p * 0.5) / sd AS b, r.mx, r.my
+ FROM rest r JOIN grid USING (k) JOIN (SELECT k, sd FROM w) USING (k)),
+ err AS (SELECT k, i, avg((h.yy - 2 * b * h.xy + b * b * h.xx) / h.n + pow(h.my - (path.my - path.mx * b) - h.mx * b, 2)) AS e
+ FROM path JOIN held h USING (k, j) GROUP BY 1, 2), pick AS (SELECT k, arg_min(i, (e, i)) AS i FROM err GROUP BY 1),
+ models AS (SELECT k, 'Mean' AS learner, 0.0 AS b, my AS a FROM w UNION ALL SELECT k, 'Linear', xy / xx, my - mx * xy / xx FROM w UNION ALL
+ SELECT k, 'ElasticNet', b, my - mx * b FROM (SELECT w.*, sign(xy) * greatest(abs(xy / sd / n) - p * 0.5, 0) / (xx / sd / sd / n + p * 0.5) / sd
+ AS b FROM w JOIN pick USING (k) JOIN grid USING (k, i))),
+ s AS (SELECT learner, k, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS part, avg(pow(y - a - b * x, 2)) AS mse, avg(abs(y - a - b * x)) AS mae,
+ 1 - var_pop(y - a - b * x) / var_pop(y) AS ev FROM models, d GROUP BY ALL), long AS (SELECT learner, part, 'MSE' AS metric, mse AS v FROM s UNION ALL
+ SELECT learner, part, 'MAE', mae FROM s UNION ALL SELECT learner, part, 'EV', ev FROM s) SELECT learner, part, metric, avg(v) AS mean,
+ stddev_pop(v) AS std FROM long GROUP BY 1, 2, 3""", "mean std"))
+def one_feature_validation(spark, sf):
+    """The same for one feature, where every step has a closed form."""
+    summary, _ = L.cross_validate(_regression_rows(spark, sf), ["l_quantity"], _KEY)
+    return tidy(summary)
 
 
 @query("saved_model_scores")
@@ -373,8 +387,26 @@ def response_curves(spark, sf):
         centered=False))
 
 
+_FACTORS = {"l_quantity": "g", "l_discount": "b", "l_tax": "ebl", "l_linenumber": "ibl"}
+
+
 @query("interaction_anova")
 def interaction_anova(spark, sf):
-    """Type 2 table of a full interaction model of two factors."""
-    rows = _regression_rows(spark, sf).withColumnsRenamed({"l_quantity": "g", "l_discount": "b"})
-    return tidy(M.interaction_anova(rows, "y", ["g", "b"]))
+    """Type 2 table of the full interaction model of four factors, with p-values."""
+    rows = _regression_rows(spark, sf).withColumnsRenamed(_FACTORS)
+    return tidy(L.interaction_anova(rows, "y", list(_FACTORS.values())))
+
+
+@query("interaction_pair", rounded("""WITH d AS (SELECT ln(CAST(l_extendedprice AS DOUBLE)) AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE)
+ AS b, CAST(l_quantity AS DOUBLE) * CAST(l_discount AS DOUBLE) AS w FROM lineitem), s AS (SELECT count(*) AS n, var_pop(a) AS aa, var_pop(b) AS bb,
+ var_pop(w) AS ww, covar_pop(a, b) AS ab, covar_pop(a, w) AS aw, covar_pop(b, w) AS bw, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb,
+ covar_pop(y, w) AS yw, var_pop(y) AS yy FROM d), t AS (SELECT *, aa * bb - ab * ab AS det FROM s), u AS (SELECT *,
+ n * pow(ya - ab * yb / bb, 2) / (aa - ab * ab / bb) AS sa, n * pow(yb - ab * ya / aa, 2) / (bb - ab * ab / aa) AS sb,
+ n * pow(yw - ((bb * ya - ab * yb) * aw + (aa * yb - ab * ya) * bw) / det, 2) / (ww - (bb * aw * aw - 2 * ab * aw * bw + aa * bw * bw) / det) AS sw,
+ n * (yy - (bb * ya * ya - 2 * ab * ya * yb + aa * yb * yb) / det) AS two FROM t), v AS (SELECT *, two - sw AS rss, n - 4 AS dof FROM u)
+ SELECT 'g' AS term, sa AS sum_sq, CAST(1 AS BIGINT) AS df, sa / (rss / dof) AS f FROM v UNION ALL SELECT 'b', sb, 1, sb / (rss / dof) FROM v UNION ALL
+ SELECT 'b:g', sw, 1, sw / (rss / dof) FROM v UNION ALL SELECT 'Residual', rss, dof, NULL FROM v""", "sum_sq f", 3))
+def interaction_pair(spark, sf):
+    """The same table for two factors, where each sum of squares has a closed form."""
+    rows = _regression_rows(spark, sf).withColumnsRenamed(_FACTORS)
+    return tidy(L.interaction_anova(rows, "y", ["g", "b"]).drop("pval"), 3)

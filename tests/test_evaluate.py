@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladekit.functions import scalars as S
+from cladekit.operators import linear
 from cladekit.operators import aggregates as A
 from cladekit.operators import evaluate as E
 from cladekit.operators import models as M
@@ -111,7 +112,7 @@ def test_anova_matches_least_squares(spark):
     a, b = rng.random(200), rng.random(200)
     y = 1 + 2 * a - b + 3 * a * b + rng.normal(size=200) * 0.1
     df = spark.createDataFrame([tuple(map(float, r)) for r in zip(y, a, b)], "y double, a double, b double")
-    got = {r.term: r for r in M.interaction_anova(df, "y", ["a", "b"]).collect()}
+    got = {r.term: r for r in linear.interaction_anova(df, "y", ["a", "b"]).collect()}
 
     def rss(*cols):
         x = np.column_stack([np.ones(200), *cols])
