@@ -340,57 +340,55 @@ def nearest_on_grid(
 ) -> DataFrame:
     """Value of the nearest condition at each point of a ``steps`` x ``steps`` grid.
 
-    The grid has a fixed size. Every task finds the nearest of its own conditions for all
-    grid points with one array operation per batch and passes on one row per point, so the
-    shuffle that picks the overall nearest does not grow with the conditions.
-    """
-    import numpy as np
-    import pandas as pd
+    Conditions and points fall into square cells. A point looks at its own and the eight cells around it; what it finds
+    there is final if it is nearer than one cell is wide. The points left look again with cells twice as wide. The grid has a
+    fixed size, so the points of a round are broadcast, and a round returns one row a point at most.
 
+    Of equally near conditions the one with the least x, y and value counts. Conditions without a place are left out.
+    """
+    spark = conditions.sparkSession
     cond = conditions.select(
         (F.col(x) * scale).alias("x"), (F.col(y) * scale).alias("y"),
-        F.col(value).cast("double").alias("z"))
-    box = cond.agg(F.struct(
-        F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.min("y").alias("y0"), F.max("y").alias("y1"))).scalar()
-    placed = cond.withColumn("b", box).select("x", "y", "z", "b.*")
-    unit = np.arange(steps)
-
-    def nearest(batches):
-        best = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x0, x1, y0, y1 = (float(pdf[c].iloc[0]) for c in ("x0", "x1", "y0", "y1"))
-            gx = np.tile(x0 + unit * (x1 - x0) / (steps - 1), steps)
-            gy = np.repeat(y0 + unit * (y1 - y0) / (steps - 1), steps)
-            pdf = pdf.sort_values(["x", "y", "z"], ignore_index=True)
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start:start + 256]
-                px, py = part["x"].to_numpy(), part["y"].to_numpy()
-                dist = (gx[:, None] - px) ** 2 + (gy[:, None] - py) ** 2
-                pick = dist.argmin(axis=1)
-                new = np.column_stack([
-                    dist[np.arange(len(gx)), pick], px[pick], py[pick],
-                    part["z"].to_numpy()[pick]])
-                if best is None:
-                    best = new
-                    continue
-                closer = new[:, 0] < best[:, 0]
-                for k in range(1, 3):
-                    same = np.all(new[:, :k] == best[:, :k], axis=1)
-                    closer |= same & (new[:, k] < best[:, k])
-                best[closer] = new[closer]
-        if best is not None:
-            yield pd.DataFrame({
-                "i": np.tile(unit, steps), "j": np.repeat(unit, steps), "gx": gx, "gy": gy,
-                "d": best[:, 0], "x": best[:, 1], "y": best[:, 2], "z": best[:, 3]})
-
-    schema = "i int, j int, gx double, gy double, d double, x double, y double, z double"
-    local = placed.mapInPandas(nearest, schema)
-    return local.groupBy("i", "j").agg(
-        F.min("gx").alias("gx"), F.min("gy").alias("gy"),
-        F.min_by("z", F.struct("d", "x", "y", "z")).alias("value"))
+        F.col(value).cast("double").alias("z")).where("x IS NOT NULL AND y IS NOT NULL")
+    box = cond.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    schema = "i int, j int, gx double, gy double, value double"
+    if box["x0"] is None:
+        return spark.createDataFrame([], schema)
+    wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    cells = cond.withColumns({
+        "_a": _cell(F.col("x"), box["x0"], wide, steps), "_b": _cell(F.col("y"), box["y0"], high, steps)})
+    points = spark.range(steps * steps).select(
+        (F.col("id") % steps).cast("int").alias("i"), F.floor(F.col("id") / steps).cast("int").alias("j"))
+    found: dict[tuple[int, int], float] = {}
+    # on a line of conditions the cells of the other axis have no width
+    side, step = 1, min([v for v in (wide, high) if v > 0], default=0.0) / (steps - 1)
+    while True:
+        around = [F.lit(k) for k in (-1, 0, 1)]
+        near = points.select(
+            "i", "j", (F.lit(box["x0"]) + F.col("i") * wide / (steps - 1)).alias("gx"),
+            (F.lit(box["y0"]) + F.col("j") * high / (steps - 1)).alias("gy"), F.explode(F.array(*around)).alias("_da")).select(
+            "*", F.explode(F.array(*around)).alias("_db")).select(
+            "i", "j", "gx", "gy", (F.floor(F.col("i") / side) + F.col("_da")).alias("_a"),
+            (F.floor(F.col("j") / side) + F.col("_db")).alias("_b"))
+        coarse = cells.withColumns({"_a": F.floor(F.col("_a") / side), "_b": F.floor(F.col("_b") / side)})
+        gap_x, gap_y = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
+        seen = coarse.join(F.broadcast(near), ["_a", "_b"]).groupBy("i", "j").agg(
+            F.min(F.struct((gap_x * gap_x + gap_y * gap_y).alias("d"), "x", "y", "z")).alias("best"))
+        whole = side >= steps
+        sure = (1 - 1e-9) * side * step
+        done = {(r["i"], r["j"]): r["best"]["z"] for r in seen.collect() if whole or r["best"]["d"] < sure * sure}
+        found |= done
+        if whole or len(found) == steps * steps:
+            break
+        left = [(i, j) for i in range(steps) for j in range(steps) if (i, j) not in found]
+        points, side = spark.createDataFrame(left, "i int, j int"), side * 2
+    rows = [(i, j, box["x0"] + i * wide / (steps - 1), box["y0"] + j * high / (steps - 1), z) for (i, j), z in found.items()]
+    return spark.createDataFrame(rows, schema)
+
+
+def _cell(at: Column, low: float, width: float, steps: int) -> Column:
+    place = F.floor((at - low) / width * (steps - 1)) if width > 0 else F.lit(0)
+    return F.least(F.greatest(place, F.lit(0)), F.lit(steps - 1))
 
 
 def interpolate(df: DataFrame, at: str, table: DataFrame, tx: str, ty: str, name: str):

@@ -143,3 +143,24 @@ def test_labels_flip_at_the_stated_rate(spark):
 
 def test_chained_conditions():
     assert S.chain(".1<ibl<10 and ebl==5") == "(.1 < ibl) AND (ibl < 10) AND (ebl = 5)"
+
+
+@pytest.mark.parametrize("shape", ["spread", "sparse", "line", "one", "corner"])
+def test_nearest_condition_on_a_grid(spark, shape):
+    """Equal to looking at all conditions from every point, for dense, sparse and degenerate places."""
+    rng = np.random.default_rng(3)
+    places = {"spread": rng.random((400, 2)) * [300, 2], "sparse": rng.random((5, 2)) * [300, 2], "one": np.array([[3.0, 4.0]]),
+              "line": np.column_stack([rng.random(30) * 9, np.full(30, 2.0)]), "corner": np.vstack([rng.random((50, 2)) * 1e-3, [[10, 10]]])}[shape]
+    places = np.vstack([places, places[:3]])  # ties
+    z = rng.random(len(places))
+    df = spark.createDataFrame([(*map(float, p), float(v)) for p, v in zip(places, z, strict=True)] + [(None, 1.0, 5.0)], "ebl double, ibl double, v double")
+    got = {(r.i, r.j): (r.gx, r.gy, r.value) for r in E.nearest_on_grid(df, "v", steps=20).collect()}
+    assert len(got) == 400
+    p = places * 0.01
+    low, high = p.min(0), p.max(0)
+    for (i, j), (gx, gy, value) in got.items():
+        want = low + np.array([i, j]) * (high - low) / 19
+        assert np.allclose([gx, gy], want)
+        d = (gx - p[:, 0]) ** 2 + (gy - p[:, 1]) ** 2
+        assert value == min(zip(d, p[:, 0], p[:, 1], z, strict=True))[3]
+    assert E.nearest_on_grid(df.where("false"), "v").collect() == []
