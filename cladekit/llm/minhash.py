@@ -7,9 +7,9 @@ components left out, and all pairs within that distance meet under a key. With 1
 72), a pair of similarity 0.8 meets nowhere with probability 3e-6. Pairs that meet are confirmed on their full shingle sets.
 
 Documents of equal sets are one class first, so copies are never compared. Within the documents under a key, links are
-sought from a leader (another one each round, and only to documents not yet in its component), and at the end, block
-against block, between all documents of different components that still share a key. Links inside one component would
-change nothing.
+sought from a leader (another one each round, and only to documents not yet in its component). At the end all documents
+of different components that still share a key are looked at: those whose prefixes share a shingle are compared block against
+block. Links inside one component would change nothing.
 
 Cases: NULL or empty text has no shingles, is linked with nothing and stays its own component; fewer words than a
 shingle form one; a NULL doc_id is not linked, has component NULL and is kept; rows of one doc_id are one document whose
@@ -23,7 +23,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, numbered, stored, text_bytes
@@ -32,6 +32,8 @@ CHUNKS, WIDTH, ERRORS, BITS = 12, 6, 1, 16
 SIMILARITY = 80  # hundredths
 ROUNDS = 2
 BLOCK_DOCS = 256
+TIER_BYTES = 1 << 15  # blocks of shorter texts have BLOCK_DOCS of them
+ROWS = 65_536  # shingles in a batch
 COLUMNS = 8192
 _REMEMBERED = 600_000
 
@@ -147,19 +149,63 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(mixed.where("_min != _max AND _n > 2").select("key"), "key")
 
 
+_TOKENS = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+
+
+def _tokens(rows: DataFrame, width: int) -> DataFrame:
+    """A row for each shingle of each text: ``id``, ``c``, ``own`` (which of the id's texts), ``n`` (set size), ``h``."""
+    def run(batches):
+        for batch in batches:
+            for k, text in enumerate(batch.column(2)):
+                s = shingles(text.as_py(), width).astype(np.int64)
+                fixed = [batch.column(i)[k].as_py() for i in (0, 1, 3)]
+                for at in range(0, len(s), ROWS):
+                    part = s[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), v), pa.int64()) for v in (*fixed, len(s))] + [pa.array(part)], schema=_TOKENS)
+
+    return rows.select("id", "c", "text", F.xxhash64("text").alias("own")).mapInArrow(run, "id long, c long, own long, n long, h long")
+
+
+def _prefixes(open_: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Members (``key``, ``id``, ``c``) under the shingles that a link between two components must share.
+
+    Similar sets share more than what is left of either when so many of its shingles are taken off that the rest is too small
+    (a prefix, in any order common to all). Shingles that lie in one component only come first, then the rare ones. So of texts
+    that share a frame but are not similar, the prefixes hold what is their own, and nothing is left to compare.
+    """
+    ids = open_.select("id", "c").distinct()
+    tokens = stored(_tokens(ids.join(texts, "id"), width), "open-shingles")
+    often = tokens.groupBy("h").agg(F.count("*").alias("df"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi")
+    shared = tokens.join(often.select("h", "df"), "h")
+    of_text = Window.partitionBy("id", "own")
+    # as many of a text's shingles as lie in one component only stand before these
+    size = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1 - (F.col("n") - F.col("_m"))
+    kept = shared.withColumns({"_m": F.count("*").over(of_text), "_at": F.row_number().over(of_text.orderBy("df", "h"))}).where(
+        F.col("_at") <= size).select(F.col("h").alias("key"), "id", "c").distinct()
+    kept = stored(kept, "open-prefixes")
+    mixed = kept.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("key")
+    return kept.join(mixed, "key")
+
+
 def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
     """Links between different components among all documents that share a key, whoever leads it.
 
-    Documents that keys connect are numbered next to each other, components together, and cut into blocks of
-    ``BLOCK_DOCS``. Two blocks with a common key are compared as a whole, by one product of their incidence matrices, so
+    Of these documents only those are compared whose prefixes share a shingle. Documents that such shingles connect are
+    numbered next to each other, components together, and cut into blocks of ``BLOCK_DOCS``, fewer if they are long. Two
+    blocks with a common shingle are compared as a whole, by one product of their incidence matrices, so
     rows are made for pairs of blocks and for links, not for pairs of documents.
     """
-    open_ = stored(_mixed(members, found), "key-mixed")
+    open_ = stored(_prefixes(stored(_mixed(members, found), "key-mixed"), texts, width, similarity), "prefix-mixed")
     lead = open_.groupBy("key").agg(F.min("id").alias("a"))
     near = components(open_.join(lead, "key").select("a", F.col("id").alias("b")), "near")
-    ids = open_.select("id", "c").distinct().join(near.withColumnRenamed("component", "near"), "id")
-    placed = numbered(ids, F.col("near"), F.col("c"), F.col("id"), label="near-order").select(
-        "id", "c", F.floor(F.col("row") / BLOCK_DOCS).alias("block"))
+    sizes = texts.groupBy("id").agg(F.sum(F.length("text")).alias("_bytes"))
+    ids = open_.select("id", "c").distinct().join(near.withColumnRenamed("component", "near"), "id").join(sizes, "id")
+    # four times as long, a quarter as many in a block
+    ids = ids.withColumn("tier", F.greatest(F.lit(0), F.ceil(F.log(F.col("_bytes") / TIER_BYTES) / F.log(F.lit(4.0)))).cast("int")).drop("_bytes")
+    rows = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_DOCS) / F.pow(F.lit(4.0), F.col("tier"))))
+    placed = numbered(ids, F.col("tier"), F.col("near"), F.col("c"), F.col("id"), label="near-order").select(
+        "id", "c", (F.col("tier").cast("long") * (1 << 48) + F.floor(F.col("row") / rows)).alias("block"))
     placed = stored(placed, "near-blocks")
     held = open_.join(placed.select("id", "block"), "id").groupBy("key", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     x, y = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "xy")

@@ -49,6 +49,62 @@ def test_hot_group(spark):
     assert {r[0]: tuple(r)[1:] for r in minhash.groups(df, 2).collect()} == brute(docs, 2)
 
 
+def framed(n, shared, own, seed=5):
+    """Texts of one frame, each with words of its own: under a common key often, similar never."""
+    pick = random.Random(seed)
+    frame = [f"f{k}" for k in range(shared)]
+    return [(k, " ".join(frame + [f"o{pick.randrange(10**9)}" for _ in range(own)])) for k in range(n)]
+
+
+def test_texts_of_one_frame_are_not_compared(spark, monkeypatch):
+    """Documents that share a frame are not linked, and no pair of blocks is made; linked ones among them are found."""
+    docs = framed(500, 150, 50)
+    twins = [(1000 + k, docs[k][1] + " one more") for k in range(0, 40, 4)]
+    made = []
+    inner = minhash._between
+    monkeypatch.setattr(minhash, "_between", lambda *a: made.append(1) or inner(*a))
+    df = spark.createDataFrame(docs + twins, "doc_id long, text string").repartition(4)
+    got = {r[0]: tuple(r)[1:] for r in minhash.groups(df, 2).collect()}
+    assert got == brute(docs + twins, 2)
+    texts = df.selectExpr("doc_id as id", "cast(text as binary) as text")
+    every = spark.createDataFrame([(1, d, d) for d, _ in docs], "key long, id long, c long")
+    assert minhash._prefixes(every, texts, 2, 80).count() == 0
+
+
+def test_prefixes_keep_all_links(spark):
+    """Every linked pair of different components shares a shingle of its prefixes, at any similarity."""
+    docs = near_copies(90, seed=9) + [(500 + k, t) for k, t in framed(40, 60, 12)]
+    texts = spark.createDataFrame([(d, bytearray(t.encode())) for d, t in docs], "id long, text binary")
+    every = spark.createDataFrame([(1, d, d) for d, _ in docs], "key long, id long, c long")
+    for similarity in (80, 95, 60):
+        held = {}
+        for r in minhash._prefixes(every, texts, 2, similarity).collect():
+            held.setdefault(r["id"], set()).add(r["key"])
+        sets = {d: shingle_set(t, 2) for d, t in docs}
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if a < b and 100 * len(x & y) >= similarity * len(x | y):
+                    assert held[a] & held[b], (a, b)
+
+
+def test_planted_pairs_just_above_the_limit(spark):
+    """Recall over pairs of similarity 0.80 to 0.85, of whole sets: every one is found."""
+    pick = random.Random(11)
+    docs, pairs = [], []
+    for k in range(300):
+        words = [f"p{pick.randrange(10**9)}" for _ in range(200)]
+        other = list(words)
+        for at in pick.sample(range(0, 200, 3), 9 + k % 3):
+            other[at] = f"q{pick.randrange(10**9)}"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        x, y = (shingle_set(docs[-i][1], 2) for i in (2, 1))
+        if 80 * len(x | y) <= 100 * len(x & y) <= 86 * len(x | y):
+            pairs.append(k)
+    rows = {r["doc_id"]: r["component_id"] for r in minhash.groups(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
+    found = [rows[2 * k] == rows[2 * k + 1] for k in pairs]
+    assert len(pairs) > 150 and all(found)
+
+
 def test_odd_rows(odd, odd_rows, empty):
     got = minhash.groups(odd, 2).collect()
     assert len(got) == len(odd_rows)
