@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import four_uniforms, poisson_count
 from ..functions.labels import TIDS
 from .ranks import group_quantiles, join_groups, unpivot, value_positions
 from .relational import with_group, with_totals
@@ -240,60 +240,25 @@ def line_summary(
     )
 
 
-def poisson_one() -> list[float]:
-    """Cumulative Poisson(1) chances, for the number of times a row is redrawn, until they reach 1."""
-    out, term = [math.exp(-1)], math.exp(-1)
-    while out[-1] + term / len(out) > out[-1]:
-        term /= len(out)
-        out.append(out[-1] + term)
-    return out
-
-
 def bootstrap_means(
     df: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str], replicates: int = 200,
     seed: int = 0, low: float = 0.02, high: float = 0.98,
 ) -> DataFrame:
     """Bootstrap interval of the group mean.
 
-    Every row gets a Poisson(1) weight per replicate, drawn from a hash of its ids. Tasks add
-    the weights of their own rows as arrays and pass on one row per group, so rows are
-    neither copied nor resampled.
+    Every row gets a Poisson(1) weight per replicate, drawn from its ids. Four replicates share a
+    digest; a task adds up the weights of its own rows and passes on one row per group and digest.
     """
-    import numpy as np
-    import pandas as pd
-
-    keys = list(keys)
+    keys, each = list(keys), 4
     rows = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v"),
-        F.xxhash64(F.lit(seed), *ids).alias("_h"))
-    steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    chances = np.array(poisson_one())
-
-    def weigh(batches):
-        for pdf in batches:
-            sums = {}
-            for start in range(0, len(pdf), 4096):
-                part = pdf.iloc[start:start + 4096]
-                x = part["_h"].to_numpy().astype(np.uint64)[:, None] + steps
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                x = x ^ (x >> np.uint64(31))
-                u = (x >> np.uint64(11)).astype(float) / float(1 << 53)
-                w = np.searchsorted(chances, u, side="right").astype(float)
-                v = part["_v"].to_numpy()
-                for key, ix in part.groupby(keys, sort=False).indices.items():
-                    key = key if isinstance(key, tuple) else (key,)
-                    a, b = sums.get(key, (0.0, 0.0))
-                    sums[key] = (a + (w[ix] * v[ix, None]).sum(axis=0), b + w[ix].sum(axis=0))
-            yield pd.DataFrame(
-                [(*k, a, b) for k, (a, b) in sums.items()], columns=[*keys, "_a", "_b"])
-
-    schema = ", ".join(
-        [f"`{k}` {t}" for k, t in rows.select(*keys).dtypes] + ["_a array<double>", "_b array<double>"])
-    parts = rows.mapInPandas(weigh, schema)
-    slots = parts.select(*keys, F.posexplode(F.arrays_zip("_a", "_b")).alias("_r", "_s"))
-    means = slots.groupBy(*keys, "_r").agg(
-        (F.sum("_s._a") / F.nullif(F.sum("_s._b"), F.lit(0.0))).alias("_m"))
+        *keys, *ids, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // each) - 1))).alias("_r"))
+    drawn = rows.select(*keys, "_v", "_r", F.array(*[
+        poisson_count(u).cast("double") for u in four_uniforms(seed, F.col("_r"), *ids)]).alias("_w"))
+    sums = drawn.groupBy(*keys, "_r").agg(F.array(*[
+        F.struct(F.sum(F.get("_w", F.lit(k)) * F.col("_v")).alias("a"), F.sum(F.get("_w", F.lit(k))).alias("b"))
+        for k in range(each)]).alias("_s"))
+    slots = sums.select(*keys, "_r", F.posexplode("_s").alias("_k", "_s")).where(F.col("_r") * each + F.col("_k") < replicates)
+    means = slots.select(*keys, (F.col("_s.a") / F.nullif(F.col("_s.b"), F.lit(0.0))).alias("_m"))
     ordered = F.array_sort(F.collect_list("_m"))
 
     def pick(p: float) -> Column:

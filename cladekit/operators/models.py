@@ -20,6 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from ..functions.scalars import layer_parameters
 from . import metrics
 from .aggregates import quantile_bin
@@ -82,9 +83,8 @@ def baselines(train: DataFrame, test: DataFrame, y: str = "y") -> DataFrame:
 def class_baselines(train: DataFrame, test: DataFrame, y: str, ids: Sequence[str], seed=0):
     """Class prior, and a random class drawn with that chance by a hash of the row's ids."""
     prior = train.agg(F.avg(F.col(y).cast("double"))).scalar()
-    u = F.pmod(F.xxhash64(F.lit(str(seed)), *ids), F.lit(1 << 30)) / float(1 << 30)
     out = test.withColumn("Trivial", prior)
-    return out.withColumn("Random", (u < F.col("Trivial")).cast("int"))
+    return out.withColumn("Random", (uniform(seed, 0, *ids) < F.col("Trivial")).cast("int"))
 
 
 # ---- fit, validate, score ----------------------------------------------------------------

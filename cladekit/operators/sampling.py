@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from .ranks import hash_key, number_rows
 
 
@@ -22,8 +23,9 @@ def sample_rows(df: DataFrame, n: int, seed, ids: Sequence[str]) -> DataFrame:
     return df.withColumn("_key", hash_key(seed, *ids)).orderBy("_key", *ids).limit(n).drop("_key")
 
 
-def share_of_rows(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_blocks(df: DataFrame, fraction: float, seed: int, key: str, size: int) -> DataFrame:
+    """Whole blocks of ``size`` neighbouring keys, each drawn with the same chance."""
+    return df.where(uniform(seed, 0, F.floor(F.col(key) / size)) < fraction)
 
 
 def shuffled_genomes(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .aggregates import shares_within
+from ..functions.draws import normal, uniform
 from .ranks import quantiles_long
 
 
@@ -55,13 +56,14 @@ def with_fold(df: DataFrame, keys: Sequence[str], folds: int = 10, seed=123456,
     return df.withColumn(name, key_bucket(keys, seed, folds).cast("int"))
 
 
-def label_noise(df: DataFrame, y: str, scale: float, seed: int) -> DataFrame:
-    return df.withColumn(y, F.col(y) + scale * F.randn(seed))
+def label_noise(df: DataFrame, y: str, scale: float, seed: int, keys: Sequence[str]) -> DataFrame:
+    """Gaussian noise on a target, drawn from each row's keys."""
+    return df.withColumn(y, F.col(y) + scale * normal(seed, *keys))
 
 
-def flip_classes(df: DataFrame, y: str, share: float, seed: int) -> DataFrame:
-    """Flip a ``share`` of 0/1 labels."""
-    return df.withColumn(y, F.when(F.rand(seed) < share, 1 - F.col(y)).otherwise(F.col(y)))
+def flip_classes(df: DataFrame, y: str, share: float, seed: int, keys: Sequence[str]) -> DataFrame:
+    """Flip a ``share`` of 0/1 labels, drawn from each row's keys."""
+    return df.withColumn(y, F.when(uniform(seed, 0, *keys) < share, 1 - F.col(y)).otherwise(F.col(y)))
 
 
 def column_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -98,10 +98,12 @@ def hash_sample(spark, sf):
         "o_orderkey", "o_totalprice")
 
 
-@query("block_sample")
+@query("block_sample", """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE
+ CAST('0x' || substr(md5(concat_ws('|', 3, 0, l_orderkey // 64)), 1, 13) AS BIGINT) / CAST(16 AS DOUBLE) ** 13 < 0.1""")
 def block_sample(spark, sf):
-    """A random share of the rows; the draw depends on Spark's sampler."""
-    return L.share_of_rows(table(spark, sf, "lineitem"), 0.1, 3).select("l_orderkey", "l_quantity")
+    """Blocks of 64 neighbouring orders, one in ten, drawn from their numbers."""
+    return tidy(L.sample_blocks(table(spark, sf, "lineitem"), 0.1, 3, "l_orderkey", 64).select(
+        "l_orderkey", "l_linenumber", "l_quantity"))
 
 
 @query("shuffle_chunks", """SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey

@@ -128,21 +128,29 @@ def baselines(spark, sf):
     return tidy(M.baselines(train, test).drop("y"))
 
 
-@query("class_baselines")
+_FOLD = "CAST('0x' || substr(md5(concat_ws('|', '{seed}', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 8) AS BIGINT) % {n}"
+_U = "CAST('0x' || substr(md5(concat_ws('|', {seed}, {k}, l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 13) AS BIGINT) / CAST(16 AS DOUBLE) ** 13"
+
+
+@query("class_baselines", rounded(f"""WITH d AS (SELECT *, CAST(l_returnflag = 'A' AS BIGINT) AS y, {_FOLD.format(seed=123454, n=1000)} AS b FROM lineitem)
+ SELECT {_KEYS}, y, p AS "Trivial", CAST({_U.format(seed=0, k=0)} < p AS BIGINT) AS "Random" FROM d, (SELECT avg(y) AS p FROM d WHERE b >= 200)
+ WHERE b < 200""", "Trivial"))
 def class_baselines(spark, sf):
-    """Class prior and a stratified random class (drawn with Spark's own hash)."""
+    """Class prior and a stratified random class."""
     rows = _lineitem_key(spark, sf).select(
         *_KEY, (F.col("l_returnflag") == "A").cast("int").alias("y"))
     train, test = T.train_test(rows, _KEY, 0.2)
     return tidy(M.class_baselines(train, test, "y", _KEY))
 
 
-@query("noisy_labels")
+@query("noisy_labels", rounded(f"""SELECT {_KEYS}, l_quantity + 0.1 * sqrt(-2 * ln(1 - {_U.format(seed=1, k=1)})) * cos(2 * pi() * {_U.format(seed=1, k=2)})
+ AS y, CAST(CASE WHEN {_U.format(seed=2, k=0)} < 0.05 THEN 1 - (l_returnflag = 'A')::INT ELSE (l_returnflag = 'A')::INT END AS BIGINT) AS c
+ FROM lineitem""", "y"))
 def noisy_labels(spark, sf):
-    """Gaussian noise on a regression target and flips on a class (random by design)."""
+    """Gaussian noise on a regression target and flips on a class."""
     rows = _lineitem_key(spark, sf).select(
         *_KEY, F.col("l_quantity").alias("y"), (F.col("l_returnflag") == "A").cast("int").alias("c"))
-    return tidy(T.flip_classes(T.label_noise(rows, "y", 0.1, 1), "c", 0.05, 2))
+    return tidy(T.flip_classes(T.label_noise(rows, "y", 0.1, 1, _KEY), "c", 0.05, 2, _KEY))
 
 
 # ---- learners ----------------------------------------------------------------------------
@@ -204,7 +212,6 @@ def topology_predictions(spark, sf):
     return tidy(M.score_rows(model, test, ["vec_id"], "y", classes=3))
 
 
-_FOLD = "CAST('0x' || substr(md5(concat_ws('|', '{seed}', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 8) AS BIGINT) % {n}"
 _SUMS = """count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS xx, covar_pop(x, y) * count(*) AS xy"""
 
 

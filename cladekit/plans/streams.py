@@ -43,3 +43,30 @@ def stream_topology_counts(spark, sf):
     counts = jobs.running_topology_counts(stream)
     jobs.store_totals(counts, f"{root}/out", f"{root}/ckpt").awaitTermination()
     return tidy(jobs.latest_totals(spark, f"{root}/out"))
+
+
+_WAVES, _LATE = 5, "2 days"
+
+
+@query("stream_event_windows", f"""WITH w AS (SELECT *, least((day(ts) - 1) // 6 + CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 11 = 0 THEN 3
+ ELSE 0 END, {_WAVES - 1}) AS wave, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start FROM events), tops AS (SELECT wave, max(ts) AS top
+ FROM w GROUP BY 1), marks AS (SELECT a.wave, max(b.top) - INTERVAL '{_LATE}' AS mark FROM tops a JOIN tops b ON b.wave < a.wave GROUP BY 1)
+ SELECT event_type, strftime(start, '%Y-%m-%d') AS start, count(*) AS n FROM w LEFT JOIN marks USING (wave) WHERE mark IS NULL
+ OR start + INTERVAL '1 day' > mark GROUP BY 1, 2""")
+def stream_event_windows(spark, sf):
+    """Events that arrive in waves, some of them late: those within the watermark count, later ones don't."""
+    root = work_path(spark, "events")
+    # event time needs an instant: the times of the table taken as those of UTC, whatever the session's zone is
+    parts = [f("ts") for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute)]
+    instant = F.make_timestamp(*parts, F.date_part(F.lit("SECOND"), F.col("ts")), F.lit("UTC"))
+    events = table(spark, sf, "events").select("event_id", "event_type", instant.alias("ts"), F.dayofmonth("ts").alias("day"))
+    late = F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 11 == 0, 3).otherwise(0)
+    wave = F.least(F.floor((F.col("day") - 1) / 6) + late, F.lit(_WAVES - 1))
+    events.withColumn("wave", wave).write.partitionBy("wave").parquet(f"{root}/all")
+    for k in range(_WAVES):
+        spark.read.schema(events.schema).parquet(f"{root}/all/wave={k}").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        counts = jobs.windowed_counts(stream, "ts", ["event_type"], "1 day", _LATE)
+        jobs.store_totals(counts, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return jobs.latest_totals(spark, f"{root}/out").select(
+        "event_type", F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86400).cast("int")).cast("string").alias("start"), "n")

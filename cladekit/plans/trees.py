@@ -11,7 +11,7 @@ from ..functions.labels import flatten_pairs, pair_labels
 from ..operators import permute as P
 from ..operators import quartets as Q
 from .registry import query, rounded, tidy
-from .tables import NEWICK, newick_trees, spread_trees, table, tasks
+from .tables import NEWICK, spread_trees, table, tasks
 
 _ID = "sid, tree_no, ds_no, line_no"
 _IDS = ["sid", "tree_no", "ds_no", "line_no"]

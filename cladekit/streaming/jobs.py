@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,19 +53,73 @@ def running_topology_counts(stream: DataFrame, key: str = "sid", tid: str = "tid
     return stream.groupBy(key, tid).agg(F.count(F.lit(1)).alias("n"))
 
 
-def store_totals(counts: DataFrame, target: str, checkpoint: str):
-    """Write the totals after every batch to a folder of their own; the newest one is current."""
+COMPACT = 32  # batches of changes before the totals are written whole
+
+
+def store_totals(counts: DataFrame, target: str, checkpoint: str, value: str = "n"):
+    """Keep the changed totals of every batch; each ``COMPACT`` batches all of them are written once and older ones go.
+
+    The totals themselves are state in the checkpoint. A batch writes a folder of its own, again if it is repeated.
+    """
+    keys = [c for c in counts.columns if c != value]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        rows, whole = batch, batch_id % COMPACT == COMPACT - 1
+        if whole:
+            before = _changes(batch.sparkSession, target, batch_id)
+            if before is not None:
+                rows = _newest(before.unionByName(batch.withColumn("batch", F.lit(batch_id))), keys, value)
+        rows.withColumn("whole", F.lit(whole)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        if whole:
+            # the last full table before this one is kept: a repeat of this batch starts from it
+            _drop_batches(batch.sparkSession, target, batch_id - COMPACT)
 
     return (
-        counts.writeStream.outputMode("complete").foreachBatch(write)
+        counts.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def latest_totals(spark: SparkSession, target: str) -> DataFrame:
-    """The newest stored totals."""
-    df = spark.read.parquet(target)
-    newest = df.agg(F.max("batch")).scalar()
-    return df.where(F.col("batch") == newest).drop("batch")
+def _changes(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """Stored changes from the last full table on, of batches below ``before``."""
+    try:
+        df = spark.read.parquet(target)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    df = df if before is None else df.where(F.col("batch") < before)
+    start = df.where("whole").agg(F.max("batch")).first()[0]
+    df = df if start is None else df.where(F.col("batch") >= start)
+    return df.drop("whole")
+
+
+def _newest(changes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return changes.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
+def _drop_batches(spark: SparkSession, target: str, below: int) -> None:
+    """Remove the folders of batches below a number."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < below:
+            fs.delete(status.getPath(), True)
+
+
+def latest_totals(spark: SparkSession, target: str, value: str = "n") -> DataFrame:
+    """The current totals: of each key the newest change since the last full table."""
+    changes = _changes(spark, target)
+    return _newest(changes, [c for c in changes.columns if c not in (value, "batch")], value)
+
+
+def windowed_counts(stream: DataFrame, time: str, keys: Sequence[str] = (), width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
+    """Rows per tumbling window and key: ``start``, keys, ``n``.
+
+    A row counts as long as its window has not ended ``late`` before the latest time seen in earlier batches; state of
+    older windows is dropped.
+    """
+    counted = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("_w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("_w.start").alias("start"), *keys, "n")

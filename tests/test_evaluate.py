@@ -136,8 +136,8 @@ def test_learners_beat_the_mean(spark):
 
 
 def test_labels_flip_at_the_stated_rate(spark):
-    df = spark.range(4000).select(F.lit(0).alias("c"))
-    flipped = G.flip_classes(df, "c", 0.1, 3).agg(F.avg("c")).first()[0]
+    df = spark.range(4000).select("id", F.lit(0).alias("c"))
+    flipped = G.flip_classes(df, "c", 0.1, 3, ["id"]).agg(F.avg("c")).first()[0]
     assert 0.07 < flipped < 0.13
 
 

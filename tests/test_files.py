@@ -122,6 +122,72 @@ def test_sinks_guard_and_skip_duplicates(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(matrix" in one._jdf.queryExecution().toString()
 
 
+def test_append_reads_only_files_that_can_hold_a_key(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+
+    def batch(names, nulls=0):
+        rows = [(n, k, "x") for n in names for k in range(3)] + [(None, k, "x") for k in range(nulls)]
+        return spark.createDataFrame(rows, "name string, k int, v string")
+
+    groups = [[f"{c}{i}" for i in range(20)] for c in "abc"] + [["a5x", "c7x"]]  # the last file spans all ranges
+    for names in groups:
+        sinks.append_new(batch(names).coalesce(1), path, ["name", "k"])
+    files_of = {r["f"].replace("file:///", "file:/"): set(r["n"]) for r in spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(
+        F.collect_set("name").alias("n")).collect()}
+    assert len(files_of) == 4
+    for names in (["b3"], ["a1", "c19"], ["a5x"], ["zz"], ["b3", "new"]):
+        found = sinks.files_with_keys(batch(names), path, ["name", "k"])
+        assert {f for f, held in files_of.items() if held & set(names)} == set(found), names  # ranges and filters leave no other
+        plan = spark.read.option("basePath", path).parquet(*found) if found else None
+        assert plan is None or {f.replace("file:///", "file:/") for f in plan.inputFiles()} == set(found)
+    assert spark.read.parquet(path + "/_keys").count() == 4  # each file once
+    before = spark.read.parquet(path).count()
+    for _ in range(2):
+        sinks.append_new(batch(["b3", "new"], nulls=2), path, ["name", "k"])
+        assert spark.read.parquet(path).count() == before + 5
+    monkeypatch.setattr(sinks, "FEW", 1)  # by range alone
+    assert len(sinks.files_with_keys(batch(["b3", "b4"]), path, ["name", "k"])) >= 1
+    sinks.append_new(batch(["b3", "newer"], nulls=1), path, ["name", "k"])
+    assert spark.read.parquet(path).count() == before + 8
+    # a store without an index, or with files that it lacks, is indexed first
+    other = str(tmp_path / "o")
+    batch(["a", "b"]).write.parquet(other)
+    sinks.append_new(batch(["b", "c"]), other, ["name", "k"])
+    assert spark.read.parquet(other).count() == 9
+
+
+def test_totals_write_their_changes_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT", 3)
+    source, target, ckpt = (str(tmp_path / n) for n in ("in", "t", "c"))
+    want = {}
+    for turn in range(8):
+        rows = [(k, turn % 2) for k in range(turn, turn + 4)]
+        for r in rows:
+            want[r] = want.get(r, 0) + 1
+        spark.createDataFrame(rows, "sid int, tid int").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("sid int, tid int").parquet(source)
+        jobs.store_totals(jobs.running_topology_counts(stream), target, ckpt).awaitTermination()
+        got = {(r.sid, r.tid): r.n for r in jobs.latest_totals(spark, target).collect()}
+        assert got == want
+    sizes = {r["batch"]: r["count"] for r in spark.read.parquet(target).groupBy("batch").count().collect()}
+    assert all(n == 4 for b, n in sizes.items() if b % 3 != 2)  # the others are full tables
+    assert min(sizes) >= 2  # older batches are gone
+
+
+def test_late_rows_within_the_watermark_count(spark, tmp_path):
+    source, target, ckpt = (str(tmp_path / n) for n in ("in", "t", "c"))
+    waves = [["10:05", "10:50"], ["12:10", "10:10"], ["10:20", "11:50", "12:20"], ["15:00"], ["12:30", "14:10", "13:59"]]
+    for times in waves:
+        rows = [(f"2024-01-01 {t}:00",) for t in times]
+        df = spark.createDataFrame(rows, "t string").select(F.col("t").cast("timestamp").alias("t"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("t timestamp").parquet(source)
+        jobs.store_totals(jobs.windowed_counts(stream, "t", width="1 hour", late="1 hour"), target, ckpt).awaitTermination()
+    got = {r.start.hour: r.n for r in jobs.latest_totals(spark, target).collect()}
+    # 10:20 comes when 11:10 is the mark, so its window has ended; 12:30 and 13:59 when it is 14:00
+    assert got == {10: 3, 11: 1, 12: 2, 15: 1, 14: 1}
+
+
 def test_stream_stores_each_tree_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     tree = "(4:9.0,(3:5.0,(1:2.0,2:2.5):3.0):4.0);\n"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cladekit.functions import scalars as S
 from cladekit.operators import quartets as Q
 from cladekit.operators import ranks as R
-from cladekit.operators.aggregates import poisson_one
+from cladekit.functions.draws import poisson_one
 from cladekit.operators.sampling import shuffled_genomes
 from cladekit.plans.registry import rounded, tidy
 
