@@ -105,29 +105,39 @@ def large_groups(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
             .select(*[F.col(k).alias(f"_r_{k}") for k in group]))
 
 
-def cut_points(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """``_edges`` of each large group: ``BUCKETS - 1`` values that cut it evenly, from a sketch.
+def cut_points(df: DataFrame, group: Sequence[str], value: str) -> DataFrame | None:
+    """``_edges`` of each large group: ``BUCKETS - 1`` values that cut it evenly, from a sketch; None if no group is large.
 
     The sketches of a group's parts are merged, so no rows are shuffled. They only place the cuts; counts behind
-    them are exact.
+    them are exact. The cuts are worked out at once, as ``SPLIT_GROUPS`` rows at most: a table without large groups, which most are,
+    then gets a plan without them.
     """
+    spark = df.sparkSession
     v = F.col(value).cast("double")
     edges = F.percentile_approx(v, [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY).alias("_edges")
     known = df.where(v.isNotNull() & ~F.isnan(v))
     if not group:
-        return known.agg(edges)
-    large = F.broadcast(large_groups(df, group, value))
+        row = known.agg(F.count(F.lit(1)).alias("n"), edges).first()
+        return spark.createDataFrame([(row["_edges"],)], "_edges array<double>") if row["n"] >= SPLIT_ROWS else None
+    chosen = large_groups(df, group, value)
+    found = chosen.collect()
+    if not found:
+        return None
+    large = F.broadcast(spark.createDataFrame(found, chosen.schema))
     rows = known.join(large, _null_safe(known, large, group), "left_semi")
-    return rows.groupBy(*[F.col(k).alias(f"_r_{k}") for k in group]).agg(edges)
+    cuts = rows.groupBy(*[F.col(k).alias(f"_r_{k}") for k in group]).agg(edges)
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
-def with_bucket(df: DataFrame, group: Sequence[str], value: str, edges: DataFrame | None = None) -> DataFrame:
+def with_bucket(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Add ``_bucket``, the number of the group's cut points below ``value``, and ``_cut``, whether the group has any.
 
-    The bucket never falls when the value rises. The cut points, at most ``SPLIT_GROUPS`` rows, are broadcast and searched
-    by halving. Filter on ``_cut``: a filter on the bucket would be worked out from its steps again, further down.
+    The bucket never falls when the value rises. The cut points are broadcast and searched by halving.
+    Filter on ``_cut``: a filter on the bucket would be worked out from its steps again, further down.
     """
-    edges = cut_points(df, group, value) if edges is None else edges
+    edges = cut_points(df, group, value)
+    if edges is None:
+        return df.withColumns({"_bucket": F.lit(0), "_cut": F.lit(False)})
     if group:
         small = F.broadcast(edges)
         out = df.join(small, _null_safe(df, small, group), "left").drop(*[f"_r_{k}" for k in group])

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import trees as T
 from ..functions.scalars import is_newick
-from .names import base_name, folder_name
+from .names import base_name, file_name, folder_name
 
 MIN_BYTES = 2048
 
@@ -209,7 +209,7 @@ def _taxa(rows: DataFrame) -> DataFrame:
     name = F.regexp_extract(F.trim("line"), r"^(\S+)", 1)
     seq = F.regexp_replace(F.regexp_extract(F.trim("line"), r"^\S+\s+(.*)$", 1), r"\s", "")
     return rows.select(
-        "file_path", F.regexp_replace(base_name("file_path"), r"\.nex$", "").alias("gene"),
+        "file_path", F.regexp_replace(file_name("file_path"), r"\.nex$", "").alias("gene"),
         (F.col("pos") + 1).alias("ix"), F.regexp_replace(name, "@", "_").alias("name"),
         seq.alias("seq"), F.length(seq).alias("seq_length"))
 

@@ -31,6 +31,12 @@ def folder_name(path) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
+def file_name(path) -> Column:
+    """Name of a file; of one part of a file kept as a folder (``key=name`` or ``name``), the folder's."""
+    folder = F.url_decode(F.regexp_replace(folder_name(path), "^[^=]*=", ""))
+    return F.when(base_name(path).startswith("part-"), folder).otherwise(base_name(path))
+
+
 def species_tree(df: DataFrame, name: str) -> DataFrame:
     """Branch lengths and canonical text of the species tree named ``t_<ta>_<tb>_<tc>``."""
     ta, tb, tc = (_part(name, SPECIES_TREE, i).cast("double") for i in (1, 2, 3))

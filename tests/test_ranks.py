@@ -45,9 +45,10 @@ def split(request, monkeypatch):
     monkeypatch.setattr(K, "SPLIT_ROWS", request.param)
 
 
-def test_bucket_never_falls(spark):
+def test_bucket_never_falls(spark, monkeypatch):
     values = sorted([0.0, -0.0, 1e-300, -1e-300, 5e-324, 1e300, -1e300, 1.0, 1.0000001, 2.0]
                     + [random.Random(3).gauss(0, 10) for _ in range(500)]) + [float("nan")]
+    monkeypatch.setattr(K, "SPLIT_ROWS", 100)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     got = [r._bucket for r in K.with_bucket(df, [], "v").orderBy("i").collect()]
     assert got == sorted(got) and got[0] == 0 and got[-1] == K.BUCKETS - 1
@@ -64,12 +65,16 @@ def test_buckets_are_even(spark, monkeypatch, value):
             assert r[-1] <= 0.01 * (100_000 if not group else 33_333)
 
 
-def test_rows_move_twice_at_most(spark):
+def test_rows_move_twice_at_most(spark, monkeypatch):
     """Once to add up equal values, once to their buckets; all other exchanges carry sums or sketches."""
+    monkeypatch.setattr(K, "SPLIT_ROWS", 100)
     df = spark.range(1000).selectExpr("cast(id as double) as v", "id % 3 as g")
     plan = K.value_positions(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_bucket" in line]
     assert len(moved) == 3  # the third holds bucket totals
+    monkeypatch.setattr(K, "SPLIT_ROWS", 10_000)
+    whole = K.value_positions(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange ") == 2 and "percentile" not in whole and "Join" not in whole
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
