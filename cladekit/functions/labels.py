@@ -20,10 +20,6 @@ def pair_labels(leaves=LEAVES, diag: bool = False) -> list[str]:
     return ["_".join(p) for p in pairs]
 
 
-def tip_labels(leaves=LEAVES) -> list[str]:
-    return [f"{x}_{x}" for x in leaves]
-
-
 def subsets(leaves, size: int) -> list[tuple[str, ...]]:
     return list(combinations(leaves, size))
 

@@ -76,12 +76,6 @@ def modes(df: DataFrame, key: str, value: str, last: str = "*", name: str = "mod
         F.array_join(F.transform(ordered, lambda s: s["v"]), "/").alias(name))
 
 
-def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name="variable",
-         value="value", keep_null: bool = True) -> DataFrame:
-    long = unpivot(df, ids, values, name, value)
-    return long if keep_null else long.where(F.col(value).isNotNull())
-
-
 def mean_table(df: DataFrame, index: Sequence[str], column: str, value: str, levels: Sequence):
     """Means spread over one column per level; levels are stated, so no extra job runs."""
     return df.groupBy(*index).pivot(column, list(levels)).agg(F.avg(value))
@@ -300,5 +294,3 @@ def rolling_pair_mean(df: DataFrame, keys: Sequence[str], order: str, value: str
     """Mean with the previous row of a small, already aggregated series; NULL on its first row."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-1, 0)
     return F.when(F.count(F.lit(1)).over(w) == 2, F.avg(value).over(w))
-
-

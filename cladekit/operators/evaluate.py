@@ -334,6 +334,12 @@ def model_maps(
     return out.withColumn("log_ibl", F.log10("ibl")) if "ibl" in keys else out
 
 
+def model_hits(df: DataFrame, models: Sequence[str], p: str, keys: Sequence[str] = CONDITION, share: float = 0.8) -> DataFrame:
+    """Interval hits of every model by condition."""
+    long = unpivot(df.withColumn("_p", F.col(p)), [*keys, "_p"], models, "model", "value")
+    return interval_hits(long, [*keys, "model"], "_p", "value", share)
+
+
 def nearest_on_grid(
     conditions: DataFrame, value: str, steps: int = 100, scale: float = 0.01,
     x: str = "ebl", y: str = "ibl",

@@ -250,12 +250,6 @@ def partial_dependence(
     return out.withColumn("value", F.col("value") - F.col("_v0")).drop("_v0")
 
 
-def grid_values(df: DataFrame, feature: str, steps: int = 20) -> list[float]:
-    """Equally spaced values between the 5 and 95 % quantiles; only the two ends are read."""
-    low, high = group_quantiles(df, [], feature, {"a": 0.05, "b": 0.95}).first()
-    return [low + i * (high - low) / (steps - 1) for i in range(steps)]
-
-
 def linear_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
     """Slope, intercept, R2, F and n of a straight line."""
     n = F.regr_count(y, x)
@@ -265,10 +259,6 @@ def linear_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataF
         r2.alias("r2"), (F.try_divide(r2, 1 - r2) * (n - 2)).alias("f"), n.cast("long").alias("n"))
 
 
-def model_column(model, name: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda d: model.transform(d).withColumnRenamed("prediction", name)
-
-
 def predictions_wide(df: DataFrame, keys: Sequence[str], learners: Sequence[str]) -> DataFrame:
     """Out-of-fold predictions with one column per learner."""
     cells: list[Column] = [

@@ -49,15 +49,6 @@ def without_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.where(~F.col(column).startswith(prefix))
 
 
-def one_of_each_clade(clades: Column, needed: Sequence[str] = ("1", "2", "3", "4")) -> Column:
-    """True when every clade occurs exactly once in the array."""
-    def same(k):
-        return lambda x: x == k
-
-    each = [F.size(F.filter(clades, same(k))) == 1 for k in needed]
-    return functools.reduce(lambda a, b: a & b, each)
-
-
 def some_of_each_clade(clades: Column, needed: Sequence[str] = ("1", "2", "3", "4")) -> Column:
     each = [F.array_contains(clades, k) for k in needed]
     return functools.reduce(lambda a, b: a & b, each)

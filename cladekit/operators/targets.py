@@ -123,10 +123,6 @@ def vector_pipeline(columns: Sequence[str], scale: bool = True) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def save_pipeline(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 

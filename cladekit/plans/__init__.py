@@ -4,6 +4,7 @@ from importlib import import_module
 
 SUBJECTS = (
     "relational", "genomes", "statistics", "evaluation", "trees", "scoring", "storage", "streams", "whole_jobs",
+    "parts",
 )
 
 

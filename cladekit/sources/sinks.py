@@ -113,10 +113,6 @@ def bulk_load(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def bulk_load_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
-    df.write.mode("append").option("batchsize", 10000).jdbc(url, table, properties=properties or {})
-
-
 def write_matrix(df: DataFrame, path: str, keys: Sequence[str], overwrite: bool = False) -> None:
     """Genome matrix with sorted rows and columns; fails if it exists unless told otherwise."""
     mode = "overwrite" if overwrite else "errorifexists"
