@@ -236,12 +236,11 @@ def pair_flatten(spark, sf):
 
 # ---- permutations ------------------------------------------------------------------------
 
-_MATRIX = ["1_2__mean__1", "1_2__mean__2", "1_2__mean__3", "1_3__mean__1", "1_3__mean__2", "1_3__mean__3",
-           "2_3__mean__1", "2_3__mean__2", "2_3__mean__3", "1_4__mean__1", "1_4__mean__2", "1_4__mean__3",
-           "2_4__mean__1", "2_4__mean__2", "2_4__mean__3", "3_4__mean__1", "3_4__mean__2", "3_4__mean__3",
-           "top_1__mean__1", "top_1__mean__2", "top_1__mean__3", "top_2__mean__1", "top_2__mean__2",
-           "top_2__mean__3", "top_3__mean__1", "top_3__mean__2", "top_3__mean__3", "counts____1",
-           "counts____2", "counts____3"]
+# all 64 entries of a vector: the columns of a genome row, and one that no exchange moves
+_MATRIX = [
+    *[f"{f}__{s}__{t}" for f in ("1_2", "1_3", "2_3", "1_4", "2_4", "3_4", "top_1", "top_2", "top_3", "nsites")
+      for s in ("mean", "std") for t in (1, 2, 3)],
+    "counts____1", "counts____2", "counts____3", "ibl"]
 
 
 def _matrix(spark, sf):
@@ -262,10 +261,13 @@ def _moved_sql(swap: int) -> list[str]:
 
     out = []
     for c in _MATRIX:
+        if "__" not in c:
+            out.append(c)
+            continue
         f, s, t = c.split("__")
         if f[0] == "t":
             f = "top_" + tid[int(f[-1]) - 1]
-        elif f != "counts":
+        elif f not in ("counts", "nsites"):
             f = "_".join(sorted(map(leaf_swap, f.split("_"))))
         out.append(f"{f}__{s}__{tid[int(t) - 1]}")
     return out
