@@ -232,14 +232,14 @@ def cross_validate(df: DataFrame, columns: Sequence[str], keys: Sequence[str], y
     usable = with_fold(df, keys, folds, seed)
     for c in (*columns, y):
         usable = usable.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-    rows = usable.select(*keys, F.col("fold").alias("_own"), F.col(y).cast("double").alias("y_true"), F.array(
-        *[F.col(c).cast("double") for c in columns]).alias("_x"))
+    rows = usable.select(*keys, F.col("fold").alias("_own"), F.col(y).cast("double").alias("y_true"), *[
+        F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     # every model scores every row: the models are few and broadcast, so their table is attached as one array
     table = fitted.agg(F.collect_list(F.struct("fold", "learner", "beta", "intercept")).alias("_m"))
     each = rows.withColumn("_m", F.explode(table.scalar())).select(
         *keys, "y_true", F.col("_m.learner").alias("learner"), F.col("_m.fold").alias("fold"),
         F.when(F.col("_m.fold") == F.col("_own"), "test").otherwise("train").alias("part"),
-        (F.col("_m.intercept") + F.aggregate(F.zip_with("_x", "_m.beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("preds"))
+        sum((F.col(f"_x{i}") * F.get("_m.beta", F.lit(i)) for i in range(len(columns))), F.col("_m.intercept")).alias("preds"))
     gap = F.col("y_true") - F.col("preds")
     scores = each.groupBy("learner", "part", "fold").agg(
         F.avg(gap * gap).alias("MSE"), F.avg(F.abs(gap)).alias("MAE"),
