@@ -158,12 +158,14 @@ def _paths(branches: DataFrame, label: str) -> DataFrame:
 def link_quotations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, reply_turn, depth, n_quotes, n_linked and body of every message."""
     least = F.lit(-(1 << 63)).cast("long")
+    # messages are numbered as they are, since the range sort reads its input twice, and parsed once after
     base = messages.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("conv_id", least).cast("long").alias("conv"),
-        F.explode(F.array(parsed(F.col("text")))).alias("m"), F.md5(F.coalesce("text", F.lit(""))).alias("_text"))
-    flat = base.select("conv_id", "turn", "role", "conv", "_text", "m.body", "m.quotes", "m.said")
-    rows = stored(numbered(flat, F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("_text"),
-                           label="messages").drop("_text"), "messages-numbered")
+        "text", F.md5(F.coalesce("text", F.lit(""))).alias("_text"))
+    placed = numbered(base, F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("_text"),
+                      label="messages")
+    read = placed.select("conv_id", "turn", "role", "conv", "row", F.explode(F.array(parsed(F.col("text")))).alias("m"))
+    rows = stored(read.select("conv_id", "turn", "role", "conv", "row", "m.body", "m.quotes", "m.said"), "messages-numbered")
     firsts = rows.groupBy("conv").agg(F.min("row").alias("first"))
     linked = _links(rows)
     placed = (rows.join(firsts, "conv").join(linked, "row", "left")
