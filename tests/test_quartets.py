@@ -87,3 +87,23 @@ def test_repeated_rows_and_missing_keys(spark):
     names = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 3, "z"), (2, 1, "q")], "g int, ix int, name string")
     out = Q.attach_each(rows, names, "g", "ix", "name", ["a", "b"], ["na", "nb"])
     assert sorted((r.g, r.na, r.nb, r.w) for r in out.collect()) == [(1, "x", "y", 0.5), (1, "x", "y", 0.5), (2, "z", "z", 1.0)]
+
+
+def test_a_generated_source_is_joined_by_its_measured_size(spark):
+    """Names made by a generator look small to the planner; they are not broadcast when they are not."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        genes = spark.range(40).select(F.col("id").alias("gene"))
+        taxa = genes.select("gene", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("ix")).withColumn(
+            "name", F.concat(F.lit("taxon"), F.col("ix").cast("string")))
+        rows = genes.select("gene", F.lit(3).alias("a"), F.lit(1000).alias("b"))
+        out = Q.attach_each(rows, taxa, "gene", "ix", "name", ["a", "b"], ["x", "y"])
+        assert {(r.x, r.y) for r in out.collect()} == {("taxon3", "taxon1000")}
+        assert out.count() == 40
+        plan = out._jdf.queryExecution()
+        out._jdf.collectToPython()
+        final = plan.executedPlan().toString().split("Initial Plan")[0]
+        assert "BuildRight" not in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
