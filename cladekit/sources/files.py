@@ -253,5 +253,10 @@ def read_by_gene(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("gene", F.regexp_extract(own, r"^([^.]*)", 1))
 
 
+TASK_ROWS = 1_000_000  # rows of a partition after a read
+
+
 def read_repartitioned(spark: SparkSession, path: str, partitions: int) -> DataFrame:
-    return spark.read.parquet(path).repartition(partitions)
+    """A stored table in ``partitions`` parts; in more where they would hold over ``TASK_ROWS`` rows. Files tell their rows without a scan."""
+    df = spark.read.parquet(path)
+    return df.repartition(max(partitions, -(-df.count() // TASK_ROWS)))

@@ -207,3 +207,12 @@ def test_stream_stores_each_tree_once(spark, tmp_path):
         spark.readStream.schema(rows.schema).parquet(out), "file_path")
     jobs.store_totals(counts, str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()
     assert jobs.latest_totals(spark, str(tmp_path / "t")).agg(F.sum("n")).first()[0] == 4
+
+
+def test_a_stored_table_is_read_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TASK_ROWS", 100, raising=False)
+    spark.range(1000).write.parquet(str(tmp_path / "a"))
+    out = files.read_repartitioned(spark, str(tmp_path / "a"), 2)
+    assert out.rdd.getNumPartitions() == 10
+    assert out.agg({"id": "sum"}).first()[0] == 499_500 and out.count() == 1000
+    assert files.read_repartitioned(spark, str(tmp_path / "a"), 16).rdd.getNumPartitions() == 16
