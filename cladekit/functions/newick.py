@@ -1,7 +1,6 @@
 """Trees as rows: distances, covariances and topologies straight from newick text.
 
-A tree stays one row. Its brackets are read with array functions, so nothing here
-shuffles and no Python runs per tree. Measures of a few taxa come from the intervals of ``trees``.
+A tree stays one row, so nothing here shuffles. Measures of a few taxa come from the intervals of ``trees``.
 ``leaf_paths`` gives, for every leaf, its own length and the inner nodes above it, for trees
 whose leaves become rows.
 """
@@ -114,8 +113,8 @@ def with_leaves(df, newick: str = "newick", name: str = "_leaves", taxa=LEAVES):
     return T.with_taxa(df.withColumn(name, leaf_paths(newick)), newick, taxa)
 
 
-def without_leaves(df, name: str = "_leaves", taxa=LEAVES):
-    return df.drop(name, "_cells", *[f"_at{t}" for t in taxa])
+def without_leaves(df, name: str = "_leaves"):
+    return df.drop(name, "_taxa")
 
 
 def pair_distances(taxa=LEAVES) -> dict[str, Column]:

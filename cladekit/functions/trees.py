@@ -4,7 +4,8 @@ The leaves of a newick text are numbered as they stand, so every inner node cove
 a struct of leaf names and edges ``(lo, hi, len)``: an edge leads to the node above leaves ``lo`` to ``hi``, and with
 ``lo = hi`` to a leaf or to a node above that leaf alone. One pass over the brackets gives all of it. Taking a new root turns
 edges into their complements, pruning maps their ends to the leaves that are kept, and edges that come to cover the same leaves
-are one edge whose lengths add up. No step looks at pairs of nodes, nothing is shuffled and no Python runs.
+are one edge whose lengths add up. No step looks at pairs of nodes and nothing is shuffled. The steps work on batches of rows
+(``forests``); steps put into one another run in one pass, without a column between them.
 
 Cases: NULL text gives NULL; white space and ``[...]`` notes are skipped; a missing length counts 0; names of inner
 nodes are dropped; a text without a leaf has no edges.
@@ -17,11 +18,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import forests as B
+
 TOKEN = r"(\(|\)[^(),;]*|[^(),;]+)"
-_EDGES = "array<struct<lo:int,hi:int,len:double>>"
-_STATE = f"struct<at:int,open:array<int>,found:{_EDGES}>"
+_TREE = "struct<names:array<string>,edges:array<struct<lo:int,hi:int,len:double>>>"
 _SPANS = "struct<at:int,low:int,high:int,open:array<struct<at:int,low:int,high:int>>,found:array<long>,whole:boolean>"
-_MARK = "\x01"  # before each leaf while a text is put together
 
 
 def _c(x) -> Column:
@@ -33,24 +34,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _edge(lo: Column, hi: Column, length: Column) -> Column:
-    return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), length.cast("double").alias("len"))
-
-
-def _tree(names: Column, edges: Column) -> Column:
-    return F.struct(names.alias("names"), edges.alias("edges"))
-
-
 def tokens(newick) -> Column:
     plain = F.regexp_replace(_c(newick), r"\s|\[[^\]]*\]", "")
     return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(1))
 
 
-def _length(token: Column) -> Column:
-    number = F.substring_index(token, ":", -1).try_cast("double")
-    return F.when(F.contains(token, F.lit(":")), F.coalesce(number, F.lit(0.0))).otherwise(0.0)
-
-
 def _closes(token: Column) -> Column:
     return F.startswith(token, F.lit(")"))
 
@@ -63,40 +51,20 @@ def _names(leaves: Column) -> Column:
     return F.transform(leaves, lambda t: F.substring_index(t, ":", 1))
 
 
-def parse(newick) -> Column:
-    """struct<names, edges>: inner edges in the order in which their brackets close, then the leaves'."""
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("open"), F.array().alias("found")).cast(_STATE)
-
-    def step(acc, token):
-        last = F.size(acc["open"]) - 1
-        return (
-            F.when(token == F.lit("("), F.struct(
-                acc["at"].alias("at"), F.concat(acc["open"], F.array(acc["at"])).alias("open"), acc["found"].alias("found")))
-            .when(_closes(token), F.struct(
-                acc["at"].alias("at"), F.slice(acc["open"], F.lit(1), F.greatest(last, F.lit(0))).alias("open"),
-                F.concat(acc["found"], F.array(_edge(F.get(acc["open"], last), acc["at"] - 1, _length(token)))).alias("found")))
-            .otherwise(F.struct((acc["at"] + 1).alias("at"), acc["open"].alias("open"), acc["found"].alias("found")))
-        )
+# ---- from texts to trees ------------------------------------------------------------------------
 
-    def built(toks):
-        inner = F.aggregate(toks, start, step, lambda acc: acc["found"])
-        return let(_leaf_tokens(toks), lambda leaves: _tree(
-            _names(leaves), F.concat(inner, F.transform(leaves, lambda t, i: _edge(i, i, _length(t))))))
+def _of_text(work, kind: str, text) -> Column:
+    return F.arrow_udf(lambda x: work(B.parse(x)), kind)(_c(text))
 
-    return let(tokens(newick), built)
 
+def _of_tree(work, kind: str, tree, *more: Column) -> Column:
+    """``work`` on a batch of trees. A NULL tree stays NULL."""
+    return F.arrow_udf(lambda x, *y: work(B.from_arrow(x), *y), kind)(_c(tree), *more)
 
-def position(tree, name) -> Column:
-    """0-based number of a leaf, NULL when the tree lacks it."""
-    name = F.lit(name) if isinstance(name, str) else name
-    at = F.array_position(_c(tree)["names"], name)
-    return F.when(at > 0, (at - 1).cast("int"))
 
-
-def leaf_length(tree, at: Column) -> Column:
-    """Length of the branch that ends in a leaf."""
-    tree = _c(tree)
-    return F.get(tree["edges"], F.size(tree["edges"]) - F.size(tree["names"]) + at)["len"]
+def parse(newick) -> Column:
+    """struct<names, edges>: inner edges in the order in which their brackets close, then the leaves'."""
+    return _of_text(B.to_arrow, _TREE, newick)
 
 
 # ---- equal clades --------------------------------------------------------------------------
@@ -166,56 +134,15 @@ def same_clades(a, b) -> Column:
 
 # ---- new roots, fewer leaves ------------------------------------------------------------------
 
-def _merged(edges: Column) -> Column:
-    """Edges over the same leaves as one, their lengths added, in the order of (lo, hi)."""
-    def step(acc, e):
-        last = F.get(acc, F.size(acc) - 1)
-        same = (last["lo"] == e["lo"]) & (last["hi"] == e["hi"])
-        return F.when(F.coalesce(same, F.lit(False)), F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(_edge(e["lo"], e["hi"], last["len"] + e["len"])))
-        ).otherwise(F.concat(acc, F.array(e)))
-
-    return F.aggregate(F.array_sort(edges), F.array().cast(_EDGES), step)
-
-
-def _arranged(names: Column, edges: Column) -> Column:
-    """A tree from merged edges: inner ones first, the root's length 0."""
-    n = F.size(names)
-    inner = F.filter(edges, lambda e: e["lo"] < e["hi"])
-    rootless = F.transform(inner, lambda e: _edge(
-        e["lo"], e["hi"], F.when((e["lo"] == 0) & (e["hi"] == n - 1), 0.0).otherwise(e["len"])))
-    return _tree(names, F.concat(rootless, F.filter(edges, lambda e: e["lo"] == e["hi"])))
-
-
 def reroot(tree, outgroup) -> Column:
     """The tree rooted halfway along the branch of a leaf, which comes first; NULL when the tree lacks it.
 
     The leaves are numbered round from the outgroup on. A node above it then leads to all leaves it did not hold; what
     was the old root and has one child left goes, its two branches being one.
     """
-    def turned(t, p):
-        names, n = t["names"], F.size(t["names"])
-        rotated = F.concat(F.slice(names, p + 1, n), F.slice(names, F.lit(1), p))
-        def moved(e):
-            above = (e["lo"] <= p) & (e["hi"] >= p) & (e["lo"] < e["hi"])
-            return F.when(above, _edge(e["hi"] + 1 - p, n - 1 + e["lo"] - p, e["len"])).otherwise(
-                _edge(F.pmod(e["lo"] - p, n), F.pmod(e["hi"] - p, n), e["len"]))
-
-        # the whole tree's complement is empty: that edge is no more
-        new = F.filter(F.transform(t["edges"], moved), lambda e: e["lo"] <= e["hi"])
-        more = F.array(_edge(F.lit(0), n - 1, F.lit(0.0)), _edge(F.lit(1), n - 1, F.lit(0.0)))
-
-        def halved(edges):
-            def is_end(e):
-                return ((e["lo"] == 0) & (e["hi"] == 0)) | ((e["lo"] == 1) & (e["hi"] == n - 1))
-
-            both = F.aggregate(F.filter(edges, is_end), F.lit(0.0), lambda a, e: a + e["len"])
-            return let(both, lambda total: F.transform(edges, lambda e: _edge(
-                e["lo"], e["hi"], F.when(is_end(e), total / 2).otherwise(e["len"]))))
-
-        return F.when(n == 1, t).otherwise(_arranged(rotated, let(_merged(F.concat(new, more)), halved)))
-
-    return let(_c(tree), lambda t: let(position(t, outgroup), lambda p: F.when(p.isNotNull(), turned(t, p))))
+    if isinstance(outgroup, Column):
+        return _of_tree(lambda f, o: B.to_arrow(B.reroot(f, o)), _TREE, tree, outgroup)
+    return _of_tree(lambda f: B.to_arrow(B.reroot(f, outgroup)), _TREE, tree)
 
 
 def prune(tree, taxa, rename: Mapping[str, str] | None = None) -> Column:
@@ -223,60 +150,16 @@ def prune(tree, taxa, rename: Mapping[str, str] | None = None) -> Column:
 
     ``taxa`` is a list of names or an array column.
     """
-    wanted = taxa if isinstance(taxa, Column) else F.array(*[F.lit(t) for t in taxa]) if taxa else F.array().cast("array<string>")
-
-    def kept(t):
-        names = t["names"]
-        flags = F.transform(names, lambda n: F.array_contains(wanted, n).cast("int"))
-        # how many leaves are kept before each, and in all
-        before = F.aggregate(flags, F.array(F.lit(0)), lambda a, f: F.concat(a, F.array(F.get(a, F.size(a) - 1) + f)))
-
-        def cut(b):
-            edges = F.transform(t["edges"], lambda e: _edge(F.get(b, e["lo"]), F.get(b, e["hi"] + 1) - 1, e["len"]))
-            left = F.filter(names, lambda n: F.array_contains(wanted, n))
-            return _arranged(renamed(left, rename), _merged(F.filter(edges, lambda e: e["lo"] <= e["hi"])))
-
-        there = F.size(F.array_except(wanted, names)) == 0
-        return F.when(there, let(before, cut))
-
-    return let(_c(tree), kept)
-
-
-def renamed(names: Column, rename: Mapping[str, str] | None) -> Column:
-    if not rename:
-        return names
-    table = F.create_map(*[F.lit(x) for pair in rename.items() for x in pair])
-    return F.transform(names, lambda n: F.coalesce(F.try_element_at(table, n), n))
+    if isinstance(taxa, Column):
+        return _of_tree(lambda f, wanted: B.to_arrow(B.prune(f, wanted, rename)), _TREE, tree, taxa)
+    return _of_tree(lambda f: B.to_arrow(B.prune(f, taxa, rename)), _TREE, tree)
 
 
 # ---- text ---------------------------------------------------------------------------------------
 
 def standard(tree) -> Column:
     """Children of every node ordered by their number of leaves, then by their least leaf name."""
-    def sorted_tree(t):
-        names, edges = t["names"], t["edges"]
-
-        def rank(e):
-            return F.struct((e["hi"] - e["lo"]).alias("size"), F.array_min(
-                F.slice(names, e["lo"] + 1, e["hi"] - e["lo"] + 1)).alias("least"), e["lo"].alias("lo"), e["hi"].alias("hi"))
-
-        def by_path(ranked):
-            def key(n, i):
-                above = F.filter(ranked, lambda r: (r["lo"] <= i) & (r["hi"] >= i))
-                path = F.transform(F.sort_array(above, asc=False), lambda r: F.struct(r["size"], r["least"]))
-                return F.struct(path.alias("path"), i.alias("i"), n.alias("n"))
-
-            return F.array_sort(F.transform(names, key))
-
-        def moved(order):
-            place = F.transform(F.array_sort(F.transform(order, lambda o, k: F.struct(o["i"].alias("i"), k.alias("k")))), lambda o: o["k"])
-            return let(place, lambda p: _arranged(F.transform(order, lambda o: o["n"]), _merged(F.transform(edges, lambda e: let(
-                F.array_min(F.slice(p, e["lo"] + 1, e["hi"] - e["lo"] + 1)),
-                lambda lo: _edge(lo, lo + e["hi"] - e["lo"], e["len"]))))))
-
-        return let(let(F.transform(edges, rank), by_path), moved)
-
-    return let(_c(tree), sorted_tree)
+    return _of_tree(lambda f: B.to_arrow(B.standard(f)), _TREE, tree)
 
 
 def number_text(x: Column) -> Column:
@@ -292,24 +175,7 @@ def number_text(x: Column) -> Column:
 
 def text(tree, lengths: bool = True) -> Column:
     """Newick text of a tree, with lengths on all branches but the root's, or with leaf names only."""
-    def written(t):
-        n = F.size(t["names"])
-
-        def token(e):
-            root = (e["lo"] == 0) & (e["hi"] == n - 1) & (n > 1)
-            size = F.when(root, F.lit("")).otherwise(F.concat(F.lit(":"), number_text(e["len"]))) if lengths else F.lit("")
-            close = F.struct(e["hi"].alias("at"), F.lit(2).alias("kind"), (-e["lo"]).alias("k"), F.concat(F.lit(")"), size).alias("text"))
-            leaf = F.struct(e["lo"].alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("k"),
-                            F.concat(F.lit(_MARK), F.get(t["names"], e["lo"]), size).alias("text"))
-            opens = F.struct(e["lo"].alias("at"), F.lit(0).alias("kind"), (-e["hi"]).alias("k"), F.lit("(").alias("text"))
-            return F.when(e["lo"] == e["hi"], F.array(leaf)).otherwise(F.array(opens, close))
-
-        events = F.array_sort(F.flatten(F.transform(t["edges"], token)))
-        joined = F.array_join(F.transform(events, lambda e: e["text"]), "")
-        spaced = F.regexp_replace(joined, f"(?<=[^(])(?=[({_MARK}])", ",")
-        return F.concat(F.translate(spaced, _MARK, ""), F.lit(";"))
-
-    return let(_c(tree), written)
+    return _of_tree(lambda f: B.text(f, lengths), "string", tree)
 
 
 def clade_rows(tree) -> Column:
@@ -321,45 +187,27 @@ def clade_rows(tree) -> Column:
 # ---- a few taxa of a tree ---------------------------------------------------------------------
 
 def with_taxa(df, newick: str, taxa: Sequence[str]):
-    """Add ``_at<taxon>`` leaf lengths and ``_cells``: for each inner edge which of the taxa it holds (bits) and its length."""
-    tree = df.withColumn("_tree", parse(newick))
-    tree = tree.withColumns({f"_p{t}": position("_tree", t) for t in taxa})
-
-    def cell(e):
-        bits = [F.when((e["lo"] <= F.col(f"_p{t}")) & (e["hi"] >= F.col(f"_p{t}")), F.lit(1 << k)).otherwise(0)
-                for k, t in enumerate(taxa)]
-        return F.struct(sum(bits[1:], bits[0]).alias("bits"), e["len"].alias("len"))
-
-    inner = F.slice("_tree.edges", F.lit(1), F.size("_tree.edges") - F.size("_tree.names"))
-    return tree.withColumns({
-        "_cells": F.filter(F.transform(inner, cell), lambda x: x["bits"] != 0),
-        **{f"_at{t}": leaf_length("_tree", F.col(f"_p{t}")) for t in taxa}}).drop("_tree", *[f"_p{t}" for t in taxa])
+    """Add ``_taxa``, the measures of the wanted taxa in the tree."""
+    taxa = list(taxa)
+    kind = "struct<apart:array<double>,steps:array<int>,above:array<double>>"
+    return df.withColumn("_taxa", _of_text(lambda f: B.measures(f, taxa), kind, newick))
 
 
-def _one_of(x: Column, a: int, b: int) -> Column:
-    both = (1 << a) | (1 << b)
-    held = x["bits"].bitwiseAND(both)
-    return (held != 0) & (held != both)
+def _of_pair(measure: str, a: int, b: int, taxa: Sequence[str]) -> Column:
+    pairs = B.pairs(len(taxa))
+    return F.get(F.col(f"_taxa.{measure}"), F.lit(len(pairs) + a if a == b else pairs.index((min(a, b), max(a, b)))))
 
 
 def apart(a: int, b: int, taxa: Sequence[str]) -> Column:
     """Path length between two taxa."""
-    between = F.aggregate("_cells", F.lit(0.0), lambda s, x: s + F.when(_one_of(x, a, b), x["len"]).otherwise(0.0))
-    return F.col(f"_at{taxa[a]}") + F.col(f"_at{taxa[b]}") + between
+    return _of_pair("apart", a, b, taxa)
 
 
 def edges_apart(a: int, b: int, taxa: Sequence[str]) -> Column:
     """Number of edges between two taxa."""
-    there = F.col(f"_at{taxa[a]}").isNotNull() & F.col(f"_at{taxa[b]}").isNotNull()
-    return F.when(there, F.size(F.filter("_cells", lambda x: _one_of(x, a, b))) + 2)
+    return _of_pair("steps", a, b, taxa)
 
 
 def above_both(a: int, b: int, taxa: Sequence[str]) -> Column:
     """Length from the root to the common ancestor of two taxa; to the leaf itself for one."""
-    both = (1 << a) | (1 << b)
-    shared = F.aggregate("_cells", F.lit(0.0), lambda s, x: s + F.when(
-        x["bits"].bitwiseAND(both) == both, x["len"]).otherwise(0.0))
-    first, second = F.col(f"_at{taxa[a]}"), F.col(f"_at{taxa[b]}")
-    if a == b:
-        return shared + first
-    return F.when(first.isNotNull() & second.isNotNull(), shared)
+    return _of_pair("above", a, b, taxa)

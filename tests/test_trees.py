@@ -187,3 +187,35 @@ def test_small_lengths_survive(spark):
     df = spark.createDataFrame([(0, "(a:1e-7,b:123456789.5,c:0.1,d:1E30,e:1.2345678901234566E-9,f:x);")], "i int, newick string")
     assert df.select(T.text(T.parse("newick"))).first()[0] == (
         "(a:0.0000001,b:123456789.5,c:0.1,d:1.0E30,e:1.2345678901234566E-9,f:0);")
+
+
+def test_steps_run_in_one_pass_over_batches(spark, texts):
+    df = rows(spark, texts).select(T.text(T.reroot(T.standard(T.prune(T.parse("newick"), ["t0", "t1"])), "t1")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan
+
+
+def test_brackets_too_many_and_null(spark):
+    odd = [None, "", ";", "(1:1,2:2)):3,4:5;", "((1:1,2:+2):x,3:1_0", "()(1:1d,2:\t2 [n] );", "(\u00e4:1,2:1e1,3):1;"]
+    got = found(rows(spark, odd), T.text(T.parse("newick")), T.text(T.standard(T.prune(T.parse("newick"), ["1"]))))
+    assert got == [(None, None), (";", None), (";", None), ("(1:1,2:2):0,4:5;", "1:1;"), ("(1:1,2:2):0,3:0;", "1:1;"),
+                   ("(1:1,2:2);", "1:1;"), ("(\u00e4:1,2:10,3:0);", None)]
+
+
+def test_deep_trees_in_parts(spark, monkeypatch):
+    from cladekit.functions import forests as B
+
+    deep = "t0:1"
+    for k in range(1, 60):
+        deep = f"({deep},t{k:02d}:1):1"
+    batch = B.pa.array([deep + ";", None, "(b:1,a:2);", deep + ";"])
+    whole = B.text(B.standard(B.parse(batch)), True)
+    monkeypatch.setattr(B, "PAIRS_AT_ONCE", 16)
+    assert B.text(B.standard(B.parse(batch)), True) == whole
+    assert whole.to_pylist()[0] == shape_with(ordered(read(deep + ";"))) and whole.to_pylist()[1:3] == [None, "(a:2,b:1);"]
+
+
+def shape_with(node, root=True):
+    size = "" if root else f":{node[1]:g}"
+    body = "(" + ",".join(shape_with(c, False) for c in node[2]) + ")" if node[2] else node[0]
+    return body + size + (";" if root else "")
