@@ -89,3 +89,50 @@ def test_large_files_number_lines_like_small_ones(spark, tmp_path):
             (r.tree_no, r.newick) for r in small.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_genome_rows_over_batches(spark):
+    from cladekit.operators.summary import genome_rows
+
+    nan = float("nan")
+    values = [("a", 1.0, 1, 2.0), ("a", 1.0, 1, 5.0), ("a", 1.0, 1, None), ("a", 1.0, 2, nan), ("a", 1.0, 2, 1.0), ("a", 1.0, None, 9.0),
+              ("b", -0.0, 3, 4.0), ("b", 0.0, 3, 4.0), ("b", None, 3, 4.0), *[("c", 0.0, 1, float(k)) for k in range(40)]]
+    df = spark.createDataFrame(values, "k string, e double, tid int, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = genome_rows(df, ["k", "e"], ["x"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.k: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Join" not in plan and sorted(got) == ["a", "b", "c"]
+    a, b, c = (got[k] for k in "abc")
+    assert (a["x__mean__1"], a["x__std__1"], a["x__min__1"], a["x__max__1"], a["x__median__1"], a["counts____1"]) == (3.5, 1.5, 2.0, 5.0, 3.5, 3)
+    assert a["x__min__2"] == 1.0 and a["x__max__2"] != a["x__max__2"] and a["counts____2"] == 2
+    assert a["x__mean__3"] is None and a["counts____3"] == 0
+    assert (b["counts____3"], b["x__median__3"], b["x__std__3"]) == (2, 4.0, 0.0)
+    assert (c["counts____1"], c["x__median__1"], c["x__mean__1"], c["x__max__1"]) == (40, 19.5, 19.5, 39.0)
+
+
+def test_groups_of_one_row_or_more_need_no_count(spark):
+    from cladekit.operators.relational import where_group_size
+
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), (None, 2)], "k string, v int")
+    out = where_group_size(df, ["k", "v"], 1)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("a", 1), ("a", 1)]
+    assert where_group_size(df, ["k", "v"], 2).count() == 2
+    assert where_group_size(spark.createDataFrame([(float("nan"),), (None,)], "x double"), ["x"], 1).count() == 1
+
+
+def test_training_rows_are_stored_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    trees = spark.range(40).selectExpr(
+        "id % 2 sid", "id tree_no", "'LG' sim_model", "'LG' infer_model", "500 seq_length", "1 tid",
+        "array_repeat(array_repeat(id * 1D, 4), 4) pdist", "md5(string(id)) randomcolumn")
+    sites = trees.select("sid", "seq_length", "tree_no", "sim_model", *[F.lit(1.0).alias(c) for c in ("top_1", "top_2", "top_3", "nsites")])
+    species = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 1.0)], "sid long, ebl double, ibl double")
+    out = jobs.training_matrix(trees, sites, species, 1.0, 2)
+    assert "training-" in out.inputFiles()[0]
+    assert sorted((r.ebl, r.dset_no, r.counts____1) for r in out.collect()) == [(1.0, 1, 20), (1.0, 2, 20), (2.0, 1, 20), (2.0, 2, 20)]
