@@ -29,9 +29,13 @@ def tree_file_stream(
 
 
 def arrived_trees(batch: DataFrame) -> DataFrame:
-    """Tree records of a batch of lines; the kept lines of a file are numbered over its blocks."""
+    """Tree records of a batch of lines; the kept lines of a file are numbered over its blocks.
+
+    The numbering leaves the lines of a block in one task, so they are dealt over the cluster before they are parsed.
+    """
     lines = batch.withColumn("_row", F.monotonically_increasing_id()).where(is_newick(F.col("line")))
-    return tree_records(tree_rows(numbered(lines)))
+    tasks = batch.sparkSession.sparkContext.defaultParallelism
+    return tree_records(tree_rows(numbered(lines)), partitions=tasks)
 
 
 def store_new_trees(

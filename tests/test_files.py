@@ -216,3 +216,13 @@ def test_a_stored_table_is_read_in_parts_of_bounded_size(spark, tmp_path, monkey
     assert out.rdd.getNumPartitions() == 10
     assert out.agg({"id": "sum"}).first()[0] == 499_500 and out.count() == 1000
     assert files.read_repartitioned(spark, str(tmp_path / "a"), 16).rdd.getNumPartitions() == 16
+
+
+def test_arrived_lines_are_dealt_before_they_are_parsed(spark):
+    from cladekit.streaming.jobs import arrived_trees
+
+    line = "(4:9.0,(3:5.0,(1:2.0,2:2.5):3.0):4.0);"
+    batch = spark.range(200).selectExpr(f"'{line}' line", "'f' file_path", "0L _block").coalesce(1)
+    out = arrived_trees(batch)
+    assert out.count() == 200 and out.agg({"tree_no": "max"}).first()[0] == 199
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
