@@ -86,7 +86,8 @@ def quartet_scan(spark, sf):
     rows = li.select(F.floor(F.col("l_partkey") / 20).alias("gene"), body.alias("value"), F.lit(1).alias("_o"))
     heads = rows.select("gene").distinct().select("gene", head.alias("value"), F.lit(0).alias("_o"))
     whole = heads.unionByName(rows).repartition("gene").sortWithinPartitions("gene", "_o")
-    path = _text_files(whole.drop("_o"), spark, "quartets", "gene")
+    path = work_path(spark, "quartets")
+    sinks.write_text_folders(whole, path, "gene")
     out = files.read_quartets(spark, path)
     return tidy(out.groupBy(_kept("file_path", "gene").cast("long").alias("gene")).agg(
         F.count("*").alias("n"), F.sum("Seq1").alias("s1"), F.sum("qCF").alias("qcf"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,28 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df
 
 
+LISTING_TASKS = 64
+
+
+@contextmanager
+def _listing(spark: SparkSession):
+    """Folders are listed by so many tasks while a reader is made; the default is a task a folder, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LISTING_TASKS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _whole_files(spark: SparkSession, path, modified_after: str | None, min_bytes: int | None):
     reader = spark.read.option("recursiveFileLookup", True)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    df = reader.text(path, wholetext=True).select(
+    with _listing(spark):
+        files = reader.text(path, wholetext=True)
+    df = files.select(
         "value", F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
     )
@@ -73,7 +91,8 @@ def block_lines(
     reader = spark.read.option("recursiveFileLookup", True)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    lines = block_columns(reader.text(path))
+    with _listing(spark):
+        lines = block_columns(reader.text(path))
     if min_bytes is not None:
         lines = lines.where(F.col("_bytes") > min_bytes)
     return lines.drop("_bytes").withColumn("_row", F.monotonically_increasing_id())
@@ -167,25 +186,44 @@ def read_site_counts(spark: SparkSession, path, min_bytes: int | None = None,
 QUARTET_COLUMNS = ("Seq1", "Seq2", "Seq3", "Seq4", "qCF", "qDF1", "qDF2", "qN")
 
 
+WHOLE_BYTES = 4 << 20  # quartet files up to this size are read as one row
+
+
 def read_quartets(spark: SparkSession, path) -> DataFrame:
     """Whitespace-separated quartet files with a header line; rows with a gap are dropped.
 
     The first line of a file names the columns of all its blocks. As a row it has gaps, and so drops out.
+    Files of up to ``WHOLE_BYTES`` are read whole, which needs no shuffle. Of larger ones the headers, at most one row
+    for so many bytes of input, are gathered first and broadcast to the blocks.
     """
-    lines = block_lines(spark, path).where(_filled("line"))
-    blocks = lines.groupBy(*_FILE_BLOCK).agg(F.min(F.struct("_row", "line"))["line"].alias("_first"))
-    along = Window.partitionBy("file_path").orderBy("_block")
-    heads = blocks.select(*_FILE_BLOCK, F.split(F.trim(F.first("_first").over(along)), r"\s+").alias("head"))
-    rows = lines.join(heads, _FILE_BLOCK)
-    cells = F.split(F.trim("line"), r"\s+")
-    out = rows.select(
-        "file_path",
-        *[F.get(cells, (F.array_position("head", F.lit(c)) - 1).cast("int"))
-          .try_cast("int" if c.startswith("Seq") else "double").alias(c)
-          for c in QUARTET_COLUMNS])
+    with _listing(spark):
+        reader = spark.read.option("recursiveFileLookup", True)
+        whole, blocks = reader.text(path, wholetext=True), reader.text(path)
+    size = F.col("_metadata.file_size")
+    small = whole.where(size <= WHOLE_BYTES).select("value", F.col("_metadata.file_path").alias("file_path"))
+    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r|\n"), _filled)
+    # outer: or the size of the list would be asked for before it is made, which makes it twice
+    small = small.select("file_path", lines.alias("_lines")).withColumn("_at", _places(F.get("_lines", F.lit(0)))).select(
+        "file_path", "_at", F.explode_outer("_lines").alias("line"))
+    large = block_columns(blocks.where(size > WHOLE_BYTES)).where(_filled("line")).drop("_bytes")
+    first = large.withColumn("_row", F.monotonically_increasing_id()).groupBy("file_path").agg(
+        F.min(F.struct("_block", "_row", "line"))["line"].alias("_first"))
+    heads = F.broadcast(first.select("file_path", _places("_first").alias("_at")))
+    rows = small.unionByName(large.drop("_block").join(heads, "file_path"))
+    # generators of one row: filters above are not worked out from the steps below them
+    split = rows.select("file_path", "_at", F.explode(F.array(F.split(F.trim("line"), r"\s+"))).alias("_cells"))
+    cells = [F.get("_cells", F.get("_at", F.lit(i))).try_cast("int" if c.startswith("Seq") else "double").alias(c)
+             for i, c in enumerate(QUARTET_COLUMNS)]
+    out = split.select("file_path", F.explode(F.array(F.struct(*cells))).alias("_q")).select("file_path", "_q.*")
     return out.na.drop(subset=list(QUARTET_COLUMNS))
 
 
+def _places(head) -> Column:
+    """Where each of ``QUARTET_COLUMNS`` stands in a header line; -1 for one it lacks."""
+    names = F.split(F.trim(head), r"\s+")
+    return F.array(*[(F.array_position(names, F.lit(c)) - 1).cast("int") for c in QUARTET_COLUMNS])
+
+
 def clean_quartet_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Raw quartet output without its second column, comments, headers and repeats."""
     body = lines.where(~F.col(column).startswith("#") & ~F.lower(F.col(column)).startswith("id\t"))

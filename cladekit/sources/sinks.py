@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,56 @@ def append_new(batch: DataFrame, path: str, key: Sequence[str], partition_by: Se
     new_rows(batch, stored, key).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+# ---- many small text files ---------------------------------------------------------------
+
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_text_folders(lines: DataFrame, path: str, folder: str, value: str = "value") -> None:
+    """Lines as text files, one folder ``<folder>=<value>`` per value of a whole-number column, as ``partitionBy(folder).text`` lays them out.
+
+    For very many folders: a task writes its files itself, so none is made under one name and moved to another by the driver.
+    A file holds the lines of one task that follow each other; it gets its name when it is whole, and another attempt of the
+    task gives it the same name.
+    """
+    if dict(lines.dtypes)[folder] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{folder} is not a whole number")
+    fs, root = pafs.FileSystem.from_uri(path)
+    fs.create_dir(root, recursive=True)
+    rows = lines.select(F.coalesce(F.col(folder).cast("string"), F.lit(NO_VALUE)).alias("folder"), F.coalesce(value, F.lit("")).alias("value"))
+    done = rows.mapInArrow(lambda batches: _written(batches, path, folder), "files long")
+    done.agg(F.sum("files")).collect()
+
+
+def _written(batches, path: str, name: str):
+    """Write each run of rows of one folder; yields the number of files."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    part, files, open_now, out, at = TaskContext.get().partitionId(), 0, None, None, None
+
+    def close():
+        out.close()
+        fs.move(at[0], at[1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = pc.run_end_encode(batch.column("folder"))
+        start = 0
+        for key, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+            if key != open_now:
+                if out is not None:
+                    close()
+                where = f"{root}/{name}={key}"
+                fs.create_dir(where, recursive=True)
+                at = f"{where}/_{uuid.uuid4().hex}", f"{where}/part-{part:05d}-{files:06d}.txt"
+                out, open_now, files = fs.open_output_stream(at[0], buffer_size=1 << 16), key, files + 1
+            out.write(("\n".join(batch.column("value").slice(start, end - start).to_pylist()) + "\n").encode())
+            start = end
+    if out is not None:
+        close()
+    yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+
 # ---- which files can hold a key ----------------------------------------------------------
 
 WORDS = 1024  # 64-bit words of a file's Bloom filter

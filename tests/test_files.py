@@ -226,3 +226,40 @@ def test_arrived_lines_are_dealt_before_they_are_parsed(spark):
     out = arrived_trees(batch)
     assert out.count() == 200 and out.agg({"tree_no": "max"}).first()[0] == 199
     assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_quartet_files_in_whole_and_in_blocks(spark, tmp_path, monkeypatch):
+    """Small files are read without a shuffle, larger ones by blocks; both give the same rows."""
+    heads = ["ID Seq1 Seq2 Seq3 Seq4 qCF qDF1 qDF2 qN", "qN  Seq4 Seq3 Seq2 Seq1 qDF2 qDF1 qCF"]
+    for g in range(6):
+        body = "\r\n".join(f" 1 {i} 2 3 4 0.5 {'nan-' if i % 7 == 0 else 0.3} 0.2 {g}" for i in range(40 * (g + 1)))
+        text = "\n \n" + heads[g % 2] + "\n" + body
+        (tmp_path / f"q{g}.scf").write_text("" if g == 5 else text, newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        found = []
+        for limit in (1 << 20, 0, 3000):
+            monkeypatch.setattr(files, "WHOLE_BYTES", limit)
+            found.append(sorted(map(str, files.read_quartets(spark, str(tmp_path)).collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found[0] == found[1] == found[2]
+    assert sum("q0.scf" in r for r in found[0]) == 34 and not any("q5.scf" in r for r in found[0])
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1 << 20)
+    plan = files.read_quartets(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_text_folders_as_partitioned_text(spark, tmp_path):
+    from cladekit.sources import sinks
+
+    rows = spark.range(3000).selectExpr("if(id = 7, null, id % 300) as g", "if(id = 9, null, concat('v', id, 'é')) as value", "id").repartition(
+        3, "g").sortWithinPartitions("g", "id")
+    sinks.write_text_folders(rows, str(tmp_path / "a"), "g")
+    rows.drop("id").write.partitionBy("g").text(str(tmp_path / "b"))
+    a, b = (sorted((r.p, r.value) for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / k)).selectExpr(
+        "value", "regexp_extract(_metadata.file_path, '(g=[^/]*)/', 1) as p").collect()) for k in "ab")
+    assert a == b and len(a) == 3000
+    names = sorted(f.name for f in (tmp_path / "a").rglob("*") if f.is_file())
+    assert len(names) == 301 and all(n.startswith("part-") for n in names)
