@@ -70,15 +70,21 @@ def site_concordance(
 
 
 def attach_each(rows: DataFrame, source: DataFrame, gene: str, key: str, value: str,
-                columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+                columns: Sequence[str], names: Sequence[str], stored: bool = False) -> DataFrame:
     """Look up one value per listed column by (gene, key); rows lacking any of them drop out.
 
+    A ``stored`` source is a table read from files, so the planner knows its size and may be left to choose: one join a column, which moves
+    the rows at most once for each. Any other source goes as follows.
+
     The listed columns become rows that are joined once, on both keys, which spreads the rows of a
     large gene over its taxa. A row's values are then gathered by a hash of its content, the row itself being
     carried beside the first of them only. ``source`` has one row per gene and key. It is dealt by both before the join, so that
     the planner goes by its measured size: rows made by a generator look smaller to it than they are, and were broadcast whole.
-    Repeated rows are counted before and put back after.
+    Repeated rows are counted before and put back after. A repeated key of ``source`` gives its largest value, and repeats the rows
+    that have it in the first column.
     """
+    if stored:
+        return _attach_stored(rows, source, gene, key, value, columns, names)
     kept = rows.columns
     names_of = [F.col(f"`{c}`") for c in kept]
     once = rows.groupBy(*names_of).agg(F.count(F.lit(1)).alias("_n")).withColumns({
@@ -96,6 +102,18 @@ def attach_each(rows: DataFrame, source: DataFrame, gene: str, key: str, value:
         *[F.col(f"_v{i}").getField(value).alias(name) for i, name in enumerate(names)], times.alias("_t")).drop("_t")
 
 
+def _attach_stored(rows: DataFrame, source: DataFrame, gene: str, key: str, value: str,
+                   columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    one = source.groupBy(gene, key).agg(F.max(F.struct(F.col(value))).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    out = rows
+    for i, c in enumerate(columns):
+        side = one.select(F.col(gene).alias("_g"), F.col(key).alias("_k"), F.col("_v").alias(f"_v{i}"), *(["_n"] if i == 0 else []))
+        out = out.join(side, (out[gene] == side["_g"]) & (out[c] == side["_k"])).drop("_g", "_k")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))
+    return out.select(*kept, *[F.col(f"_v{i}").getField(value).alias(name) for i, name in enumerate(names)], times.alias("_t")).drop("_t")
+
+
 def quartet_sequences(quartets: DataFrame, sequences: DataFrame, gene: str = "gene",
                       taxa: Sequence[str] = ("q1", "q2", "q3", "q4")) -> DataFrame:
     """Put the four sequences next to each listed quartet."""
@@ -105,15 +123,15 @@ def quartet_sequences(quartets: DataFrame, sequences: DataFrame, gene: str = "ge
 
 
 def named_quartets(
-    quartets: DataFrame, taxa: DataFrame, clades: Sequence[str], gene: str = "gene",
+    quartets: DataFrame, taxa: DataFrame, clades: Sequence[str], gene: str = "gene", stored: bool = False,
 ) -> DataFrame:
     """Replace sequence numbers by taxon names and keep quartets with one taxon per clade.
 
     The halves ``q1,q2`` and ``q3,q4`` survive: each is ordered by clade, then the halves by
-    name, so the three concordance columns still know their splits.
+    name, so the three concordance columns still know their splits. ``stored`` taxa are a table read from files.
     """
     rows = attach_each(quartets, taxa, gene, "ix", "name", ["Seq1", "Seq2", "Seq3", "Seq4"],
-                       ["_n1", "_n2", "_n3", "_n4"])
+                       ["_n1", "_n2", "_n3", "_n4"], stored)
     rows = rows.withColumns({f"_k{i}": clade_number(f"_n{i}", clades) for i in (1, 2, 3, 4)})
     one_each = F.sort_array(F.array("_k1", "_k2", "_k3", "_k4")) == F.array(*map(F.lit, "1234"))
     halves = {}

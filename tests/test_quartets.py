@@ -107,3 +107,17 @@ def test_a_generated_source_is_joined_by_its_measured_size(spark):
         assert "BuildRight" not in final
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_names_are_joined_like_others(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 2, 0.5), (1, 1, 2, 0.5), (1, 1, 9, 0.5), (2, 3, 3, 1.0), (3, 1, 2, 0.1), (None, 1, 2, 0.2)],
+                                 "g int, a int, b int, w double")
+    names = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 3, "z"), (2, 1, "q"), (3, 1, "u"), (3, 1, "v"), (3, 2, None), (None, 1, "n")],
+                                  "g int, ix int, name string")
+    names.write.parquet(str(tmp_path / "names"))
+    plain, stored = (sorted(map(str, Q.attach_each(rows, names, "g", "ix", "name", ["a", "b"], ["na", "nb"], s).collect())) for s in (False, True))
+    assert plain == stored and len(stored) == 5
+    kept = spark.read.parquet(str(tmp_path / "names"))
+    out = Q.attach_each(rows, kept, "g", "ix", "name", ["a", "b"], ["na", "nb"], True)
+    assert sorted(map(str, out.collect())) == plain
+    assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
