@@ -109,6 +109,36 @@ def test_a_generated_source_is_joined_by_its_measured_size(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_large_groups_give_the_rows_of_small_ones(spark, monkeypatch):
+    """Groups that are never brought together have the same statistics, whatever the sketch says of their middle."""
+    from cladekit.operators import ranks
+
+    rng = random.Random(5)
+    nan, inf = float("nan"), float("inf")
+    rows = [("c", 1, 7.0, None), ("c", 9, 8.0, 1.0), (None, 1, 3.0, 3.0), *[("e", 2, nan, inf)] * 5, ("e", 3, -inf, 1.0), ("f", None, 1.0, 2.0)]
+    for g, n in (("a", 401), ("b", 400), ("d", 30)):
+        rows += [(g, rng.choice((1, 2, 3, None)), rng.choice((None, nan, *[float(k) for k in range(9)])), rng.gauss(0, 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, tid int, x double, y double").repartition(3)
+    want = {r.g: r for r in G.genome_rows(df, ["g"], ["x", "y"]).collect()}
+    assert G.quartet_genome_rows(df, ["g"], ["x", "y"], 1).count() == len(want) == 6
+
+    def compare():
+        got = {r.g: r for r in G.quartet_genome_rows(df, ["g"], ["x", "y"], 1).collect()}
+        assert set(got) == set(want)
+        for g, r in want.items():
+            for c, v in r.asDict().items():
+                w = got[g][c]
+                assert w == v or (w != w and v != v) or abs(w - v) < 1e-9, (g, c, w, v)
+
+    for least in (100, 1):
+        monkeypatch.setattr(ranks, "SPLIT_ROWS", least)
+        compare()
+    monkeypatch.setattr(G, "MIDDLE", 0.0)
+    compare()
+    monkeypatch.setattr(G, "MIDDLE", -0.3)  # a wrong sketch
+    compare()
+
+
 def test_stored_names_are_joined_like_others(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, 2, 0.5), (1, 1, 2, 0.5), (1, 1, 9, 0.5), (2, 3, 3, 1.0), (3, 1, 2, 0.1), (None, 1, 2, 0.2)],
                                  "g int, a int, b int, w double")
