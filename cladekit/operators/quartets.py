@@ -175,8 +175,10 @@ def remapped_sites(df: DataFrame, order: str = "order") -> DataFrame:
 def sorted_taxa(df: DataFrame, clades: Sequence[str], taxa: str = "taxa") -> DataFrame:
     """Four columns, one per clade, named after the clades: the first taxon of each."""
     names = [F.get(taxa, F.lit(i)) for i in range(4)]
-    return df.withColumns({
-        c: F.coalesce(*[F.when(n.startswith(c), n) for n in names]) for c in clades}).drop(taxa)
+    first = F.struct(*[F.coalesce(*[F.when(n.startswith(c), n) for n in names]).alias(c) for c in clades])
+    # a generator of one row, so a step of its own: worked out in one step with others it was too long to be compiled
+    kept = [F.col(f"`{c}`") for c in df.columns if c != taxa and c not in clades]
+    return df.select(*kept, F.explode(F.array(first)).alias("_c")).select(*kept, "_c.*")
 
 
 def percent_sites(df: DataFrame, keys: Sequence[str]) -> DataFrame:
