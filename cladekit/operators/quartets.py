@@ -78,8 +78,8 @@ def attach_each(rows: DataFrame, source: DataFrame, gene: str, key: str, value:
 
     The listed columns become rows that are joined once, on both keys, which spreads the rows of a
     large gene over its taxa. A row's values are then gathered by a hash of its content, the row itself being
-    carried beside the first of them only. ``source`` has one row per gene and key. It is dealt by both before the join, so that
-    the planner goes by its measured size: rows made by a generator look smaller to it than they are, and were broadcast whole.
+    carried beside the first of them only. ``source`` has one row per gene and key. The join is a merge join by hint: rows made by a
+    generator look smaller to the planner than they are, and it does not give up a broadcast once planned for a join with more shuffles.
     Repeated rows are counted before and put back after. A repeated key of ``source`` gives its largest value, and repeats the rows
     that have it in the first column.
     """
@@ -91,7 +91,7 @@ def attach_each(rows: DataFrame, source: DataFrame, gene: str, key: str, value:
         "_h": F.xxhash64(*names_of), "_g": F.xxhash64(F.lit(gene), *names_of), "_row": F.struct(*names_of, "_n")})
     slots = once.select("_h", "_g", "_row", gene, F.posexplode(F.array(*columns)).alias("_slot", "_key")).withColumn(
         "_row", F.when(F.col("_slot") == 0, F.col("_row")))
-    one = source.select(F.col(gene), F.col(key).alias("_key"), F.struct(F.col(value)).alias("_value")).repartition(gene, "_key")
+    one = source.select(F.col(gene), F.col(key).alias("_key"), F.struct(F.col(value)).alias("_value")).hint("merge")
     whole = Window.partitionBy("_h", "_g")
     found = slots.join(one, [gene, "_key"]).select(
         "_row", *[F.max(F.when(F.col("_slot") == i, F.col("_value"))).over(whole).alias(f"_v{i}") for i in range(len(names))])

@@ -151,3 +151,20 @@ def test_stored_names_are_joined_like_others(spark, tmp_path):
     out = Q.attach_each(rows, kept, "g", "ix", "name", ["a", "b"], ["na", "nb"], True)
     assert sorted(map(str, out.collect())) == plain
     assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_from_a_generator_are_never_broadcast(spark):
+    """The planner takes them for a small table, and keeps a broadcast it has planned whatever their rows turn out to be."""
+    genes = spark.range(300).select(F.col("id").alias("gene"))
+    rows = genes.select("gene", F.lit(1).alias("a"), F.lit(40).alias("b"), (F.col("gene") % 7).alias("q"))
+    taxa = genes.select("gene", F.inline(F.transform(
+        F.sequence(F.lit(1), F.lit(40)), lambda i: F.struct(i.alias("ix"), F.concat(F.lit("taxon_" * 20), i.cast("string")).alias("name")))))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # below the 12,000 rows of names, above the guess
+    try:
+        out = Q.attach_each(rows, taxa, "gene", "ix", "name", ["a", "b"], ["x", "y"])
+        got = out.collect()
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 300 and {(r.x[-2:], r.y[-3:]) for r in got} == {("_1", "_40")}
