@@ -172,13 +172,14 @@ def regression_scores(spark, sf):
     """Held-out scores of the regression learners and the baselines."""
     rows = _regression_rows(spark, sf)
     train, test = T.train_test(rows, _KEY, 0.2)
-    prepared = M.prepare(train, rows, _X, impute=False)
-    ptrain, ptest = T.train_test(prepared, _KEY, 0.2)
 
     def scored(done, column, name):
         return M.metrics.score(done, "y", column, M.metrics.REGRESSION).withColumn("learner", F.lit(name))
 
-    out = [scored(learner.fit(ptrain).transform(ptest), "prediction", name) for name, learner in M.regression_learners().items()]
+    with M.prepared_parts(rows, _KEY, _X, impute=False) as (ptrain, ptest):
+        n = ptrain.count()
+        out = [M.small_rows(scored(M.for_rows(learner, n).fit(ptrain).transform(ptest), "prediction", name))
+               for name, learner in M.regression_learners().items()]
     for name, (beta, intercept) in L.fit(train, _X, _KEY).items():
         out.append(scored(test.withColumn("_p", L.predicted(_X, beta, intercept)), "_p", name))
     out.append(scored(M.baselines(train, test), "Median", "Median"))
@@ -189,13 +190,14 @@ def regression_scores(spark, sf):
 def class_scores(spark, sf):
     """Held-out scores of the classification learners, classes balanced by weight."""
     rows = M.balanced_weights(_class_rows(spark, sf))
-    prepared = M.prepare(T.train_test(rows, _KEY, 0.2)[0], rows, _X, impute=True)
-    train, test = T.train_test(prepared, _KEY, 0.2)
     out = []
-    for name, learner in M.classification_learners(weight="weight").items():
-        done = M.positive_score(learner.fit(train).transform(test))
-        out.append(M.metrics.class_scores(done, "y", "prediction", "preds").withColumn(
-            "learner", F.lit(name)))
+    with M.prepared_parts(rows, _KEY, _X, impute=True, others=["y", "weight"]) as (train, test):
+        n = train.count()
+        for name, learner in M.classification_learners(weight="weight").items():
+            done = M.positive_score(M.for_rows(learner, n).fit(train).transform(test)).select("y", "prediction", "preds")
+            with M.kept(done):
+                scores = M.metrics.class_scores(done, "y", "prediction", "preds")
+                out.append(M.small_rows(scores.withColumn("learner", F.lit(name))))
     return tidy(union_rows(*out))
 
 
