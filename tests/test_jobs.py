@@ -136,3 +136,33 @@ def test_training_rows_are_stored_once(spark, tmp_path):
     out = jobs.training_matrix(trees, sites, species, 1.0, 2)
     assert "training-" in out.inputFiles()[0]
     assert sorted((r.ebl, r.dset_no, r.counts____1) for r in out.collect()) == [(1.0, 1, 20), (1.0, 2, 20), (2.0, 1, 20), (2.0, 2, 20)]
+
+
+def test_model_matrices_move_rows_three_times(spark):
+    """The genomes stay where the rows met their species trees; the rows are those of the steps taken one after another."""
+    from cladekit.functions.labels import genome_features
+    from cladekit.operators.relational import trees_with_sites
+    from cladekit.operators.sampling import shuffled_genomes
+    from cladekit.operators.summary import genome_rows
+
+    t, s, species = data(spark)
+    t, s = t.unionByName(t.where("tree_no < 3")), s.unionByName(s.where("tree_no = 7"))  # some come twice
+    species = species.unionByName(spark.createDataFrame([(1, 30.0, 0.7), (None, 1.0, 1.0)], species.schema))
+    t = t.unionByName(t.where("tree_no = 1").withColumn("sid", F.lit(None).cast("int")))
+    names = F.array_compact(F.array(*[F.when(F.col("infer_model").contains(m), F.concat_ws("/", "sim_model", F.lit(m))) for m in ("LG", "WAG")]))
+    drawn = shuffled_genomes(t.withColumn("model", F.explode(names)), ["sid", "model"], 5, "randomcolumn", ["tree_no"], limit=10)
+    rows = trees_with_sites(drawn, s, ["sid", "seq_length", "tree_no", "sim_model"], matched_model=False)
+    want = genome_rows(jobs.flattened(rows).join(species, "sid"), ["sid", "model", *jobs.KEYS], genome_features()).drop("sid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jobs.model_matrices(t, s, species, 5, 2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 5  # the rows thrice, sites and species once
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    order = sorted(want.columns)
+    assert set(order) == set(out.columns)
+    shown = [sorted(str([f"{v:.9g}" if isinstance(v, float) else v for v in (r[c] for c in order)]) for r in rows) for rows in (got, want.collect())]
+    assert shown[0] == shown[1] and len(got) > 12
