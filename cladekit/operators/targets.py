@@ -44,11 +44,6 @@ def key_bucket(keys: Sequence[str], seed, buckets: int = 1000) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(buckets))
 
 
-def held_out(keys: Sequence[str], test_share: float = 0.1, seed=123454) -> Column:
-    """Whether ``train_test`` puts a row into its second part."""
-    return key_bucket(keys, seed) < int(round(test_share * 1000))
-
-
 def train_test(df: DataFrame, keys: Sequence[str], test_share: float = 0.1, seed=123454):
     """Split by a hash of the key: repeatable, and the same however the data is laid out."""
     tagged = df.withColumn("_b", key_bucket(keys, seed))
